@@ -19,6 +19,16 @@ SAMPLE_MOD = 1024
 RANGES = 64
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on group keys in which NULL is a group of its own."""
+    other = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for c in keys:
+        one = left[c].eqNullSafe(other[f"_k_{c}"])
+        cond = one if cond is None else cond & one
+    return left.join(other, cond, how).drop(*[f"_k_{c}" for c in keys])
+
+
 def with_ranges(df: DataFrame, group: Sequence[str], key: str, sample_mod: int = SAMPLE_MOD, ranges: int = RANGES) -> DataFrame:
     """Add `_range`, non-decreasing in the numeric column `key` within a group."""
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
@@ -29,7 +39,7 @@ def with_ranges(df: DataFrame, group: Sequence[str], key: str, sample_mod: int =
     )
     place = F.size(F.filter("_cuts", lambda c: c < F.col(key).cast("double")))
     return (
-        df.join(cuts, list(group), "left")
+        _join_groups(df, cuts, list(group), "left")
         .withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(place))
         .drop("_cuts")
     )
@@ -70,8 +80,7 @@ def cumulative(
         .select(*group, "_range", (F.col("_upto") - F.col("_s")).alias("_off"), "total")
     )
     out = (
-        merged.withColumn("_l", F.sum("n").over(local))
-        .join(totals, group + ["_range"])
+        _join_groups(merged.withColumn("_l", F.sum("n").over(local)), totals, group + ["_range"])
         .withColumn("upto", F.col("_off") + F.col("_l"))
         .withColumn("below", F.col("upto") - F.col("n"))
     )
@@ -93,8 +102,7 @@ def suffix_min(df: DataFrame, group: Sequence[str], order: str, value: str, out:
         .withColumn("_tail", F.min("_m").over(later)).drop("_m")
     )
     return (
-        placed.withColumn("_l", F.min(value).over(local))
-        .join(tail, group + ["_range"])
+        _join_groups(placed.withColumn("_l", F.min(value).over(local)), tail, group + ["_range"])
         .withColumn(out, F.least("_l", "_tail"))
         .drop("_l", "_tail", "_range")
     )

@@ -33,7 +33,7 @@ def chisq_gof(null: DataFrame, by=("trait",), value: str = "lr", bins: int = 20,
     ])).alias("_x")).select(*by, "_x.df", "_x.bin")
     counts = long.groupBy(*by, "df", "bin").agg(F.count(F.lit(1)).alias("o"))
     agg = counts.groupBy(*by, "df").agg(
-        F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o")).alias("oo")
+        F.sum("o").alias("n"), F.sum(F.col("o").cast("double") * F.col("o")).alias("oo")
     )
     # sum (o - e)^2 / e over all bins, empty ones included, with e = n / bins
     return agg.select(*by, "df", "n", (F.col("oo") * F.lit(float(bins)) / F.col("n") - F.col("n")).alias("x2"))

@@ -70,20 +70,25 @@ def keep_samples(df: DataFrame, phenotyped: DataFrame, on: str = "iid") -> DataF
     return df.join(phenotyped.select(on), on, "left_semi")
 
 
+def in_panel_order(df: DataFrame, panel: DataFrame, values: str, out: str) -> DataFrame:
+    """The map `values` (keyed by sample) as an array in panel order; NULL where a sample is absent."""
+    return df.withColumn("_panel", panel.scalar()).withColumn(
+        out, F.transform("_panel", lambda i: F.try_element_at(values, i))
+    ).drop("_panel")
+
+
 def to_arrays(long: DataFrame, panel: DataFrame, snp_cols=("snp_id",)) -> DataFrame:
     """Long calls to SNP-major arrays; a sample without a row is a missing call."""
     by_snp = long.groupBy(*snp_cols).agg(
         F.map_from_entries(F.collect_list(F.struct("iid", F.col("dosage").cast("tinyint")))).alias("_m")
     )
-    return by_snp.select(
-        *snp_cols, F.transform(panel.scalar(), lambda i: F.try_element_at("_m", i)).alias("dosages")
-    )
+    return in_panel_order(by_snp, panel, "_m", "dosages").drop("_m")
 
 
 def to_long(geno: DataFrame, panel: DataFrame, snp_cols=("snp_id",)) -> DataFrame:
     pairs = F.arrays_zip(panel.scalar().alias("iid"), F.col("dosages").alias("dosage"))
     return geno.select(*snp_cols, F.explode(pairs).alias("_p")).select(
-        *snp_cols, F.col("_p")["0"].alias("iid"), F.col("_p")["dosage"].alias("dosage")
+        *snp_cols, F.col("_p")["iid"].alias("iid"), F.col("_p")["dosage"].alias("dosage")
     )
 
 
@@ -128,13 +133,13 @@ def qc_filter(geno: DataFrame, panel: DataFrame, mind: float = 0.1, geno_max: fl
     Each step counts on the survivors of the one before. Returns (geno, panel).
     """
     kept = panel_of(sample_stats(geno, panel).where(F.col("missing_rate") <= mind))
-    kept_set = kept.scalar()
-    keep = panel.select(F.transform("iids", lambda i: F.array_contains(kept_set, i)).alias("keep"))
-    zipped = F.arrays_zip(F.col("dosages").alias("d"), keep.scalar().alias("k"))
-    slim = geno.withColumn(
-        "dosages",
-        F.transform(F.filter(zipped, lambda z: z["1"]), lambda z: z["0"]),
+    mask = panel.withColumn("_kept", kept.scalar()).select(
+        F.transform("iids", lambda i: F.array_contains("_kept", i)).alias("keep")
     )
+    slim = geno.withColumn("_keep", mask.scalar()).withColumn(
+        "dosages",
+        F.transform(F.filter(F.arrays_zip("dosages", "_keep"), lambda z: z["_keep"]), lambda z: z["dosages"]),
+    ).drop("_keep")
     stats = with_snp_stats(slim)
     ok = stats.where((F.col("missing_rate") <= geno_max) & (F.least("freq", 1 - F.col("freq")) >= maf))
     return ok.drop("n", "n_called", "missing_rate", "freq"), kept

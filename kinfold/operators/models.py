@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinfold.functions.hashing import hash_bits, hash_key
 from kinfold.functions.ranking import cumulative
+from kinfold.operators.genotype import in_panel_order
 from kinfold.operators.kinship import centred, unpack
 from kinfold.operators.reml import Fit, fit_many, fit_one, ratio_sd
 
@@ -34,19 +35,21 @@ def cv_folds(samples: DataFrame, repeats: int = 5, k: int = 10, seed: str = "cv"
 def pheno_arrays(long: DataFrame, panel: DataFrame, value: str = "value") -> DataFrame:
     """One row per trait with the values in panel order."""
     by_trait = long.groupBy("trait").agg(F.map_from_entries(F.collect_list(F.struct("iid", value))).alias("_m"))
-    return by_trait.select("trait", F.transform(panel.scalar(), lambda i: F.try_element_at("_m", i)).alias("y"))
+    return in_panel_order(by_trait, panel, "_m", "y").drop("_m")
 
 
 def covariate_arrays(covar: DataFrame, panel: DataFrame, cols: list[str]) -> DataFrame:
     """One row: the covariates, each as an array in panel order."""
     maps = covar.agg(*[F.map_from_entries(F.collect_list(F.struct("iid", c))).alias(c) for c in cols])
-    return maps.select(F.array(*[F.transform(panel.scalar(), lambda i, c=c: F.try_element_at(c, i)) for c in cols]).alias("w"))
+    for c in cols:
+        maps = in_panel_order(maps, panel, c, c)
+    return maps.select(F.array(*cols).alias("w"))
 
 
 def fold_arrays(folds: DataFrame, panel: DataFrame) -> DataFrame:
     """One row: per repeat, the fold of every sample in panel order."""
     by_cv = folds.groupBy("cv").agg(F.map_from_entries(F.collect_list(F.struct("iid", "fold"))).alias("_m"))
-    rows = by_cv.select("cv", F.transform(panel.scalar(), lambda i: F.try_element_at("_m", i)).alias("fold"))
+    rows = in_panel_order(by_cv, panel, "_m", "fold")
     return rows.agg(F.sort_array(F.collect_list(F.struct("cv", "fold"))).alias("folds"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinfold.functions.distributions import chi2_cdf, chi2_quantile_column
+from kinfold.functions.labels import pathway_category
 from kinfold.functions.ranking import cumulative, grouped_quantiles
+from kinfold.operators.intervals import complete_grid
+from kinfold.operators.phenotype import recode
 
 DISTS = ["1", "1.5", "2"]
 CHUNK = 10000
@@ -41,10 +44,10 @@ def chisq_gof(null: DataFrame, by=("trait",), value: str = "lr", bins: int = 20,
 
 def best_fit(ks: DataFrame, by=("trait",)) -> DataFrame:
     """The distribution with the smallest distance; the lower df wins a tie."""
-    long = ks.select(*by, F.col("d1").alias("1"), F.col("d1_5").alias("1.5"), F.col("d2").alias("2")).unpivot(
-        list(by), ["1", "1.5", "2"], "df", "d"
-    )
-    return long.groupBy(*by).agg(F.min_by("df", F.struct("d", "df")).alias("df"), F.min("d").alias("d"))
+    names = dict(zip(["d1", "d1_5", "d2"], DISTS))
+    long = ks.unpivot(list(by), list(names), "name", "d")
+    df = recode(F.col("name"), names)
+    return long.withColumn("df", df).groupBy(*by).agg(F.min_by("df", F.struct("d", "df")).alias("df"), F.min("d").alias("d"))
 
 
 def qq_points(null: DataFrame, by: list[str], value: str = "lr", df: float = 2) -> DataFrame:
@@ -123,9 +126,6 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def snp_locations(sets: DataFrame, lengths: DataFrame) -> DataFrame:
     """Positions in Mb with pathway, category and chromosome labels; every chromosome appears for every pathway."""
-    from kinfold.functions.labels import pathway_category
-    from kinfold.operators.intervals import complete_grid
-
     labelled = sets.withColumn("category", pathway_category(F.col("pathway")))
     grid = complete_grid(labelled.select("chromosome", "pathway", "category", "snp_id", "position"), "chromosome", ["pathway", "category"])
     return grid.join(lengths, "chromosome", "left").select(

@@ -15,6 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinfold.functions.ranking import average_rank, cumulative
+from kinfold.functions.stats import safe_corr
+from kinfold.operators.genotype import with_snp_stats
+
 TILE = 2048
 BATCH = 512
 
@@ -124,8 +128,6 @@ def scale_gram(numerators: DataFrame, by=("set_id",)) -> DataFrame:
 
 def hwe_denominator(geno: DataFrame) -> DataFrame:
     """The textbook denominator: sum of 2p(1-p) over SNPs."""
-    from kinfold.operators.genotype import with_snp_stats
-
     p = F.col("freq")
     return with_snp_stats(geno).agg(F.sum(2 * p * (1 - p)).alias("c"))
 
@@ -189,8 +191,6 @@ def kinship_corr(pairs: DataFrame, by=("set_id",), digits: int = 8) -> DataFrame
 
     Values are rounded to `digits` first, so that equal relationships tie.
     """
-    from kinfold.functions.ranking import average_rank, cumulative
-
     by = list(by)
     off = pairs.where(F.col("i") < F.col("j")).select(*by, "partition", "i", "j", F.round("k", digits).alias("k"))
     cum = cumulative(off, by + ["partition"], ["k"])
@@ -199,4 +199,4 @@ def kinship_corr(pairs: DataFrame, by=("set_id",), digits: int = 8) -> DataFrame
     wide = both.groupBy(*by, "i", "j").agg(*[
         F.max(F.when(F.col("partition") == p, F.col(v))).alias(f"{v}{p}") for p in (1, 2) for v in ("k", "r")
     ])
-    return wide.groupBy(*by).agg(F.corr("k1", "k2").alias("cor_p"), F.corr("r1", "r2").alias("cor_s"))
+    return wide.groupBy(*by).agg(safe_corr("k1", "k2").alias("cor_p"), safe_corr("r1", "r2").alias("cor_s"))

@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.functions.labels import FAMILY_ORDER, label_rank
 from kinfold.functions.ranking import cumulative, grouped_quantiles
+from kinfold.functions.stats import safe_corr
 from kinfold.operators.phenotype import classify_trait
 
 FOLD = ["cvnum", "fold"]
 
 
-def _safe_corr(x: Column, y: Column) -> Column:
-    """Correlation over complete pairs; NULL where either side does not vary."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return F.when(varies, F.corr(a, b))
-
-
 def _safe_slope(y: Column, x: Column) -> Column:
     a = F.when(y.isNotNull(), x)
     return F.when(F.min(a) < F.max(a), F.regr_slope(y, x))
@@ -29,7 +22,7 @@ def fold_metrics(preds: DataFrame, h2: DataFrame, by: list[str], total: str = "t
     """Accuracy, reliability (r2 / h2), calibration slope and mean squared error per group."""
     y, x = F.col(phenotype), F.col(total)
     stats = preds.where(y.isNotNull()).groupBy(*by).agg(
-        _safe_corr(x, y).alias("pa"), _safe_slope(y, x).alias("bias_slope"), F.avg((y - x) * (y - x)).alias("mse"),
+        safe_corr(x, y).alias("pa"), _safe_slope(y, x).alias("bias_slope"), F.avg((y - x) * (y - x)).alias("mse"),
         F.count(F.lit(1)).alias("n"),
     )
     return stats.join(h2, list(h2_on), "left").withColumn(

@@ -186,8 +186,8 @@ SQL = {
         'c_'||l_orderkey||'_'||l_linenumber||'_'||l_partkey AS random_group, 'Share_K1' AS component,
         (l_partkey*2503)%52000+1 AS size, l_discount*9+l_tax-0.03::DOUBLE AS share, l_tax-0.005::DOUBLE AS sd,
         l_quantity*l_quantity/200.0::DOUBLE-1 AS lr FROM lineitem""",
-    "fx_obs": """SELECT trait, pathway, round(avg(share)+0.09::DOUBLE*CAST(substr(pathway,3,1) AS INTEGER),8) AS share,
-        round(avg(lr)+1.5::DOUBLE*CAST(substr(pathway,3,1) AS INTEGER),8) AS lr FROM fx_null GROUP BY ALL""",
+    "fx_obs": """SELECT trait, pathway, round(s+0.09::DOUBLE*i,8) AS share, round(l+1.5::DOUBLE*i,8) AS lr FROM (
+        SELECT trait, pathway, CAST(substr(pathway,3,1) AS INTEGER) AS i, avg(share) AS s, avg(lr) AS l FROM fx_null GROUP BY ALL)""",
     "fx_pred": """SELECT l_returnflag||l_linestatus AS trait, 'pw'||(l_suppkey%6) AS pathway, 'cv'||(l_orderkey%2+1) AS cvnum,
         CAST(l_partkey%5+1 AS INTEGER) AS fold, l_orderkey*10+l_linenumber AS iid, l_extendedprice/1000 AS phenotype,
         l_quantity AS total_multi, l_quantity*0.7::DOUBLE+l_tax*200 AS total_single FROM lineitem""",
@@ -222,6 +222,22 @@ SQL = {
 }
 
 
+def _positive_zero(text: str) -> str:
+    """Add 0 to every rounded value: -0.0 and 0.0 are one value, also to a comparison of texts."""
+    out = []
+    for m in re.finditer(r"\bround(_even)?\(", text):
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        out.append((m.start(), end))
+    pieces = list(text)
+    for start, end in out:
+        pieces[start] = "(" + pieces[start]
+        pieces[end - 1] = pieces[end - 1] + "+0)"
+    return "".join(pieces)
+
+
 def oracle(body: str) -> str:
     """Put the needed table definitions in front of a query."""
     needed: list[str] = []
@@ -235,9 +251,8 @@ def oracle(body: str) -> str:
 
     visit(body)
     if not needed:
-        return body
+        return _positive_zero(body)
     prefix = ",\n".join(f"{n} AS ({SQL[n]})" for n in needed)
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {prefix},\n{body[5:]}"
-    return f"WITH {prefix}\n{body}"
+    joined = f",\n{body[5:]}" if body.upper().startswith("WITH ") else f"\n{body}"
+    return _positive_zero(f"WITH {prefix}{joined}")

@@ -32,8 +32,8 @@ def query(covers: str, sql: str | None = None, name: str | None = None):
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     """Round computed doubles, so that the order of a sum does not show."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[r(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def r(col: Column | str, digits: int = 6) -> Column:
-    return F.round(col, digits)
+    return F.round(col, digits) + F.lit(0.0)

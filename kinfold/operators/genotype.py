@@ -8,7 +8,9 @@ it is never larger than the dosages of a single SNP.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinfold.functions.ranking import cumulative
 
@@ -92,21 +94,35 @@ def to_long(geno: DataFrame, panel: DataFrame, snp_cols=("snp_id",)) -> DataFram
     )
 
 
-def _called() -> Column:
-    return F.size(F.filter("dosages", lambda d: d.isNotNull()))
-
-
-def _dose() -> Column:
-    return F.aggregate("dosages", F.lit(0), lambda acc, d: acc + F.coalesce(d.cast("int"), F.lit(0)))
-
-
 def with_snp_stats(geno: DataFrame) -> DataFrame:
-    """Add n, n_called, missing_rate and freq (of the counted allele); no shuffle."""
-    return (
-        geno.withColumn("n", F.size("dosages"))
-        .withColumn("n_called", _called())
-        .withColumn("missing_rate", (F.col("n") - F.col("n_called")) / F.nullif(F.col("n").cast("double"), F.lit(0.0)))
-        .withColumn("freq", _dose() / F.nullif(F.lit(2.0) * F.col("n_called"), F.lit(0.0)))
+    """Add n, n_called, missing_rate and freq (of the counted allele); no shuffle.
+
+    The counts are taken once per row over Arrow arrays. As array expressions
+    they would run element by element outside generated code, and a filter on
+    a statistic would evaluate them again for every mention.
+    """
+    counts = ["n", "n_called", "dose"]
+    schema = T.StructType(geno.schema.fields + [T.StructField(c, T.LongType()) for c in counts])
+
+    def count(batches):
+        for batch in batches:
+            lists = batch["dosages"]
+            width = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            called = flat.is_valid().to_numpy(zero_copy_only=False)
+            dose = flat.fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(width)])
+            sums = [np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[ends] for v in (called, dose)]
+            columns = [width.astype(np.int64), *(np.diff(v) for v in sums)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *counts]
+            )
+
+    n, called = F.col("n").cast("double"), F.col("n_called").cast("double")
+    return geno.mapInArrow(count, schema).select(
+        *geno.columns, F.col("n").cast("int").alias("n"), F.col("n_called").cast("int").alias("n_called"),
+        ((n - called) / F.nullif(n, F.lit(0.0))).alias("missing_rate"),
+        (F.col("dose") / F.nullif(2 * called, F.lit(0.0))).alias("freq"),
     )
 
 

@@ -21,6 +21,7 @@ from kinfold.operators.genotype import with_snp_stats
 
 TILE = 2048
 BATCH = 512
+CHUNK = 4096
 
 
 def centred(lists: pa.Array, width: int) -> np.ndarray:
@@ -44,7 +45,7 @@ def with_centred(geno: DataFrame) -> DataFrame:
     ).drop("_m")
 
 
-def gram(geno: DataFrame, key: str | None = None, salt: int = 8, tile: int = TILE, samples: int | None = None) -> DataFrame:
+def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int = TILE, samples: int | None = None) -> DataFrame:
     """Sum of z z' per set: (set_id, i, j, a) with 0-based sample indexes i <= j.
 
     Without `key` the genotypes are not shuffled while the matrix fits one
@@ -54,6 +55,7 @@ def gram(geno: DataFrame, key: str | None = None, salt: int = 8, tile: int = TIL
     """
     tiles = 1 if not samples else -(-samples // tile)
     cols = ([F.col(key).cast("string").alias("set_id")] if key else [F.lit("all").alias("set_id")])
+    cols.append((F.col(salt) if isinstance(salt, str) else F.lit(salt)).alias("_salts"))
     if tiles == 1:
         rows = geno.select(*cols, F.lit(0).alias("bi"), F.lit(0).alias("bj"),
                            F.col("dosages").alias("x"), F.lit(None).cast("array<tinyint>").alias("y"))
@@ -63,15 +65,16 @@ def gram(geno: DataFrame, key: str | None = None, salt: int = 8, tile: int = TIL
         part = lambda b: F.slice("z", b * tile + 1, F.lit(tile))
         rows = (
             with_centred(geno).select(*cols, "snp_id", "z", F.explode(blocks).alias("_b"))
-            .select("set_id", "snp_id", F.col("_b.bi").alias("bi"), F.col("_b.bj").alias("bj"),
+            .select("set_id", "_salts", "snp_id", F.col("_b.bi").alias("bi"), F.col("_b.bj").alias("bj"),
                     part(F.col("_b.bi")).alias("x"), part(F.col("_b.bj")).alias("y"))
         )
     if key or tiles > 1:
-        spread = F.pmod(F.xxhash64("snp_id"), F.lit(salt)) if tiles > 1 else F.pmod(F.xxhash64("x"), F.lit(salt))
+        spread = F.pmod(F.xxhash64("snp_id" if tiles > 1 else "x"), F.col("_salts"))
         rows = (
             rows.withColumn("_salt", spread).repartition("set_id", "bi", "bj", "_salt")
-            .sortWithinPartitions("set_id", "bi", "bj").select("set_id", "bi", "bj", "x", "y")
+            .sortWithinPartitions("set_id", "bi", "bj")
         )
+    rows = rows.select("set_id", "bi", "bj", "x", "y")
 
     def partial(batches):
         held, acc = None, None
@@ -141,15 +144,18 @@ def kinship(geno: DataFrame, denominator: str = "empirical", samples: int | None
     return scale_gram(numerators)
 
 
-def partition_kinship(geno: DataFrame, sets: DataFrame, key: str = "set_id", salt: int = 8,
+def partition_kinship(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: int = CHUNK,
                       total: DataFrame | None = None) -> DataFrame:
     """In-set and out-of-set kinship of every set: (set_id, partition, i, j, a, c, k).
 
     Only the in-set sums are computed; the complement is the all-SNP matrix
     minus them, so its SNPs are never read again and its SNP list never built.
+    A set is split in tasks of about `chunk` SNPs: a large set does not wait on
+    one task, and a small one emits a single partial matrix.
     """
     members = sets.select(F.col(key).cast("string").alias("set_id"), "snp_id").distinct()
-    inside = gram(geno.select("snp_id", "dosages").join(members, "snp_id"), "set_id", salt)
+    sizes = members.groupBy("set_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_parts"))
+    inside = gram(geno.select("snp_id", "dosages").join(members.join(sizes, "set_id"), "snp_id"), "set_id", "_parts")
     total = gram(geno) if total is None else total
     both = inside.join(total.select("i", "j", F.col("a").alias("a_all")), ["i", "j"])
     parts = both.select(

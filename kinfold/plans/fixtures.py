@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinfold.operators import genotype
+from kinfold.session import staged
 
 # Pathway patterns over the derived category codes; "0" is a curated list.
 PATTERNS = {
@@ -78,9 +80,9 @@ class Inputs:
     def panel(self) -> DataFrame:
         return genotype.panel_of(self.table("supplier").select(F.col("s_suppkey").alias("iid")))
 
-    @property
+    @cached_property
     def geno(self) -> DataFrame:
-        """SNP-major dosages: one array entry per supplier."""
+        """SNP-major dosages, one array entry per supplier: a stored table, as genotypes are."""
         p = F.col("p_partkey")
         part = self.wide(self.table("part").select("p_partkey"), "p_partkey").withColumn("iids", self.panel.scalar())
 
@@ -89,10 +91,11 @@ class Inputs:
             two = (s * 7919 + p * 104729 + s * p * 31) % 101 < p % 50
             return F.when(~missing, F.when(two, F.lit(2)).otherwise(F.lit(0))).cast("tinyint")
 
-        return part.select(
+        calls = part.select(
             F.concat(F.lit("S"), p.cast("string")).alias("snp_id"), (p % 5 + 1).cast("int").alias("chromosome"),
             (p * 618033 % 1000003).alias("position"), F.transform("iids", dose).alias("dosages"),
         )
+        return staged(calls, "geno")
 
     @property
     def geno_long(self) -> DataFrame:

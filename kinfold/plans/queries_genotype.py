@@ -192,4 +192,4 @@ def null_kinship(x):
         max(r) FILTER (partition=1) AS r1, max(r) FILTER (partition=2) AS r2 FROM rk GROUP BY ALL)
     SELECT set_id, round(corr(k1,k2),6) AS cor_p, round(corr(r1,r2),6) AS cor_s FROM wd GROUP BY set_id""")
 def kinship_corr(x):
-    return rounded(ki.kinship_corr(kin_parts(x)), 6, "cor_p", "cor_s")
+    return rounded(ki.kinship_corr(staged(kin_parts(x).where("i < j"), "pairs")), 6, "cor_p", "cor_s")

@@ -105,7 +105,8 @@ def histogram(df: DataFrame, col: str, by=(), width: float | None = None, bins:
     ends = rows.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     joined = rows.join(ends, by) if by else rows.withColumn("_e", ends.select(F.struct("_lo", "_hi")).scalar()).select(*rows.columns, "_e.*")
     span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    place = F.coalesce(F.least(F.floor((F.col(col) - F.col("_lo")) / span * bins), F.lit(bins - 1)), F.lit(0))
+    step = F.floor((F.col(col) - F.col("_lo")) / span * bins)
+    place = F.when(span.isNull(), F.lit(0)).otherwise(F.least(step, F.lit(bins - 1)))
     return joined.groupBy(*by, place.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -84,14 +84,17 @@ FIT_SCHEMA = (
     "py array<double>, pred_i array<int>, pred array<double>, converged boolean, iterations int, status string"
 )
 
+FIT_COLUMNS = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
+
 
 def _fit_rows(set_id, trait, y, w, kernels, scales, splits, iterations, cv_iterations, constrain):
     n = len(y)
     usable = ~np.isnan(y) & ~np.isnan(w).any(axis=1)
     for cv, fold, test in splits:
         train = usable & ~test
-        row = {"set_id": set_id, "trait": trait, "cv": cv, "fold": fold, "n_kernels": len(kernels),
-               "n_train": int(train.sum()), "scales": list(scales), "converged": False, "iterations": 0}
+        row = dict.fromkeys(FIT_COLUMNS)
+        row.update(set_id=set_id, trait=trait, cv=cv, fold=fold, n_kernels=len(kernels), n_train=int(train.sum()),
+                   scales=list(scales), converged=False, iterations=0)
         try:
             if n > DENSE_FIT_LIMIT:
                 raise ValueError(f"{n} samples exceed the dense-fit limit")
@@ -155,7 +158,7 @@ def fit_variance(grid: DataFrame, covar: DataFrame | None = None, folds: DataFra
                     y = np.array([np.nan if v is None else v for v in t["y"]], float)
                     rows += list(_fit_rows(item.set_id, t["trait"], y, w, kernels, np.array(item.scales, float),
                                            splits, iterations, cv_iterations, constrain))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")]).astype(
+                yield pd.DataFrame(rows, columns=FIT_COLUMNS).astype(
                     {"cv": "Int32", "fold": "Int32"}
                 )
 

@@ -9,6 +9,7 @@ from kinfold.functions.labels import pathway_category
 from kinfold.functions.ranking import cumulative, grouped_quantiles
 from kinfold.operators.intervals import complete_grid
 from kinfold.operators.phenotype import recode
+from kinfold.session import join_sized
 
 DISTS = ["1", "1.5", "2"]
 CHUNK = 10000
@@ -86,7 +87,7 @@ def quantile_curve(null: DataFrame, y: str, tau: float = 0.95, width: int = 1000
 
 def flag_exceed(null: DataFrame, curve: DataFrame, y: str, width: int = 1000, by: str = "trait") -> DataFrame:
     binned = null.withColumn("size_bin", size_step(F.col("size"), width))
-    return binned.join(curve.select(by, "size_bin", "threshold"), [by, "size_bin"], "left").withColumn(
+    return join_sized(binned, curve.select(by, "size_bin", "threshold"), [by, "size_bin"], "left").withColumn(
         "exceeds", F.col(y) >= F.col("threshold")
     )
 
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, col: str, by=(), width: float | None = None, bins:
     if width is not None:
         return rows.groupBy(*by, F.floor(F.col(col) / F.lit(float(width))).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     ends = rows.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    joined = rows.join(ends, by) if by else rows.withColumn("_e", ends.select(F.struct("_lo", "_hi")).scalar()).select(*rows.columns, "_e.*")
+    joined = join_sized(rows, ends, by) if by else rows.withColumn("_e", ends.select(F.struct("_lo", "_hi")).scalar()).select(*rows.columns, "_e.*")
     span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     step = F.floor((F.col(col) - F.col("_lo")) / span * bins)
     place = F.when(span.isNull(), F.lit(0)).otherwise(F.least(step, F.lit(bins - 1)))
@@ -115,7 +116,7 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     rows = df.where(F.col(value).isNotNull())
     q = grouped_quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    fenced = rows.select(*by, value).join(q, by).withColumn(
+    fenced = join_sized(rows.select(*by, value), q, by).withColumn(
         "_in", F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     )
     return fenced.groupBy(*by, "n", "q1", "median", "q3").agg(

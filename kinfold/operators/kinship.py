@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.functions.ranking import average_rank, cumulative
 from kinfold.functions.stats import safe_corr
@@ -22,6 +22,9 @@ from kinfold.operators.genotype import with_snp_stats
 TILE = 2048
 BATCH = 512
 CHUNK = 4096
+MAX_PARTS = 1024
+MERGE_WIDTH = 64
+DENSE_FIT_LIMIT = 5000
 
 
 def centred(lists: pa.Array, width: int) -> np.ndarray:
@@ -54,6 +57,7 @@ def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int
     samples; it is needed only to cut tiles.
     """
     tiles = 1 if not samples else -(-samples // tile)
+    geno = geno if key or tiles > 1 else _tasks(geno)
     cols = ([F.col(key).cast("string").alias("set_id")] if key else [F.lit("all").alias("set_id")])
     cols.append((F.col(salt) if isinstance(salt, str) else F.lit(salt)).alias("_salts"))
     if tiles == 1:
@@ -120,6 +124,11 @@ def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int
     return parts.groupBy("set_id", "i", "j").agg(F.sum("a").alias("a"))
 
 
+def _parts(chunk: int) -> Column:
+    """Tasks for a set: one per `chunk` SNPs, at most MAX_PARTS (a task streams any number of rows)."""
+    return F.least(F.ceil(F.count(F.lit(1)) / F.lit(chunk)), F.lit(MAX_PARTS)).alias("_parts")
+
+
 def scale_gram(numerators: DataFrame, by=("set_id",)) -> DataFrame:
     """K = A / (trace(A) / n); the trace is a small aggregate joined back."""
     trace = (
@@ -154,7 +163,7 @@ def partition_kinship(geno: DataFrame, sets: DataFrame, key: str = "set_id", chu
     one task, and a small one emits a single partial matrix.
     """
     members = sets.select(F.col(key).cast("string").alias("set_id"), "snp_id").distinct()
-    sizes = members.groupBy("set_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_parts"))
+    sizes = members.groupBy("set_id").agg(_parts(chunk))
     inside = gram(geno.select("snp_id", "dosages").join(members.join(sizes, "set_id"), "snp_id"), "set_id", "_parts")
     total = gram(geno) if total is None else total
     both = inside.join(total.select("i", "j", F.col("a").alias("a_all")), ["i", "j"])
@@ -174,15 +183,132 @@ def name_samples(pairs: DataFrame, panel: DataFrame) -> DataFrame:
     return pairs.withColumn("i", F.element_at(iids, F.col("i") + 1)).withColumn("j", F.element_at(iids, F.col("j") + 1))
 
 
-def packed_kernels(kinships: DataFrame, by=("set_id", "partition")) -> DataFrame:
+def packed_kernels(kinships: DataFrame, by=("set_id", "partition"), limit: int = DENSE_FIT_LIMIT) -> DataFrame:
     """Upper triangle of each kernel as array<double> in (i, j) order, for the dense fits.
 
-    Only for panels under the dense-fit cap: one kernel is one row.
+    One kernel becomes one row, so a panel above `limit` samples is refused on
+    its first row; `fit_he` works on the long form without a bound. Rows of the
+    triangle are gathered first: the last step sorts n arrays, not n^2 values.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("i", "j", "k")))
-    return kinships.groupBy(*by).agg(
-        (F.max("j") + 1).alias("n"), F.max("c").alias("c"), F.transform(ordered, lambda s: s["k"]).alias("kernel")
+    by = list(by)
+    fits = F.when(F.col("j") >= limit, F.raise_error(F.lit(f"more than {limit} samples: use fit_he"))).otherwise(F.col("k"))
+    lines = kinships.groupBy(*by, "i").agg(
+        F.max("c").alias("c"), F.max("j").alias("j"),
+        F.transform(F.sort_array(F.collect_list(F.struct("j", fits.cast("double").alias("k")))), lambda s: s["k"]).alias("line"),
     )
+    ordered = F.sort_array(F.collect_list(F.struct("i", "line")))
+    return lines.groupBy(*by).agg(
+        (F.max("j") + 1).alias("n"), F.max("c").alias("c"), F.flatten(F.transform(ordered, lambda s: s["line"])).alias("kernel")
+    )
+
+
+def set_kernels(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: int = CHUNK, limit: int = DENSE_FIT_LIMIT) -> DataFrame:
+    """Both kernels of many sets, packed: (set_id, n, scales, kernels).
+
+    For grids of thousands of small sets. Partial matrices travel as packed
+    triangles, one row each, and are added in a streaming pass sorted by set;
+    the complement is the packed total minus the sum. Equal to
+    `partition_kinship` followed by packing, without a row per sample pair.
+    """
+    members = sets.select(F.col(key).cast("string").alias("set_id"), "snp_id").distinct()
+    sizes = members.groupBy("set_id").agg(_parts(chunk))
+    rows = geno.select("snp_id", "dosages").join(members.join(sizes, "set_id"), "snp_id")
+    rows = (
+        rows.withColumn("_salt", F.pmod(F.xxhash64("snp_id"), F.col("_parts"))).repartition("set_id", "_salt")
+        .sortWithinPartitions("set_id").select("set_id", "dosages")
+    )
+    sums = _packed_sums(rows, limit).repartition("set_id").sortWithinPartitions("set_id")
+    schema = "set_id string, n int, scales array<double>, kernels array<array<double>>"
+
+    def finish(batches):
+        for set_id, acc, total in _sum_runs(batches):
+            n = int((np.sqrt(8 * len(acc) + 1) - 1) / 2)
+            diagonal = np.cumsum(np.concatenate([[0], np.arange(n, 1, -1)]))
+            parts = [acc, total - acc]
+            scales = [float(p[diagonal].sum() / n) for p in parts]
+            kernels = [p / c if c > 0 else np.zeros_like(p) for p, c in zip(parts, scales)]
+            yield pa.RecordBatch.from_pydict({
+                "set_id": pa.array([set_id], pa.string()), "n": pa.array([n], pa.int32()),
+                "scales": pa.array([scales], pa.list_(pa.float64())), "kernels": pa.array([kernels], pa.list_(pa.list_(pa.float64()))),
+            })
+
+    return sums.select("set_id", "a", packed_total(geno, limit).select("a").scalar().alias("t")).mapInArrow(finish, schema)
+
+
+def packed_total(geno: DataFrame, limit: int = DENSE_FIT_LIMIT) -> DataFrame:
+    """The all-SNP numerators as one packed row, added in two streaming levels."""
+    one = _tasks(geno).select(F.lit("all").alias("set_id"), "dosages")
+    first = _packed_sums(one, limit).withColumn("_g", F.pmod(F.xxhash64("a"), F.lit(MERGE_WIDTH)))
+    middle = _added(first.repartition(MERGE_WIDTH, "_g").select("set_id", "a"))
+    return _added(middle.coalesce(1))
+
+
+def _tasks(geno: DataFrame) -> DataFrame:
+    """Fewer and longer tasks: each streams its rows and emits one partial matrix."""
+    return geno.coalesce(2 * geno.sparkSession.sparkContext.defaultParallelism)
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    def add(batches):
+        for set_id, acc, _ in _sum_runs(batches):
+            yield pa.RecordBatch.from_pydict({"set_id": pa.array([set_id], pa.string()), "a": pa.array([acc], pa.list_(pa.float64()))})
+
+    return rows.mapInArrow(add, "set_id string, a array<double>")
+
+
+def _sum_runs(batches):
+    """Add the arrays `a` of consecutive rows of a set: (set_id, sum, `t` of the first row seen)."""
+    held, acc, total = None, None, None
+    for b in batches:
+        ids, values = b["set_id"].to_pylist(), b["a"]
+        if total is None and "t" in b.schema.names and b.num_rows:
+            total = b["t"][0].values.to_numpy(zero_copy_only=False)
+        for r, set_id in enumerate(ids):
+            row = values[r].values.to_numpy(zero_copy_only=False)
+            if set_id == held:
+                acc += row
+                continue
+            if held is not None:
+                yield held, acc, total
+            held, acc = set_id, row.copy()
+    if held is not None:
+        yield held, acc, total
+
+
+def _packed_sums(rows: DataFrame, limit: int) -> DataFrame:
+    """Partial sums of z z' over runs of equal set_id, as packed upper triangles: (set_id, a)."""
+
+    def partial(batches):
+        held, acc = None, None
+
+        def emit():
+            return pa.RecordBatch.from_pydict({
+                "set_id": pa.array([held], pa.string()), "a": pa.array([acc[np.triu_indices(len(acc))]], pa.list_(pa.float64())),
+            })
+
+        for b in batches:
+            ids = b["set_id"].to_pylist()
+            start = 0
+            while start < len(ids):
+                stop = start
+                while stop < len(ids) and ids[stop] == ids[start] and stop - start < BATCH:
+                    stop += 1
+                x = b["dosages"].slice(start, stop - start)
+                width = len(x[0])
+                if width > limit:
+                    raise ValueError(f"more than {limit} samples: use fit_he")
+                z = centred(x, width)
+                if ids[start] != held:
+                    if held is not None:
+                        yield emit()
+                    held, acc = ids[start], z.T @ z
+                else:
+                    acc += z.T @ z
+                start = stop
+        if held is not None:
+            yield emit()
+
+    return rows.mapInArrow(partial, "set_id string, a array<double>")
 
 
 def unpack(values, n: int) -> np.ndarray:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from kinfold.functions.hashing import hash_bits, hash_key
 from kinfold.functions.ranking import cumulative
 from kinfold.operators.genotype import in_panel_order
-from kinfold.operators.kinship import centred, unpack
+from kinfold.operators.kinship import DENSE_FIT_LIMIT, centred, unpack
 from kinfold.operators.reml import Fit, fit_many, fit_one, ratio_sd
+from kinfold.session import join_sized
 
-DENSE_FIT_LIMIT = 5000
 SHIP_LIMIT = 256 << 20
 
 
@@ -287,7 +287,7 @@ def fit_he(pairs: DataFrame, pheno: DataFrame, value: str = "value", by=("set_id
     """
     by = list(by)
     means = pheno.groupBy("trait").agg(F.avg(value).alias("_mean"))
-    y = pheno.join(means, "trait").select("iid", "trait", (F.col(value) - F.col("_mean")).alias("y"))
+    y = join_sized(pheno, means, ["trait"]).select("iid", "trait", (F.col(value) - F.col("_mean")).alias("y"))
     off = pairs.where(F.col("i") < F.col("j"))
     wide = off.groupBy(*by, "i", "j").agg(
         F.max(F.when(F.col("partition") == 1, F.col("k"))).alias("k1"),

@@ -8,6 +8,7 @@ from kinfold.functions.labels import FAMILY_ORDER, label_rank
 from kinfold.functions.ranking import cumulative, grouped_quantiles
 from kinfold.functions.stats import safe_corr
 from kinfold.operators.phenotype import classify_trait
+from kinfold.session import join_sized
 
 FOLD = ["cvnum", "fold"]
 
@@ -84,7 +85,7 @@ def calibration(preds: DataFrame, by: list[str], total: str = "total", phenotype
 def having_mean(df: DataFrame, key: str, col: str, above: float) -> DataFrame:
     """All rows of the keys whose mean exceeds a limit: aggregate and semi join, no window over a whole key."""
     keys = df.groupBy(key).agg(F.avg(col).alias("_m")).where(F.col("_m") > above)
-    return df.join(keys, key, "left_semi")
+    return join_sized(df, keys.select(key), [key], "left_semi")
 
 
 def order_by_stat(df: DataFrame, key: str, col: str) -> DataFrame:

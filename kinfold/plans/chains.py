@@ -26,14 +26,13 @@ def prepared(x: Inputs) -> tuple[DataFrame, DataFrame]:
 def one_kernel(x: Inputs, folds: DataFrame | None = None, full: bool = True, data=None) -> DataFrame:
     geno, panel = data or prepared(x)
     packed = ki.packed_kernels(ki.kinship(geno).withColumn("partition", F.lit(1)))
-    return _fit(x, panel, packed, folds, full)
+    return _fit(x, panel, mo.model_kernels(packed), folds, full)
 
 
 def two_kernel(x: Inputs, folds: DataFrame | None = None, full: bool = True, data=None, sets: DataFrame | None = None) -> DataFrame:
     geno, panel = data or prepared(x)
     sets = staged(all_sets(x).withColumnRenamed("pathway", "set_id"), "sets") if sets is None else sets
-    packed = ki.packed_kernels(ki.partition_kinship(geno, sets))
-    return _fit(x, panel, packed, folds, full)
+    return _fit(x, panel, ki.set_kernels(geno, sets), folds, full)
 
 
 def null_models(x: Inputs, reps: int = 3, data=None) -> DataFrame:
@@ -41,9 +40,9 @@ def null_models(x: Inputs, reps: int = 3, data=None) -> DataFrame:
     return two_kernel(x, data=data, sets=staged(rows.distinct(), "null_sets"))
 
 
-def _fit(x: Inputs, panel: DataFrame, packed: DataFrame, folds: DataFrame | None, full: bool) -> DataFrame:
+def _fit(x: Inputs, panel: DataFrame, kernels: DataFrame, folds: DataFrame | None, full: bool) -> DataFrame:
     traits = mo.pheno_arrays(x.pheno_long, panel)
-    grid = mo.model_grid(mo.model_kernels(packed), traits, TRAIT_BLOCKS)
+    grid = mo.model_grid(kernels, traits, TRAIT_BLOCKS)
     covar = mo.covariate_arrays(x.covariates(2), panel, COVARIATES)
     return mo.fit_variance(grid, covar, mo.fold_arrays(folds, panel) if folds is not None else None, full)
 

@@ -67,3 +67,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a large table with a derived one that is expected to be small.
+
+    The planner cannot know the size of an aggregate, so it would shuffle the
+    large side by the key (a few traits, one of them hot) before it learns
+    better. Written first, the aggregate has a known size: below the broadcast
+    threshold the large side is not shuffled at all, above it the join is a
+    sort-merge join under the adaptive skew rule.
+    """
+    return big.join(staged(small, "sized"), on, how)

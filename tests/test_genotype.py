@@ -103,6 +103,26 @@ def test_packed_kernels(data):
     assert np.allclose(ki.unpack(row["kernel"], row["n"]), a / (np.trace(a) / N))
 
 
+def test_set_kernels_equal_packed_partitions(spark, data):
+    _, geno, _ = data
+    sets = spark.createDataFrame([("u", f"S{j}") for j in range(0, M, 3)] + [("v", "S5")], "set_id string, snp_id string")
+    want = {(r["set_id"], r["partition"]): r for r in ki.packed_kernels(ki.partition_kinship(geno, sets)).collect()}
+    rows = ki.set_kernels(geno, sets, chunk=7).collect()
+    assert {r["set_id"] for r in rows} == {"u", "v"}
+    for r in rows:
+        for p in (1, 2):
+            w = want[r["set_id"], p]
+            assert r["n"] == N and np.isclose(r["scales"][p - 1], w["c"]) and np.allclose(r["kernels"][p - 1], w["kernel"])
+
+
+def test_dense_kernels_refuse_a_large_panel(data):
+    _, geno, _ = data
+    with pytest.raises(Exception, match="samples"):
+        ki.packed_kernels(ki.kinship(geno).withColumn("partition", F.lit(1)), limit=10).collect()
+    with pytest.raises(Exception, match="samples"):
+        ki.set_kernels(geno, geno.select(F.lit("a").alias("set_id"), "snp_id"), limit=10).collect()
+
+
 def test_pca_dense_and_iterated(data):
     x, geno, panel = data
     z = centred(x)

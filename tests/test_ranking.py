@@ -20,7 +20,7 @@ def frame(spark):
 @pytest.mark.parametrize("mod", [1, 3, 1024])
 def test_cumulative(frame, mod):
     pdf, df = frame
-    got = ranking.cumulative(df, ["g"], ["v"], sample_mod=mod, ranges=8).toPandas()
+    got = ranking.cumulative(df, ["g"], ["v"], sample_mod=mod, ranges=200 if mod == 1 else 8).toPandas()
     counts = pdf.fillna({"g": "-"}).groupby(["g", "v"]).size().rename("n").reset_index()
     counts["upto"] = counts.groupby("g")["n"].cumsum()
     counts["total"] = counts.groupby("g")["n"].transform("sum")
@@ -52,3 +52,13 @@ def test_quantiles(frame, mod, monkeypatch):
     got = ranking.grouped_quantiles(df.where("g is not null"), ["g"], "v", {"a": 0.25, "b": 0.977}).toPandas().set_index("g")
     for g, part in pdf.dropna().groupby("g"):
         assert np.allclose(got.loc[g, ["a", "b"]].astype(float), np.quantile(part["v"], [0.25, 0.977]))
+
+
+def test_ranges_rise_with_the_value(frame):
+    pdf, df = frame
+    one = df.select("g", "v").distinct()
+    for ranges in (5, 300):
+        got = ranking.with_ranges(one, ["g"], "v", 1, ranges).toPandas()
+        for _, part in got.groupby("g", dropna=False):
+            part = part.sort_values("v")
+            assert part["_range"].is_monotonic_increasing and part["_range"].nunique() >= min(ranges, 100) - 1

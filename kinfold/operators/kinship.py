@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinfold.functions.ranking import average_rank, cumulative
 from kinfold.functions.stats import safe_corr
 from kinfold.operators.genotype import with_snp_stats
+from kinfold.session import staged
 
 TILE = 2048
 BATCH = 512
@@ -145,8 +146,12 @@ def hwe_denominator(geno: DataFrame) -> DataFrame:
 
 
 def kinship(geno: DataFrame, denominator: str = "empirical", samples: int | None = None) -> DataFrame:
-    """All-SNP kinship: (i, j, a, c, k)."""
-    numerators = gram(geno, samples=samples)
+    """All-SNP kinship: (i, j, a, c, k).
+
+    The numerators are written once: their scale needs the diagonal, and a
+    filter on it would be pushed below the sums and run every product again.
+    """
+    numerators = staged(gram(geno, samples=samples), "numerators")
     if denominator == "hwe":
         c = hwe_denominator(geno)
         return numerators.withColumn("c", c.scalar()).withColumn("k", F.col("a") / F.col("c"))
@@ -165,7 +170,8 @@ def partition_kinship(geno: DataFrame, sets: DataFrame, key: str = "set_id", chu
     members = sets.select(F.col(key).cast("string").alias("set_id"), "snp_id").distinct()
     sizes = members.groupBy("set_id").agg(_parts(chunk))
     inside = gram(geno.select("snp_id", "dosages").join(members.join(sizes, "set_id"), "snp_id"), "set_id", "_parts")
-    total = gram(geno) if total is None else total
+    inside = staged(inside, "numerators")
+    total = staged(gram(geno), "numerators") if total is None else total
     both = inside.join(total.select("i", "j", F.col("a").alias("a_all")), ["i", "j"])
     parts = both.select(
         "set_id", "i", "j",

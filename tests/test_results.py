@@ -30,6 +30,9 @@ def test_chi_square(spark):
     p = np.array([0.05, 0.5, 0.95, 0.999])
     assert np.allclose(ds.chi2_quantile(p, 1), [0.00393214, 0.45493642, 3.84145882, 10.82756617], atol=1e-6)
     assert np.allclose(ds.chi2_quantile(p, 2), -2 * np.log(1 - p), atol=1e-8)
+    grid = np.concatenate([10.0 ** -np.arange(1, 12), np.linspace(0.001, 0.999999, 500)])
+    for df in (0.3, 1, 1.5, 3, 40):
+        assert np.allclose(ds.gamma_p(df / 2, ds.chi2_quantile(grid, df) / 2), grid, rtol=1e-9, atol=1e-14)
     assert np.allclose(ds.gamma_p(0.75, ds.chi2_quantile(p, 1.5) / 2), p, atol=1e-10)
 
 

@@ -257,5 +257,6 @@ def oracle(body: str) -> str:
         return _positive_zero(body)
     prefix = ",\n".join(f"{n} AS ({SQL[n]})" for n in needed)
     body = body.strip()
-    joined = f",\n{body[5:]}" if body.upper().startswith("WITH ") else f"\n{body}"
-    return _positive_zero(f"WITH {prefix}{joined}")
+    start = "WITH RECURSIVE" if body.startswith("WITH RECURSIVE ") else "WITH"
+    joined = f",\n{body[len(start):]}" if body.startswith("WITH ") else f"\n{body}"
+    return _positive_zero(f"{start} {prefix}{joined}")

@@ -151,7 +151,24 @@ def sample_gene_groups(x):
     return generic_draw(x)[0].select("random_group", "drawn_gene_id")
 
 
-@query("N2")
+def walk_sql(group: str) -> str:
+    """The sequential draw over `keyed`: take a gene unless an earlier buffer covers it, stop at the target."""
+    on = " AND ".join(f"s.{c}=w.{c}" for c in group.split(", "))
+    own = ", ".join(f"w.{c}" for c in group.split(", "))
+    return f"""cover AS (SELECT {'pathway, ' if 'pathway' in group else ''}drawn_gene_id, list(DISTINCT ensembl_gene_id) AS covers FROM buffers
+        WHERE ensembl_gene_id IS NOT NULL GROUP BY ALL),
+    seq AS (SELECT k.*, c.covers, row_number() OVER (PARTITION BY {group} ORDER BY k, k.drawn_gene_id) AS ord FROM ({{keyed}}) k
+        JOIN cover c USING ({'pathway, ' if 'pathway' in group else ''}drawn_gene_id)),
+    walk AS (SELECT DISTINCT {group}, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS covered, false AS took, '' AS gene FROM seq
+        UNION ALL SELECT {own}, s.ord, w.total+CASE WHEN list_contains(w.covered, s.drawn_gene_id) THEN 0 ELSE s.n END,
+        CASE WHEN list_contains(w.covered, s.drawn_gene_id) THEN w.covered ELSE list_concat(w.covered, s.covers) END,
+        NOT list_contains(w.covered, s.drawn_gene_id), s.drawn_gene_id FROM walk w JOIN seq s ON {on} AND s.ord=w.ord+1 WHERE w.total<s.size)
+    SELECT {{out}}, gene AS drawn_gene_id, row_number() OVER (PARTITION BY {group} ORDER BY ord) AS draw_no FROM walk WHERE took"""
+
+
+@query("N2", "WITH RECURSIVE " + SPANS + ", " + walk_sql("random_group").format(
+    keyed="SELECT random_group, size, drawn_gene_id, n, -ln(" + U.format("'draw|generic|'||t.random_group||'|'||p.drawn_gene_id")
+    + ")/p.weight AS k FROM targets t, spans p JOIN rows_of r USING (drawn_gene_id)", out="'generic' AS set_id, random_group"))
 def sample_gene_groups_exact(x):
     snps = staged(snp_gene(x), "snp_gene")
     spans = sa.gene_spans(snps)
@@ -206,7 +223,7 @@ def matched_null_sets(x):
     return matched_rows(x).select("pathway", "random_group", "drawn_gene_id", "snp_id", "ensembl_gene_id")
 
 
-@query("N4")
+@query("N4", "WITH RECURSIVE " + MATCHED + ", " + walk_sql("pathway, random_group").format(keyed="SELECT * FROM keyed", out="pathway, random_group"))
 def matched_null_sets_exact(x):
     sets, pool, spans, buffers = matched_pool(x)
     cover = sa.gene_cover(buffers, spans, ["pathway"])

@@ -106,7 +106,20 @@ def residualize_one(x):
     return out.select("iid", "trait", r("residual", 5).alias("residual"))
 
 
-@query("G10")
+def projection_sql(k: int) -> str:
+    """Residuals on k covariates: centre, then remove one orthogonalised covariate after the other."""
+    names = ["y"] + [f"x{i}" for i in range(1, k + 1)]
+    raw = ", ".join(f"CAST(e.embedding[{i}] AS DOUBLE) AS x{i}" for i in range(1, k + 1))
+    steps = [f"""s0 AS (SELECT iid, trait, {', '.join(f'{c}-avg({c}) OVER (PARTITION BY trait) AS {c}' for c in names)} FROM (
+        SELECT p.iid, p.trait, p.value AS y, {raw} FROM fx_pheno_long p JOIN embeddings e ON e.vec_id=p.iid))"""]
+    for i in range(1, k + 1):
+        left = ["y"] + [f"x{j}" for j in range(i + 1, k + 1)]
+        cols = ", ".join(f"{c}-x{i}*sum({c}*x{i}) OVER (PARTITION BY trait)/sum(x{i}*x{i}) OVER (PARTITION BY trait) AS {c}" for c in left)
+        steps.append(f"s{i} AS (SELECT iid, trait, {cols} FROM s{i - 1})")
+    return f"WITH {', '.join(steps)} SELECT iid, trait, round(y,5) AS residual FROM s{k}"
+
+
+@query("G10", projection_sql(6))
 def residualize_six(x):
     cols = [f"pc{i}" for i in range(1, 7)]
     return st.residualize(x.pheno_long, x.covariates(6), cols).select("iid", "trait", r("residual", 5).alias("residual"))
@@ -136,7 +149,13 @@ def ld_score(x):
     return rounded(st.ld_score(x.geno, rounded(st.ld_window(x.geno, LD_KB), 9, "r2")), 9, "ld_score")
 
 
-@query("G12")
+@query("G12", f"""WITH RECURSIVE {LD}, strong AS (SELECT snp_b, list(snp_a) AS partners FROM ld WHERE r2>0.02 GROUP BY snp_b),
+    seq AS (SELECT s.*, coalesce(t.partners, CAST([] AS VARCHAR[])) AS partners, row_number() OVER (PARTITION BY chromosome ORDER BY position, snp_id) AS ord
+        FROM snp s LEFT JOIN strong t ON t.snp_b=s.snp_id),
+    walk AS (SELECT DISTINCT chromosome, CAST(0 AS BIGINT) AS ord, CAST([] AS VARCHAR[]) AS kept, false AS took, CAST(0 AS BIGINT) AS position, '' AS snp_id FROM seq
+        UNION ALL SELECT w.chromosome, s.ord, CASE WHEN list_has_any(w.kept, s.partners) THEN w.kept ELSE list_append(w.kept, s.snp_id) END,
+        NOT list_has_any(w.kept, s.partners), s.position, s.snp_id FROM walk w JOIN seq s ON s.chromosome=w.chromosome AND s.ord=w.ord+1)
+    SELECT chromosome, position, snp_id FROM walk WHERE took""")
 def ld_prune(x):
     return st.ld_prune(x.geno, st.ld_window(x.geno, LD_KB), LD_KB, 0.02)
 

@@ -10,7 +10,7 @@ and `salt` spreads a bin that holds a large share of the points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BIN = 4096
 
@@ -71,14 +71,33 @@ def distinct_on(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.groupBy(*keys).agg(first.alias("_f")).select(*keys, *[F.col("_f")[c].alias(c) for c in rest])
 
 
+def first_match_intervals(intervals: DataFrame, low: Column, high: Column, by: list[str], order: list[str]) -> DataFrame:
+    """Cut overlapping closed integer intervals into those a first match would return.
+
+    With rows in ascending order of `low` (then `order`), an earlier interval
+    starts no later than a later one, so it covers a point of the later one
+    exactly when its end reaches that point. An interval therefore owns the
+    part above the greatest end before it: one piece, `own_low`..`own_high`,
+    disjoint from all others of the group. A point then meets at most one row,
+    and a join needs no step that removes further matches.
+    """
+    earlier = W.partitionBy(*by).orderBy("own_low", *order).rowsBetween(W.unboundedPreceding, -1)
+    pieces = intervals.withColumn("own_low", low).withColumn("own_high", high)
+    pieces = pieces.withColumn("own_low", F.greatest(F.col("own_low"), F.max("own_high").over(earlier) + 1))
+    return pieces.where(F.col("own_low") <= F.col("own_high"))
+
+
 def snp_to_gene(snps: DataFrame, genes: DataFrame, bin_width: int = BIN, salt: int = 1) -> DataFrame:
-    """First gene (by start, then id) whose closed range holds the SNP; NULL where none does."""
+    """First gene (by start, then id) whose closed range holds the SNP; NULL where none does.
+
+    One row per SNP, and no shuffle of the SNPs while the gene side is broadcast.
+    """
     spans = genes.select("chromosome_name", "ensembl_gene_id", "start_position", "end_position").distinct()
-    hits = range_join(snps, spans, "position", F.col("start_position"), F.col("end_position"),
-                      how="left", bin_width=bin_width, salt=salt)
-    return hits.groupBy("chromosome", "position", "snp_id").agg(
-        F.min_by("ensembl_gene_id", F.struct("start_position", "ensembl_gene_id")).alias("ensembl_gene_id")
-    ).select("chromosome", "position", "ensembl_gene_id", "snp_id")
+    owned = first_match_intervals(spans, F.col("start_position"), F.col("end_position"), ["chromosome_name"], ["ensembl_gene_id"])
+    return range_join(snps, owned.select("chromosome_name", "ensembl_gene_id", "own_low", "own_high"), "position",
+                      F.col("own_low"), F.col("own_high"), how="left", bin_width=bin_width, salt=salt).select(
+        "chromosome", "position", "ensembl_gene_id", "snp_id"
+    )
 
 
 def attach_map(snp_gene: DataFrame, snp_map: DataFrame) -> DataFrame:
@@ -120,11 +139,17 @@ def buffered_hits(snp_gene: DataFrame, genes: DataFrame, buffer: int = 2500, inc
 
 
 def pathway_snps(snp_gene: DataFrame, genes: DataFrame, buffer: int = 2500, bin_width: int = BIN, salt: int = 1) -> DataFrame:
-    """One row per (pathway, SNP): the first buffered gene by (start, id)."""
-    hits = buffered_hits(snp_gene, genes, buffer, True, bin_width, salt)
-    hits = hits.select("pathway", "snp_id", "chromosome", "position", "ensembl_gene_id", "hit_gene_id",
+    """One row per (pathway, SNP): the first buffered gene by (start, id).
+
+    The distinct-on is done on the gene side, by cutting the buffered ranges of
+    a pathway into disjoint pieces; the SNPs are not shuffled for it.
+    """
+    owned = first_match_intervals(
+        genes, F.col("start_position") - buffer, F.col("end_position") + buffer, ["pathway", "chromosome_name"], ["ensembl_gene_id"]
+    ).withColumnRenamed("ensembl_gene_id", "hit_gene_id")
+    hits = range_join(snp_gene, owned, "position", F.col("own_low"), F.col("own_high"), bin_width=bin_width, salt=salt)
+    return hits.select("pathway", "snp_id", "chromosome", "position", "ensembl_gene_id", "hit_gene_id",
                        "start_position", "bincode", "name")
-    return distinct_on(hits, ["pathway", "snp_id"], ["start_position", "hit_gene_id"])
 
 
 def pathway_sets(pattern_sets: DataFrame, curated: DataFrame) -> DataFrame:

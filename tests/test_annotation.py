@@ -55,6 +55,27 @@ def test_range_join_is_brute_force(spark):
         assert pairs == want
 
 
+def test_first_match_is_brute_force(spark):
+    rng = np.random.default_rng(9)
+    spans = [(1, f"g{i:03d}", (s := int(rng.integers(0, 3000))), s + int(rng.integers(0, 400)), f"p{i % 3}", "c", "n") for i in range(60)]
+    spans += [(1, "h", 500, 700, "p0", "c", "n"), (1, "a", 500, 900, "p0", "c", "n")]  # equal starts
+    g = spark.createDataFrame(spans, "chromosome_name int, ensembl_gene_id string, start_position long, end_position long, pathway string, bincode string, name string")
+    p = spark.range(0, 3500, 7).select(F.concat(F.lit("s"), "id").alias("snp_id"), F.lit(1).alias("chromosome"), F.col("id").alias("position"))
+
+    def first(x, rows, buffer):
+        hits = sorted((lo, n) for _, n, lo, hi, *_ in rows if lo - buffer <= x <= hi + buffer)
+        return hits[0][1] if hits else None
+
+    genes = iv.snp_to_gene(p, g, bin_width=128).collect()
+    assert len(genes) == 500 and all(r["ensembl_gene_id"] == first(r["position"], spans, 0) for r in genes)
+    snps = p.withColumn("ensembl_gene_id", F.lit(None).cast("string"))
+    got = {(r["pathway"], r["position"]): r["hit_gene_id"] for r in iv.pathway_snps(snps, g, 50, bin_width=128, salt=2).collect()}
+    for path in ("p0", "p1", "p2"):
+        own = [s for s in spans if s[4] == path]
+        for x in range(0, 3500, 7):
+            assert got.get((path, x)) == first(x, own, 50)
+
+
 def test_codes_are_unescaped_prefix_patterns(spark):
     codes = spark.createDataFrame([("29.5.1",), ("29.5.11",), ("29.5.11.2",), ("29.1",), ("29.10",), ("2935.1",), ("129.1",)], "bincode string")
     pats = {"one": "29.5.1$", "eleven": "29.5.11", "degr": "(?!29.5.11)29.5", "loose": "29.1", "skip": "0"}

@@ -11,8 +11,8 @@ from kinfold.functions.hashing import hash_bits, hash_key
 from kinfold.functions.ranking import cumulative
 from kinfold.operators.genotype import in_panel_order
 from kinfold.operators.kinship import DENSE_FIT_LIMIT, centred, unpack
-from kinfold.operators.reml import Fit, fit_many, fit_one, ratio_sd
-from kinfold.session import join_sized
+from kinfold.operators.reml import Basis, Fit, fit_many, fit_one, ratio_sd
+from kinfold.session import join_sized, staged
 
 SHIP_LIMIT = 256 << 20
 
@@ -87,44 +87,48 @@ FIT_SCHEMA = (
 FIT_COLUMNS = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
 
 
-def _fit_rows(set_id, trait, y, w, kernels, scales, splits, iterations, cv_iterations, constrain):
-    n = len(y)
-    usable = ~np.isnan(y) & ~np.isnan(w).any(axis=1)
+def _fit_rows(set_id, traits, w, kernels, scales, splits, iterations, cv_iterations, constrain):
+    """All fits of a work item. Traits called in the same samples share the decomposition of a split."""
+    n = len(w)
+    covered = ~np.isnan(w).any(axis=1)
     for cv, fold, test in splits:
-        train = usable & ~test
-        row = dict.fromkeys(FIT_COLUMNS)
-        row.update(set_id=set_id, trait=trait, cv=cv, fold=fold, n_kernels=len(kernels), n_train=int(train.sum()),
-                   scales=list(scales), converged=False, iterations=0)
-        try:
-            if n > DENSE_FIT_LIMIT:
-                raise ValueError(f"{n} samples exceed the dense-fit limit")
-            if train.sum() <= w.shape[1] + 2 or np.var(y[train]) == 0:
-                raise ValueError("too few samples or constant values")
-            ix = np.ix_(train, train)
-            sub = [k[ix] for k in kernels]
-            cap = iterations if cv is None else cv_iterations
-            fit: Fit = (fit_one(y[train], w[train], sub[0], constrain, cap) if len(sub) == 1
-                        else fit_many(y[train], w[train], sub, constrain, cap))
-            s = fit.variances
-            genetic = np.append(np.ones(len(sub)), 0.0)
-            unit = np.eye(len(sub) + 1)
-            total_g = genetic @ s
-            py = np.zeros(n)
-            py[train] = fit.py
-            targets = test & ~np.isnan(w).any(axis=1)
-            value = w[targets] @ fit.theta + sum(x * (k[targets] @ py) for x, k in zip(s, kernels))
-            row.update(
-                loglik=fit.loglik, h2=total_g / s.sum(), h2_sd=ratio_sd(fit, genetic, np.ones(len(s))),
-                shares=[float(x / total_g) if total_g > 0 else None for x in s[:-1]],
-                share_sds=[ratio_sd(fit, unit[i], genetic) for i in range(len(sub))],
-                variances=s.tolist(), theta=fit.theta.tolist(), py=py.tolist(),
-                pred_i=np.flatnonzero(targets).tolist(), pred=value.tolist(),
-                converged=bool(fit.converged), iterations=int(fit.iterations),
-                status="ok" if fit.converged else "not converged",
-            )
-        except Exception as error:  # one failed fit must not end the grid
-            row["status"] = f"error: {error}"
-        yield row
+        bases: dict[bytes, Basis] = {}
+        for trait, y in traits:
+            train = ~np.isnan(y) & covered & ~test
+            row = dict.fromkeys(FIT_COLUMNS)
+            row.update(set_id=set_id, trait=trait, cv=cv, fold=fold, n_kernels=len(kernels), n_train=int(train.sum()),
+                       scales=list(scales), converged=False, iterations=0)
+            try:
+                if n > DENSE_FIT_LIMIT:
+                    raise ValueError(f"{n} samples exceed the dense-fit limit")
+                if train.sum() <= w.shape[1] + 2 or np.var(y[train]) == 0:
+                    raise ValueError("too few samples or constant values")
+                basis = bases.get(train.tobytes())
+                if basis is None:
+                    ix = np.ix_(train, train)
+                    bases = {train.tobytes(): (basis := Basis(w[train], [k[ix] for k in kernels]))}
+                run = fit_one if len(kernels) == 1 else fit_many
+                fit: Fit = run(y[train], basis, constrain, iterations if cv is None else cv_iterations)
+                s = fit.variances
+                genetic = np.append(np.ones(len(kernels)), 0.0)
+                unit = np.eye(len(kernels) + 1)
+                total_g = genetic @ s
+                py = np.zeros(n)
+                py[train] = fit.py
+                targets = test & covered
+                value = w[targets] @ fit.theta + sum(x * (k[targets] @ py) for x, k in zip(s, kernels))
+                row.update(
+                    loglik=fit.loglik, h2=total_g / s.sum(), h2_sd=ratio_sd(fit, genetic, np.ones(len(s))),
+                    shares=[float(x / total_g) if total_g > 0 else None for x in s[:-1]],
+                    share_sds=[ratio_sd(fit, unit[i], genetic) for i in range(len(kernels))],
+                    variances=s.tolist(), theta=fit.theta.tolist(), py=py.tolist(),
+                    pred_i=np.flatnonzero(targets).tolist(), pred=value.tolist(),
+                    converged=bool(fit.converged), iterations=int(fit.iterations),
+                    status="ok" if fit.converged else "not converged",
+                )
+            except Exception as error:  # one failed fit must not end the grid
+                row["status"] = f"error: {error}"
+            yield row
 
 
 def fit_variance(grid: DataFrame, covar: DataFrame | None = None, folds: DataFrame | None = None, full: bool = True,
@@ -153,11 +157,9 @@ def fit_variance(grid: DataFrame, covar: DataFrame | None = None, folds: DataFra
                     assigned = np.array([-1 if f is None else f for f in rep["fold"]], float)
                     assigned = np.where(np.isnan(assigned), -1, assigned).astype(int)
                     splits += [(int(rep["cv"]), int(f), assigned == f) for f in np.unique(assigned[assigned > 0])]
-                rows = []
-                for t in item.traits:
-                    y = np.array([np.nan if v is None else v for v in t["y"]], float)
-                    rows += list(_fit_rows(item.set_id, t["trait"], y, w, kernels, np.array(item.scales, float),
-                                           splits, iterations, cv_iterations, constrain))
+                traits = [(t["trait"], np.array([np.nan if v is None else v for v in t["y"]], float)) for t in item.traits]
+                rows = list(_fit_rows(item.set_id, traits, w, kernels, np.array(item.scales, float),
+                                      splits, iterations, cv_iterations, constrain))
                 yield pd.DataFrame(rows, columns=FIT_COLUMNS).astype(
                     {"cv": "Int32", "fold": "Int32"}
                 )
@@ -287,17 +289,20 @@ def fit_he(pairs: DataFrame, pheno: DataFrame, value: str = "value", by=("set_id
     """
     by = list(by)
     means = pheno.groupBy("trait").agg(F.avg(value).alias("_mean"))
-    y = join_sized(pheno, means, ["trait"]).select("iid", "trait", (F.col(value) - F.col("_mean")).alias("y"))
+    y = join_sized(pheno, means, ["trait"]).select("iid", F.struct("trait", (F.col(value) - F.col("_mean")).alias("y")).alias("_e"))
+    # one row per sample: a pair meets each of its samples once, and is spread over traits after the joins
+    ys = staged(y.groupBy("iid").agg(F.map_from_entries(F.collect_list("_e")).alias("ys")), "centred")
     off = pairs.where(F.col("i") < F.col("j"))
     wide = off.groupBy(*by, "i", "j").agg(
         F.max(F.when(F.col("partition") == 1, F.col("k"))).alias("k1"),
         F.max(F.when(F.col("partition") == 2, F.col("k"))).alias("k2"),
     )
-    prod = (
-        wide.join(y.select(F.col("iid").alias("i"), "trait", F.col("y").alias("yi")), "i")
-        .join(y.select(F.col("iid").alias("j"), "trait", F.col("y").alias("yj")), ["j", "trait"])
-        .withColumn("yy", F.col("yi") * F.col("yj"))
+    both = wide.join(ys.select(F.col("iid").alias("i"), F.col("ys").alias("_yi")), "i").join(
+        ys.select(F.col("iid").alias("j"), F.col("ys").alias("_yj")), "j"
     )
+    prod = both.select(*by, "k1", "k2", "_yj", F.explode("_yi").alias("trait", "_y")).select(
+        *by, "k1", "k2", "trait", (F.col("_y") * F.try_element_at("_yj", F.col("trait"))).alias("yy")
+    ).where(F.col("yy").isNotNull())
     m = prod.groupBy(*by, "trait").agg(
         F.count("yy").alias("n_pairs"), F.regr_slope("yy", "k1").alias("slope1"),
         F.covar_pop("k1", "k1").alias("c11"), F.covar_pop("k2", "k2").alias("c22"), F.covar_pop("k1", "k2").alias("c12"),

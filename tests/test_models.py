@@ -34,7 +34,7 @@ def simulated():
 def test_one_kernel_is_the_maximum(simulated):
     _, z, _, w, y = simulated
     k = z.T @ z / (np.trace(z.T @ z) / N)
-    fit = reml.fit_one(y, w, k)
+    fit = reml.fit_one(y, reml.Basis(w, [k]))
     best, p = reml_loglik(y, w, [k], fit.variances)
     assert fit.converged and np.isclose(fit.loglik, best) and np.allclose(p @ y, fit.py)
     for f in (0.9, 1.1):
@@ -46,7 +46,7 @@ def test_one_kernel_is_the_maximum(simulated):
 
 def test_two_kernels_are_the_maximum(simulated):
     _, _, kernels, w, y = simulated
-    fit = reml.fit_many(y, w, kernels)
+    fit = reml.fit_many(y, reml.Basis(w, kernels))
     best, p = reml_loglik(y, w, kernels, fit.variances)
     assert fit.converged and np.isclose(fit.loglik, best) and np.allclose(p @ y, fit.py)
     for f in (0.9, 1.1):
@@ -61,7 +61,8 @@ def test_two_kernels_are_the_maximum(simulated):
 def test_nested_models_agree(simulated):
     """Twice the same kernel adds nothing: equal likelihood, shares sum to one."""
     _, _, kernels, w, y = simulated
-    one, two = reml.fit_one(y, w, kernels[0]), reml.fit_many(y, w, [kernels[0], kernels[0]])
+    one = reml.fit_one(y, reml.Basis(w, kernels[:1]))
+    two = reml.fit_many(y, reml.Basis(w, [kernels[0], kernels[0]]))
     assert abs(one.loglik - two.loglik) < 1e-3
 
 
@@ -74,15 +75,23 @@ def test_recovers_heritability():
     got = []
     for _ in range(10):
         y = root @ rng.normal(size=n) * np.sqrt(0.6) + rng.normal(size=n) * np.sqrt(0.4)
-        s = reml.fit_one(y, np.ones((n, 1)), k).variances
+        s = reml.fit_one(y, reml.Basis(np.ones((n, 1)), [k])).variances
         got.append(s[0] / s.sum())
     assert abs(np.mean(got) - 0.6) < 0.08
 
 
+def test_sd_of_one_kernel_matches_the_general_form(simulated):
+    _, z, _, w, y = simulated
+    basis = reml.Basis(w, [z.T @ z / (np.trace(z.T @ z) / N)])
+    one, many = reml.fit_one(y, basis), reml.fit_many(y, basis)
+    assert np.allclose(one.variances, many.variances, rtol=1e-2)
+    assert np.isclose(reml.ratio_sd(one, np.array([1.0, 0.0]), np.ones(2)), reml.ratio_sd(many, np.array([1.0, 0.0]), np.ones(2)), rtol=2e-2)
+
+
 def test_null_trait_sits_at_the_boundary(simulated):
     _, _, kernels, w, _ = simulated
     y = np.random.default_rng(5).normal(size=N)
-    fit = reml.fit_many(y, w, kernels)
+    fit = reml.fit_many(y, reml.Basis(w, kernels))
     assert (fit.variances >= 0).all() and np.isfinite(fit.loglik)
 
 
@@ -112,7 +121,7 @@ def test_grid_scores_and_predictions(spark, simulated, tables):
     assert all(r["status"].startswith("error") for r in rows if r["trait"] == "flat")
     whole = next(r for r in rows if r["trait"] == "t1" and r["cv"] is None)
     keep = np.arange(N) != 7
-    direct = reml.fit_many(y[keep], w[keep], [k[np.ix_(keep, keep)] for k in kernels])
+    direct = reml.fit_many(y[keep], reml.Basis(w[keep], [k[np.ix_(keep, keep)] for k in kernels]))
     assert np.isclose(whole["loglik"], direct.loglik, atol=1e-5) and np.isclose(sum(whole["shares"]), 1)
 
     preds = {(r["fold"], r["iid"]): r["total"] for r in mo.prediction_table(fits, panel).collect()}
@@ -134,9 +143,9 @@ def test_grid_scores_and_predictions(spark, simulated, tables):
     assert {c["component"] for c in comps} == {"Her_ALL", "Share_K1", "Share_K2"}
 
 
-def test_too_large_a_panel_is_reported(spark, tables, monkeypatch):
-    rows = list(mo._fit_rows("s", "t", np.zeros(mo.DENSE_FIT_LIMIT + 1), np.ones((mo.DENSE_FIT_LIMIT + 1, 1)), [], [],
-                             [(None, None, np.zeros(mo.DENSE_FIT_LIMIT + 1, bool))], 5, 5, True))
+def test_too_large_a_panel_is_reported():
+    n = mo.DENSE_FIT_LIMIT + 1
+    rows = list(mo._fit_rows("s", [("t", np.zeros(n))], np.ones((n, 1)), [], [], [(None, None, np.zeros(n, bool))], 5, 5, True))
     assert "limit" in rows[0]["status"]
 
 

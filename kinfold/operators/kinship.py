@@ -25,6 +25,7 @@ BATCH = 512
 CHUNK = 4096
 MAX_PARTS = 1024
 MERGE_WIDTH = 64
+EMPTY = 1e-9
 DENSE_FIT_LIMIT = 5000
 
 
@@ -130,12 +131,18 @@ def _parts(chunk: int) -> Column:
     return F.least(F.ceil(F.count(F.lit(1)) / F.lit(chunk)), F.lit(MAX_PARTS)).alias("_parts")
 
 
-def scale_gram(numerators: DataFrame, by=("set_id",)) -> DataFrame:
-    """K = A / (trace(A) / n); the trace is a small aggregate joined back."""
+def scale_gram(numerators: DataFrame, by=("set_id",), least: Column | float = 0.0) -> DataFrame:
+    """K = A / (trace(A) / n); the trace is a small aggregate joined back.
+
+    A scale up to `least` is that of an empty part (what rounding leaves of a
+    complement without SNPs) and gives a NULL kernel.
+    """
+    least = F.lit(least) if isinstance(least, float) else least
     trace = (
         numerators.where(F.col("i") == F.col("j")).groupBy(*by)
         .agg((F.sum("a") / F.count(F.lit(1))).alias("c"))
     )
+    trace = trace.withColumn("c", F.when(F.col("c") > least, F.col("c")).otherwise(F.lit(0.0)))
     return numerators.join(trace, list(by)).withColumn("k", F.col("a") / F.nullif("c", F.lit(0.0)))
 
 
@@ -180,7 +187,8 @@ def partition_kinship(geno: DataFrame, sets: DataFrame, key: str = "set_id", chu
             F.struct(F.lit(2).alias("partition"), (F.col("a_all") - F.col("a")).alias("a")),
         )).alias("_p"),
     ).select("set_id", F.col("_p.partition").alias("partition"), "i", "j", F.col("_p.a").alias("a"))
-    return scale_gram(parts, ("set_id", "partition"))
+    least = total.where("i = j").agg((F.lit(EMPTY) * F.sum("a") / F.count(F.lit(1))).alias("least"))
+    return scale_gram(parts, ("set_id", "partition"), least.scalar())
 
 
 def name_samples(pairs: DataFrame, panel: DataFrame) -> DataFrame:
@@ -197,7 +205,7 @@ def packed_kernels(kinships: DataFrame, by=("set_id", "partition"), limit: int =
     triangle are gathered first: the last step sorts n arrays, not n^2 values.
     """
     by = list(by)
-    fits = F.when(F.col("j") >= limit, F.raise_error(F.lit(f"more than {limit} samples: use fit_he"))).otherwise(F.col("k"))
+    fits = F.when(F.col("j") >= limit, F.raise_error(F.lit(f"more than {limit} samples: use fit_he"))).otherwise(F.coalesce("k", F.lit(0.0)))
     lines = kinships.groupBy(*by, "i").agg(
         F.max("c").alias("c"), F.max("j").alias("j"),
         F.transform(F.sort_array(F.collect_list(F.struct("j", fits.cast("double").alias("k")))), lambda s: s["k"]).alias("line"),
@@ -231,7 +239,8 @@ def set_kernels(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: in
             n = int((np.sqrt(8 * len(acc) + 1) - 1) / 2)
             diagonal = np.cumsum(np.concatenate([[0], np.arange(n, 1, -1)]))
             parts = [acc, total - acc]
-            scales = [float(p[diagonal].sum() / n) for p in parts]
+            least = EMPTY * total[diagonal].sum() / n
+            scales = [c if c > least else 0.0 for c in (float(p[diagonal].sum() / n) for p in parts)]
             kernels = [p / c if c > 0 else np.zeros_like(p) for p, c in zip(parts, scales)]
             yield pa.RecordBatch.from_pydict({
                 "set_id": pa.array([set_id], pa.string()), "n": pa.array([n], pa.int32()),

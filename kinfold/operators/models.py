@@ -55,8 +55,6 @@ def fold_arrays(folds: DataFrame, panel: DataFrame) -> DataFrame:
 
 def model_kernels(packed: DataFrame) -> DataFrame:
     """One row per set with its kernels in partition order and their scales."""
-    if "partition" not in packed.columns:
-        packed = packed.withColumn("partition", F.lit(1))
     ordered = F.sort_array(F.collect_list(F.struct("partition", "c", "kernel")))
     return packed.groupBy("set_id").agg(
         F.max("n").alias("n"), F.transform(ordered, lambda s: s["c"]).alias("scales"),
@@ -91,16 +89,20 @@ def _fit_rows(set_id, traits, w, kernels, scales, splits, iterations, cv_iterati
     """All fits of a work item. Traits called in the same samples share the decomposition of a split."""
     n = len(w)
     covered = ~np.isnan(w).any(axis=1)
+    used = [i for i, c in enumerate(scales) if c > 0]  # a part without SNPs has scale 0 and no variance
+    kernels, n_kernels = [kernels[i] for i in used], len(kernels)
     for cv, fold, test in splits:
         bases: dict[bytes, Basis] = {}
         for trait, y in traits:
             train = ~np.isnan(y) & covered & ~test
             row = dict.fromkeys(FIT_COLUMNS)
-            row.update(set_id=set_id, trait=trait, cv=cv, fold=fold, n_kernels=len(kernels), n_train=int(train.sum()),
+            row.update(set_id=set_id, trait=trait, cv=cv, fold=fold, n_kernels=n_kernels, n_train=int(train.sum()),
                        scales=list(scales), converged=False, iterations=0)
             try:
                 if n > DENSE_FIT_LIMIT:
                     raise ValueError(f"{n} samples exceed the dense-fit limit")
+                if not kernels:
+                    raise ValueError("no kernel with SNPs")
                 if train.sum() <= w.shape[1] + 2 or np.var(y[train]) == 0:
                     raise ValueError("too few samples or constant values")
                 basis = bases.get(train.tobytes())
@@ -117,11 +119,14 @@ def _fit_rows(set_id, traits, w, kernels, scales, splits, iterations, cv_iterati
                 py[train] = fit.py
                 targets = test & covered
                 value = w[targets] @ fit.theta + sum(x * (k[targets] @ py) for x, k in zip(s, kernels))
+                variances, shares, sds = np.zeros(n_kernels + 1), [0.0] * n_kernels, [-1.0] * n_kernels
+                variances[[*used, n_kernels]] = s
+                for at, i in enumerate(used):
+                    shares[i] = float(s[at] / total_g) if total_g > 0 else None
+                    sds[i] = ratio_sd(fit, unit[at], genetic)
                 row.update(
                     loglik=fit.loglik, h2=total_g / s.sum(), h2_sd=ratio_sd(fit, genetic, np.ones(len(s))),
-                    shares=[float(x / total_g) if total_g > 0 else None for x in s[:-1]],
-                    share_sds=[ratio_sd(fit, unit[i], genetic) for i in range(len(kernels))],
-                    variances=s.tolist(), theta=fit.theta.tolist(), py=py.tolist(),
+                    shares=shares, share_sds=sds, variances=variances.tolist(), theta=fit.theta.tolist(), py=py.tolist(),
                     pred_i=np.flatnonzero(targets).tolist(), pred=value.tolist(),
                     converged=bool(fit.converged), iterations=int(fit.iterations),
                     status="ok" if fit.converged else "not converged",
@@ -196,7 +201,7 @@ def alpha_table(fits: DataFrame) -> DataFrame:
         F.posexplode(F.slice(F.col("variances"), F.lit(1), F.col("n_kernels"))).alias("_k", "_s"), "scales",
     ).select(
         "fit_id", "set_id", "trait", "cv", "fold", (F.col("_k") + 1).alias("partition"),
-        F.transform("py", lambda v: v * F.col("_s") / F.element_at("scales", F.col("_k") + 1)).alias("alpha"),
+        F.transform("py", lambda v: F.coalesce(v * F.col("_s") / F.nullif(F.element_at("scales", F.col("_k") + 1), F.lit(0.0)), F.lit(0.0))).alias("alpha"),
     )
 
 

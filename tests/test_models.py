@@ -143,9 +143,25 @@ def test_grid_scores_and_predictions(spark, simulated, tables):
     assert {c["component"] for c in comps} == {"Her_ALL", "Share_K1", "Share_K2"}
 
 
+def test_a_set_of_all_snps_has_an_empty_complement(spark, tables):
+    geno, panel, long, covar, _ = tables
+    everything = geno.select(F.lit("all").alias("set_id"), "snp_id")
+    long_form = ki.partition_kinship(geno, everything)
+    assert long_form.where("partition = 2 and k is not null").count() == 0
+    rows = []
+    for kernels in (ki.set_kernels(geno, everything), mo.model_kernels(ki.packed_kernels(long_form))):
+        grid = mo.model_grid(kernels, mo.pheno_arrays(long.where("trait = 't1'"), panel))
+        rows.append(mo.fit_variance(grid, mo.covariate_arrays(covar, panel, ["pc1"])).first())
+    one = mo.model_kernels(ki.packed_kernels(ki.kinship(geno).withColumn("partition", F.lit(1))))
+    single = mo.fit_variance(mo.model_grid(one, mo.pheno_arrays(long.where("trait = 't1'"), panel)), mo.covariate_arrays(covar, panel, ["pc1"])).first()
+    for r in rows:
+        assert r["status"] == "ok" and np.isclose(r["loglik"], single["loglik"]) and r["shares"] == [1.0, 0.0]
+        assert r["variances"][1] == 0 and r["scales"][1] == 0
+
+
 def test_too_large_a_panel_is_reported():
     n = mo.DENSE_FIT_LIMIT + 1
-    rows = list(mo._fit_rows("s", [("t", np.zeros(n))], np.ones((n, 1)), [], [], [(None, None, np.zeros(n, bool))], 5, 5, True))
+    rows = list(mo._fit_rows("s", [("t", np.zeros(n))], np.ones((n, 1)), [None], [1.0], [(None, None, np.zeros(n, bool))], 5, 5, True))
     assert "limit" in rows[0]["status"]
 
 

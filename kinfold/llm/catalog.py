@@ -27,3 +27,10 @@ def op5_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = word_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return word_bpe.encode_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op9_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import suffix_merge
+
+    return suffix_merge.remove_repeats(documents(spark, sf_dir))

@@ -41,7 +41,7 @@ def train_mark(doc_id: Column | str, modulus: int, held: int) -> Column:
 
 def as_blob(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
     with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
@@ -148,3 +148,79 @@ def gathered(blobs: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[np
         indexes.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
         values.append(value)
     return list(place), indexes, values
+
+
+def dump_arrays(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays (their dtypes are the reader's to know) and byte strings in one compressed blob."""
+    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
+    return squeeze(np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw))
+
+
+def load_arrays(blob: bytes, *dtypes) -> list:
+    data = unsqueeze(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8).tolist()
+    out, at = [], 8 + 8 * n
+    for size, dtype in zip(sizes, dtypes):
+        out.append(data[at : at + size] if dtype is bytes else np.frombuffer(data[at : at + size], dtype))
+        at += size
+    return out
+
+
+def dump_keys(keys: np.ndarray) -> bytes:
+    """Sorted uint64 keys: differences, byte by byte, so that their leading zeros vanish."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def load_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of uint64 values spread over all places."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def key_rows(chunk: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Rows (chunk, bucket, blob) of a chunk's sorted distinct keys."""
+    for bucket, index in key_buckets(keys, buckets):
+        yield chunk, bucket, dump_keys(keys[index])
+
+
+def key_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    b = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
+        if len(part):
+            yield int(b[part[0]]), part
+
+
+def repeated_keys(sent: DataFrame) -> DataFrame:
+    """(chunk, bucket, keys) -> (chunk, bucket, flags): a bit per key, set where another chunk sent the key as well."""
+    import pandas as pd
+
+    def flag(frame: pd.DataFrame) -> pd.DataFrame:
+        runs = [load_keys(b) for b in frame["keys"]]
+        values, counts = np.unique(np.concatenate(runs), return_counts=True)
+        shared = values[counts > 1]
+        flags = []
+        for run in runs:
+            at = np.searchsorted(shared, run)
+            hit = np.zeros(len(run), bool) if not len(shared) else shared[np.minimum(at, len(shared) - 1)] == run
+            flags.append(np.packbits(hit).tobytes())
+        return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "flags": flags})
+
+    return sent.groupBy("bucket").applyInPandas(flag, "chunk long, bucket int, flags binary")
+
+
+def flags_in_order(keys: np.ndarray, buckets: int, frame) -> np.ndarray:
+    """The flags of a chunk's sorted distinct keys, from the rows that `repeated_keys` returned for the chunk."""
+    parts = dict(zip(frame["bucket"], frame["flags"]))
+    out = np.zeros(len(keys), bool)
+    for bucket, index in key_buckets(keys, buckets):
+        out[index] = np.unpackbits(np.frombuffer(parts[bucket], np.uint8), count=len(index)).astype(bool)
+    return out

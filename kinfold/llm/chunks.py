@@ -9,6 +9,7 @@ total / buckets items; the number of buckets grows with the number of chunks.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,11 +20,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinfold.session import staged
+from kinfold.session import scratch_path
 
 CHUNK_BYTES = 4 << 20
 CHUNKS_PER_BUCKET = 4
 LEAST_BUCKETS = 32
+FILES_PER_PARTITION = 3
+MOST_FILES = 100_000
 
 IDS_TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
@@ -56,28 +59,45 @@ def texts_of(table: pa.Table) -> list[str]:
     return ["" if t is None else t for t in table.column("text").to_pylist()]
 
 
-def pack(docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Write documents as chunks to the shared folder: (chunk long, batch binary).
+def kept_by_chunk(df: DataFrame, label: str) -> DataFrame:
+    """Write rows that have a chunk number to the shared folder, bucketed by it, and read them back.
 
-    Only doc_id, text and the `extra` columns are read. Chunk numbers hold for this written table only,
-    which later steps read again after a lost executor, so they never change under a retry.
+    What other tasks answer to a chunk is joined to it without moving the chunk itself again. Chunk numbers hold
+    for this written table only, which later steps read again after a lost executor, so they never change.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+    spark = df.sparkSession
+    files = min(MOST_FILES, FILES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"kinfold_{uuid.uuid4().hex}"
+    df.write.bucketBy(files, "chunk").option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
+def in_chunks(batches: Iterable[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk number, some MB of whole documents) of the batches of a task."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes + 64) // chunk_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if stop > start:
+                yield number, batch.slice(start, stop - start)
+                number += 1
+
+
+def id_and_text(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        *[c.alias(name) for name, c in (extra or {}).items()])
 
+
+def pack(docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Documents as chunks in the shared folder: (chunk long, batch binary). Only doc_id, text and `extra` are read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = np.cumsum(sizes + 64) // chunk_bytes
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-            for start, stop in zip(cuts[:-1], cuts[1:]):
-                if stop > start:
-                    blob = as_blob(batch.slice(start, stop - start))
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "batch"])
-                    number += 1
-
-    return staged(docs.mapInArrow(run, "chunk long, batch binary"), label)
+        for number, batch in in_chunks(batches, chunk_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([as_blob(batch)], pa.binary())], ["chunk", "batch"])
+
+    return kept_by_chunk(id_and_text(docs, extra).mapInArrow(run, "chunk long, batch binary"), label)
 
 
 def bucket_count(chunks: DataFrame) -> int:

@@ -63,3 +63,10 @@ reached AS (
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id
 FROM documents d JOIN reached r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+@query
+def op7_nce_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import nce_lm
+
+    return nce_lm.score_texts(documents(spark, sf_dir))

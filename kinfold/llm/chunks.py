@@ -244,3 +244,29 @@ def flags_in_order(keys: np.ndarray, buckets: int, frame) -> np.ndarray:
     for bucket, index in key_buckets(keys, buckets):
         out[index] = np.unpackbits(np.frombuffer(parts[bucket], np.uint8), count=len(index)).astype(bool)
     return out
+
+
+def placed(texts: list[str], cut) -> tuple[list, np.ndarray, np.ndarray]:
+    """Distinct items that `cut` finds in some texts, most frequent first; the texts as places in that list; items per text."""
+    place: dict = {}
+    rows = [np.fromiter((place.setdefault(p, len(place)) for p in cut(t)), np.uint32) for t in texts]
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+    order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
+    rank = np.empty(len(place), np.uint32)
+    rank[order] = np.arange(len(place), dtype=np.uint32)
+    items = list(place)
+    return [items[i] for i in order], rank[flat], np.array([len(r) for r in rows], np.int64)
+
+
+def dump_places(batch: pa.RecordBatch, flat: np.ndarray, sizes: np.ndarray, *more: np.ndarray) -> bytes:
+    """Ids and sizes of the documents and their places, byte by byte: the high bytes of frequent items are zeros."""
+    ids = batch.column("doc_id")
+    planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)
+    return dump_arrays(ids.fill_null(0).to_numpy(), np.array(ids.is_null().to_pylist(), bool), sizes, planes, *more)
+
+
+def load_places(blob: bytes, *more) -> list:
+    """[doc_ids (None for null), sizes, places, ...]"""
+    ids, null, sizes, planes, *rest = load_arrays(blob, np.int64, bool, np.int64, np.uint8, *more)
+    flat = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    return [[None if n else i for i, n in zip(ids.tolist(), null.tolist())], sizes, flat, *rest]

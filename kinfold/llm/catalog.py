@@ -70,3 +70,10 @@ def op7_nce_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import nce_lm
 
     return nce_lm.score_texts(documents(spark, sf_dir))
+
+
+@query
+def op3_piecewise_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import fuzzy_hash
+
+    return fuzzy_hash.fingerprints(documents(spark, sf_dir))

@@ -77,3 +77,10 @@ def op3_piecewise_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import fuzzy_hash
 
     return fuzzy_hash.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import gru_langid
+
+    return gru_langid.identify(documents(spark, sf_dir))

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinfold.llm import chunks as ch
@@ -31,33 +32,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def _cutter(pattern: str):
-    import regex
+def packed_pieces(docs: DataFrame, pattern: str, chunk_bytes: int = ch.CHUNK_BYTES) -> DataFrame:
+    """(chunk, words, places): a chunk's distinct pre-tokens, and its documents as places in that list, most frequent first."""
 
-    return regex.compile(pattern).findall
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
+        findall = regex.compile(pattern).findall
+        for number, batch in ch.in_chunks(batches, chunk_bytes):
+            words, flat, sizes = ch.placed(ch.texts_of(batch), findall)
+            places = ch.dump_places(batch, flat, sizes)
+            words = [w.encode("utf-8", "surrogatepass") for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([ch.dump_words(words)], pa.binary()), pa.array([places], pa.binary())],
+                ["chunk", "words", "places"])
 
-def _pieces(texts: list[str], findall) -> tuple[list[list[str]], list[bytes]]:
-    """Pre-tokens of each text in order, and the sorted distinct ones as bytes."""
-    cut = [findall(t) for t in texts]
-    distinct: set[str] = set()
-    for pieces in cut:
-        distinct.update(pieces)
-    return cut, sorted(p.encode("utf-8", "surrogatepass") for p in distinct)
+    return ch.kept_by_chunk(ch.id_and_text(docs).mapInArrow(run, "chunk long, words binary, places binary"), "bpe")
 
 
 def word_ids(chunks: DataFrame, ranks: dict[bytes, int], pattern: str) -> tuple[DataFrame, int]:
-    """(chunk, bucket, blob): ids of each chunk's distinct pre-tokens, in the order of their bytes; and the bucket count."""
-    spark = chunks.sparkSession
+    """(chunk, bucket, ids): ids of each chunk's distinct pre-tokens, in their order in the chunk; and the bucket count."""
     buckets = ch.bucket_count(chunks)
-    table = spark.sparkContext.broadcast(ranks)
+    table = chunks.sparkSession.sparkContext.broadcast(ranks)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        findall = _cutter(pattern)
         for frame in frames:
-            for chunk, blob in zip(frame["chunk"], frame["batch"]):
-                _, words = _pieces(ch.texts_of(ch.from_blob(blob)), findall)
-                yield pd.DataFrame(list(ch.word_rows(chunk, words, None, buckets)), columns=["chunk", "bucket", "words"])
+            for chunk, blob in zip(frame["chunk"], frame["words"]):
+                yield pd.DataFrame(list(ch.word_rows(chunk, ch.load_words(blob)[0], None, buckets)), columns=["chunk", "bucket", "words"])
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
@@ -68,44 +69,46 @@ def word_ids(chunks: DataFrame, ranks: dict[bytes, int], pattern: str) -> tuple[
         blobs = [ch.dump_ragged([ids[i] for i in index]) for index in indexes]
         return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "ids": blobs})
 
-    sent = chunks.mapInPandas(send, "chunk long, bucket int, words binary")
+    sent = chunks.select("chunk", "words").mapInPandas(send, "chunk long, bucket int, words binary")
     return sent.groupBy("bucket").applyInPandas(encode, "chunk long, bucket int, ids binary"), buckets
 
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """One row per document: count and digest of its ids, digest of the decoded bytes; `ids` (array<int>) on request."""
-    chunks = ch.pack(docs, "bpe")
+    chunks = packed_pieces(docs, pattern)
     answers, buckets = word_ids(chunks, ranks, pattern)
-    table = docs.sparkSession.sparkContext.broadcast(ranks)
-    schema = SCHEMA + (", ids array<int>" if with_ids else "")
+    token_bytes = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        token_bytes[rank] = token
+    table = docs.sparkSession.sparkContext.broadcast(token_bytes)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        findall = _cutter(pattern)
-        token_bytes = [b""] * (max(table.value.values(), default=-1) + 1)
-        for token, rank in table.value.items():
-            token_bytes[rank] = token
         parts = dict(zip(right["bucket"], right["ids"]))
         rows = []
-        for blob in left["batch"]:
-            batch = ch.from_blob(blob)
-            cut, words = _pieces(ch.texts_of(batch), findall)
-            known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        for blob, places in zip(left["words"], left["places"]):
+            words = ch.load_words(blob)[0]
+            counts, shown, decoded = np.zeros(len(words), np.int64), [""] * len(words), [b""] * len(words)
             for bucket, index in ch.by_bucket(words, buckets):
                 lengths, flat = ch.load_ragged(parts[bucket])
-                start = 0
+                counts[index], start, ids = lengths, 0, flat.tolist()
                 for i, n in zip(index.tolist(), lengths.tolist()):
-                    ids = flat[start : start + n].tolist()
+                    own = ids[start : start + n]
                     start += n
-                    known[words[i].decode("utf-8", "surrogatepass")] = (
-                        n, ",".join(map(str, ids)), b"".join([token_bytes[k] for k in ids]), ids if with_ids else [])
-            for doc_id, pieces in zip(batch.column("doc_id").to_pylist(), cut):
-                got = [known[p] for p in pieces]
-                row = [doc_id, sum(g[0] for g in got),
-                       hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest(),
-                       hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()]
-                rows.append(row + [[k for g in got for k in g[3]]] if with_ids else row)
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+                    shown[i] = ",".join(map(str, own))
+                    decoded[i] = b"".join([table.value[k] for k in own])
+            ids, sizes, order = ch.load_places(places)
+            at = 0
+            for doc_id, size in zip(ids, sizes.tolist()):
+                own = order[at : at + size]
+                at += size
+                index = own.tolist()
+                digits = ",".join(map(shown.__getitem__, index))
+                row = (doc_id, int(counts[own].sum()), hashlib.sha256(digits.encode()).hexdigest(),
+                       hashlib.sha256(b"".join(map(decoded.__getitem__, index))).hexdigest())
+                rows.append(row + ([int(k) for k in digits.split(",") if k],) if with_ids else row)
         out = pd.DataFrame(rows, columns=names)
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(place, schema)

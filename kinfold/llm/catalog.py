@@ -84,3 +84,10 @@ def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import gru_langid
 
     return gru_langid.identify(documents(spark, sf_dir))
+
+
+@query
+def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import secret_links
+
+    return secret_links.find(documents(spark, sf_dir))

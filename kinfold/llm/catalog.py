@@ -91,3 +91,10 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import secret_links
 
     return secret_links.find(documents(spark, sf_dir))
+
+
+@query
+def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import mixing
+
+    return mixing.taken_words(documents(spark, sf_dir))

@@ -98,3 +98,10 @@ def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import mixing
 
     return mixing.taken_words(documents(spark, sf_dir))
+
+
+@query
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import weak_rules
+
+    return weak_rules.judged(documents(spark, sf_dir))

@@ -105,3 +105,13 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import weak_rules
 
     return weak_rules.judged(documents(spark, sf_dir))
+
+
+@query
+def op1_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kinfold.llm import token_counts, word_bpe
+
+    pieces = word_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_counts.count_tokens(documents(spark, sf_dir), pieces)

@@ -142,3 +142,13 @@ def chi2_quantile_column(p: Column, df: float) -> Column:
         return pd.Series(chi2_quantile(values.to_numpy(), df))
 
     return quantile(p)
+
+
+def gamma_cdf_column(x: Column, df: float) -> Column:
+    """P(X <= x) for a chi-square X with any positive number of degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def cdf(values: pd.Series) -> pd.Series:
+        return pd.Series(gamma_p(df / 2, values.to_numpy(float) / 2))
+
+    return cdf(x)

@@ -49,6 +49,24 @@ def diploidize(call: Column) -> Column:
     return F.when(call.isin("A", "C", "G", "T"), F.concat(call, call))
 
 
+def call_dosages(lines: DataFrame, calls: str = "calls") -> DataFrame:
+    """Count alleles: add `major`, `minor` and `dosages` (2 for a call of the minor base, 0 for the major one).
+
+    The major base is the most frequent of A, C, G, T, the minor one the next;
+    of equally frequent bases the first in the alphabet is the major one. Any
+    other call, a third base included, is missing. A SNP with one base has no
+    minor one. A line stays a row, nothing is shuffled.
+    """
+
+    def count(base: str) -> Column:
+        return F.struct((-F.size(F.filter(calls, lambda c: c == base))).alias("n"), F.lit(base).alias("base"))
+
+    bases = F.array(*map(count, "ACGT"))
+    seen = F.filter(F.sort_array(bases), lambda b: b["n"] < 0)
+    named = lines.withColumn("_b", seen).withColumn("major", F.get("_b", F.lit(0))["base"]).withColumn("minor", F.get("_b", F.lit(1))["base"]).drop("_b")
+    return named.withColumn("dosages", F.transform(calls, lambda c: F.when(c == F.col("minor"), 2).when(c == F.col("major"), 0).cast("tinyint")))
+
+
 def to_sample_major(calls: DataFrame, family: str = "family", block: int = PED_BLOCK) -> DataFrame:
     """One row per sample and block of SNPs, with the fixed pedigree columns.
 

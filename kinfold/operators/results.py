@@ -50,7 +50,8 @@ def null_audit(null: DataFrame) -> DataFrame:
 
 def share_audit(shares: DataFrame, exclude: list[str], component: str = "Share_K1") -> DataFrame:
     """Failed and negative shares per pathway."""
-    rows = shares.where((F.col("component") == component) & ~F.col("pathway").isin(exclude))
+    kept = F.coalesce(~F.col("pathway").isin(exclude), F.lit(True))  # a NULL pathway is not an excluded one
+    rows = shares.where((F.col("component") == component) & kept)
     rows = rows.where((F.col("sd") < 0) | (F.col("share") < 0))
     return rows.groupBy("pathway").agg(
         F.count_if(F.col("sd") < 0).alias("n_failed"), F.count_if(F.col("share") < 0).alias("n_negative")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import intervals as iv, kinship as ki
+from kinfold.operators import genotype as ge, intervals as iv, kinship as ki
 from kinfold.plans.fixtures import Inputs
 from kinfold.plans.queries_annotation import all_sets
 from kinfold.plans.registry import query
@@ -12,16 +12,34 @@ from kinfold.session import scratch_path, staged
 from kinfold.sources import reports as rp, tables as tb
 
 
-@query("IO1", """SELECT s.chromosome, s.position, 'X'||g.iid AS iid, CASE g.dosage WHEN 2 THEN 'A' WHEN 0 THEN 'G' ELSE 'N' END AS call
+@query("IO1", """SELECT CAST(s.chromosome AS VARCHAR) AS chromosome, s.position, 'X'||g.iid AS iid, CASE g.dosage WHEN 2 THEN 'A' WHEN 0 THEN 'G' ELSE 'N' END AS call
     FROM fx_geno g JOIN fx_snps s ON s.snp_id=g.snp_id""")
 def read_calls(x):
+    return tb.read_calls(x.spark, call_file(x)).drop("idx")
+
+
+def call_file(x: Inputs) -> str:
+    """A call table with a banner and a header, written from the derived genotypes."""
     path = scratch_path(x.spark, "calls")
     names = x.panel.select(F.concat_ws(",", F.transform("iids", lambda i: F.concat(F.lit("X"), i.cast("string")))).alias("n"))
     letters = F.transform("dosages", lambda d: F.when(d == 2, "A").when(d == 0, "G").otherwise("N"))
     body = x.geno.select(F.concat_ws(",", F.col("chromosome").cast("string"), F.col("position").cast("string"), F.concat_ws(",", letters)).alias("value"))
     head = names.select(F.explode(F.array(F.lit("call table"), F.concat(F.lit("Chromosome,Positions,"), F.col("n")))).alias("value"))
     head.unionByName(body).write.text(path)
-    return tb.read_calls(x.spark, path).drop("idx")
+    return path
+
+
+@query("G7", """WITH c AS (SELECT snp_id, count(*) FILTER (dosage=2) AS a, count(*) FILTER (dosage=0) AS g FROM fx_geno GROUP BY snp_id),
+    m AS (SELECT snp_id, CASE WHEN a=0 AND g=0 THEN NULL WHEN a>=g THEN 'A' ELSE 'G' END AS major,
+        CASE WHEN a=0 OR g=0 THEN NULL WHEN a>=g THEN 'G' ELSE 'A' END AS minor FROM c)
+    SELECT CAST(s.chromosome AS VARCHAR) AS chromosome, s.position, 'X'||f.iid AS iid, m.major, m.minor,
+    CASE WHEN f.dosage IS NULL THEN NULL WHEN (f.dosage=2)=(m.major='A') THEN 0 ELSE 2 END AS dosage
+    FROM fx_geno f JOIN fx_snps s ON s.snp_id=f.snp_id JOIN m ON m.snp_id=f.snp_id""")
+def call_dosages(x):
+    geno = ge.call_dosages(tb.read_call_lines(x.spark, call_file(x)))
+    pairs = F.arrays_zip(F.col("iids").alias("iid"), F.col("dosages").alias("dosage"))
+    return geno.select("chromosome", "position", "major", "minor", F.explode(pairs).alias("_p")).select(
+        "chromosome", "position", "_p.iid", "major", "minor", F.col("_p.dosage").cast("int").alias("dosage"))
 
 
 @query("IO2", "SELECT chromosome, snp_id, CAST(0 AS DOUBLE) AS physical, position FROM fx_snps")

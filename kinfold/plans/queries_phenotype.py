@@ -23,9 +23,9 @@ def melt_traits(x):
 
 LAMBDAS = ",".join(f"({lam})" for lam in ph.LAMBDAS)
 BOXCOX = f"""pos AS (SELECT trait, line, population, CASE WHEN value>0 THEN value END AS v FROM fx_raw_long),
-    ll AS (SELECT trait, l, -count(v)/2.0::DOUBLE*ln(nullif(var_pop(CASE WHEN l=0 THEN ln(v) ELSE (pow(v,l)-1)/l END),0))
+    ll AS MATERIALIZED (SELECT trait, l, -count(v)/2.0::DOUBLE*ln(nullif(var_pop(CASE WHEN l=0 THEN ln(v) ELSE (pow(v,l)-1)/l END),0))
         +(l-1)*sum(ln(v)) AS loglik FROM pos, (SELECT CAST(c AS DOUBLE) AS l FROM (VALUES {LAMBDAS}) t(c)) GROUP BY trait, l),
-    best AS (SELECT trait, l AS "lambda", loglik FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY loglik DESC, l) rn
+    best AS MATERIALIZED (SELECT trait, l AS "lambda", loglik FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY loglik DESC, l) rn
         FROM ll WHERE loglik IS NOT NULL) WHERE rn=1)"""
 
 
@@ -34,10 +34,14 @@ def boxcox_lambda(x):
     return ph.boxcox_lambdas(raw_long(x)).select("trait", r("lambda", 3).alias("lambda"), r("loglik", 3).alias("loglik"))
 
 
-@query("T2", f"""WITH {BOXCOX} SELECT p.line, p.population, p.trait, round(CASE WHEN b."lambda"=0 THEN ln(v)
-    ELSE (pow(v,b."lambda")-1)/b."lambda" END,6) AS transformed FROM pos p JOIN best b ON b.trait=p.trait""")
+@query("T2", f"""WITH {BOXCOX}, t AS (SELECT p.trait, p.line, CASE WHEN b."lambda"=0 THEN ln(v) ELSE (pow(v,b."lambda")-1)/b."lambda" END AS y
+    FROM pos p JOIN best b ON b.trait=p.trait)
+    SELECT trait, line, count(*) AS n, count(y) AS n_positive, round(sum(y),4) AS total, round(min(y),6) AS least, round(max(y),6) AS most FROM t GROUP BY trait, line""")
 def boxcox(x):
-    return ph.boxcox(raw_long(x)).select("line", "population", "trait", r("transformed").alias("transformed"))
+    y = F.col("transformed")
+    sums = ph.boxcox(raw_long(x)).groupBy("trait", "line").agg(
+        F.count(F.lit(1)).alias("n"), F.count(y).alias("n_positive"), F.sum(y).alias("total"), F.min(y).alias("least"), F.max(y).alias("most"))
+    return sums.select("trait", "line", "n", "n_positive", r("total", 4).alias("total"), r("least").alias("least"), r("most").alias("most"))
 
 
 # Unbalanced lines and three environments: eliminate lines, fix the last environment at 0, solve 2 x 2, centre.

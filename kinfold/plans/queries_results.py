@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinfold.functions.distributions import gamma_cdf_column
 from kinfold.operators import diagnostics as di, quality as qu, results as re_, significance as si
 from kinfold.plans.fixtures import Inputs
 from kinfold.plans.queries_annotation import pw_snps
@@ -363,9 +364,25 @@ def qq_points(x):
     return rounded(di.qq_points(re_.with_size_bin(x.null), ["trait", "group_size"], df=2), 8, "theoretical")
 
 
-@query("D4")
+QQ_P = f"""WITH s AS (SELECT trait, {SIZE_BIN} AS group_size, lr FROM fx_null),
+    o AS (SELECT *, row_number() OVER (PARTITION BY trait, group_size ORDER BY lr) AS i, count(*) OVER (PARTITION BY trait, group_size) AS n FROM s)
+    SELECT trait, group_size, i, lr AS sample, round(CASE WHEN n>10 THEN (i-0.5::DOUBLE)/n ELSE (i-0.375::DOUBLE)/(n+0.25::DOUBLE) END,6) AS p FROM o"""
+
+
+def qq_p(x, df: float):
+    """Points whose theoretical quantile is put back into the distribution: the probability must be that of the rank."""
+    points = di.qq_points(re_.with_size_bin(x.null), ["trait", "group_size"], df=df)
+    return points.select("trait", "group_size", "i", "sample", r(gamma_cdf_column(F.col("theoretical"), df)).alias("p"))
+
+
+@query("D4", QQ_P)
 def qq_points_df1(x):
-    return rounded(di.qq_points(re_.with_size_bin(x.null), ["trait", "group_size"], df=1), 8, "theoretical")
+    return qq_p(x, 1)
+
+
+@query("D4", QQ_P)
+def qq_points_df1_5(x):
+    return qq_p(x, 1.5)
 
 
 CURVE = """bn AS (SELECT *, CAST(floor(size/1000) AS INTEGER) AS size_bin FROM fx_null),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import distributions as ds, labels as lb, stats as sx
-from kinfold.operators import diagnostics as di, phenotype as ph, quality as qu, results as re_, significance as si
+from kinfold.operators import diagnostics as di, genotype as ge, phenotype as ph, quality as qu, results as re_, significance as si
 from kinfold.session import scratch_path
 from kinfold.sources import reports as rp, tables as tb
 
@@ -154,9 +154,22 @@ def test_readers(spark):
     df = tb.read_delim(spark, path, "c int, snp string, d double, p bigint", sep=None, null_values=["NA"])
     assert sorted(map(tuple, df.collect())) == [(1, "S1", 0.0, 77), (2, "S2", 0.0, None)]
     wide = scratch_path(spark, "calls")
-    spark.createDataFrame([("banner,x",), ("Chromosome,Positions,X1,X2",), ("1,10,A,G",), ("2,5,C,T",)], "value string").coalesce(1).write.text(wide)
+    spark.createDataFrame([("banner,x",), ("Chromosome,Positions,X1,X2",), ("1,10,A,G",), ("Mt,5,C,T",)], "value string").coalesce(1).write.text(wide)
     got = sorted(map(tuple, tb.read_calls(spark, wide).collect()))
-    assert got == [(1, 10, 0, "X1", "A"), (1, 10, 1, "X2", "G"), (2, 5, 0, "X1", "C"), (2, 5, 1, "X2", "T")]
+    assert got == [("1", 10, 0, "X1", "A"), ("1", 10, 1, "X2", "G"), ("Mt", 5, 0, "X1", "C"), ("Mt", 5, 1, "X2", "T")]
+
+
+def test_call_dosages(spark):
+    rows = [("1", 1, list("AAGN")), ("1", 2, list("CTTC")), ("Mt", 3, list("GGGG")), ("X", 4, list("N-??")), ("X", 5, list("TTTA") + ["C"])]
+    got = {r["position"]: (r["major"], r["minor"], r["dosages"]) for r in ge.call_dosages(spark.createDataFrame(rows, "chromosome string, position long, calls array<string>")).collect()}
+    assert got == {1: ("A", "G", [0, 0, 2, None]), 2: ("C", "T", [0, 2, 2, 0]), 3: ("G", None, [0, 0, 0, 0]),
+                   4: (None, None, [None] * 4), 5: ("T", "A", [0, 0, 0, 2, None])}
+
+
+def test_share_audit_keeps_null_pathways(spark):
+    rows = [(None, "Share_K1", -1.0, 0.2), ("skip", "Share_K1", -1.0, 0.2), ("p", "Share_K1", 0.5, -0.1)]
+    got = re_.share_audit(spark.createDataFrame(rows, "pathway string, component string, sd double, share double"), ["skip"]).collect()
+    assert {r["pathway"]: (r["n_failed"], r["n_negative"]) for r in got} == {None: (1, 0), "p": (0, 1)}
 
 
 def test_report_sections(spark):

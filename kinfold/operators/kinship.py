@@ -18,15 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinfold.functions.ranking import average_rank, cumulative
 from kinfold.functions.stats import safe_corr
 from kinfold.operators.genotype import with_snp_stats
-from kinfold.session import staged
+from kinfold.session import join_sized, staged
 
 TILE = 2048
 BATCH = 512
 CHUNK = 4096
-MAX_PARTS = 1024
 MERGE_WIDTH = 64
 EMPTY = 1e-9
-DENSE_FIT_LIMIT = 5000
 
 
 def centred(lists: pa.Array, width: int) -> np.ndarray:
@@ -127,8 +125,8 @@ def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int
 
 
 def _parts(chunk: int) -> Column:
-    """Tasks for a set: one per `chunk` SNPs, at most MAX_PARTS (a task streams any number of rows)."""
-    return F.least(F.ceil(F.count(F.lit(1)) / F.lit(chunk)), F.lit(MAX_PARTS)).alias("_parts")
+    """Tasks for a set: one per `chunk` SNPs."""
+    return F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_parts")
 
 
 def scale_gram(numerators: DataFrame, by=("set_id",), least: Column | float = 0.0) -> DataFrame:
@@ -143,7 +141,7 @@ def scale_gram(numerators: DataFrame, by=("set_id",), least: Column | float = 0.
         .agg((F.sum("a") / F.count(F.lit(1))).alias("c"))
     )
     trace = trace.withColumn("c", F.when(F.col("c") > least, F.col("c")).otherwise(F.lit(0.0)))
-    return numerators.join(trace, list(by)).withColumn("k", F.col("a") / F.nullif("c", F.lit(0.0)))
+    return join_sized(numerators, trace, list(by)).withColumn("k", F.col("a") / F.nullif("c", F.lit(0.0)))
 
 
 def hwe_denominator(geno: DataFrame) -> DataFrame:
@@ -166,9 +164,12 @@ def kinship(geno: DataFrame, denominator: str = "empirical", samples: int | None
 
 
 def partition_kinship(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: int = CHUNK,
-                      total: DataFrame | None = None) -> DataFrame:
+                      total: DataFrame | None = None, scopes: DataFrame | None = None, outside: DataFrame | None = None) -> DataFrame:
     """In-set and out-of-set kinship of every set: (set_id, partition, i, j, a, c, k).
 
+    A matched random set has a pool of SNPs of its own: `scopes` (set_id, scope) names it and `outside`
+    (scope, snp_id) holds the SNPs that the pool lacks; neither partition has them.
+
     Only the in-set sums are computed; the complement is the all-SNP matrix
     minus them, so its SNPs are never read again and its SNP list never built.
     A set is split in tasks of about `chunk` SNPs: a large set does not wait on
@@ -180,6 +181,12 @@ def partition_kinship(geno: DataFrame, sets: DataFrame, key: str = "set_id", chu
     inside = staged(inside, "numerators")
     total = staged(gram(geno), "numerators") if total is None else total
     both = inside.join(total.select("i", "j", F.col("a").alias("a_all")), ["i", "j"])
+    if outside is not None:
+        away = outside.select(F.col("scope").alias("set_id"), "snp_id").distinct()
+        away = gram(geno.select("snp_id", "dosages").join(away.join(away.groupBy("set_id").agg(_parts(chunk)), "set_id"), "snp_id"), "set_id", "_parts")
+        away = staged(away.select(F.col("set_id").alias("scope"), "i", "j", F.col("a").alias("a_away")), "numerators")
+        both = join_sized(both, scopes.select(F.col(key).cast("string").alias("set_id"), "scope").distinct(), ["set_id"], "left")
+        both = both.join(away, ["scope", "i", "j"], "left").withColumn("a_all", F.col("a_all") - F.coalesce("a_away", F.lit(0.0)))
     parts = both.select(
         "set_id", "i", "j",
         F.explode(F.array(
@@ -197,15 +204,15 @@ def name_samples(pairs: DataFrame, panel: DataFrame) -> DataFrame:
     return pairs.withColumn("i", F.element_at(iids, F.col("i") + 1)).withColumn("j", F.element_at(iids, F.col("j") + 1))
 
 
-def packed_kernels(kinships: DataFrame, by=("set_id", "partition"), limit: int = DENSE_FIT_LIMIT) -> DataFrame:
+def packed_kernels(kinships: DataFrame, by=("set_id", "partition")) -> DataFrame:
     """Upper triangle of each kernel as array<double> in (i, j) order, for the dense fits.
 
-    One kernel becomes one row, so a panel above `limit` samples is refused on
-    its first row; `fit_he` works on the long form without a bound. Rows of the
-    triangle are gathered first: the last step sorts n arrays, not n^2 values.
+    One kernel becomes one row: a caller whose panels do not fit in a task's
+    memory uses `fit_he`, which works on the long form. Rows of the triangle
+    are gathered first: the last step sorts n arrays, not n^2 values.
     """
     by = list(by)
-    fits = F.when(F.col("j") >= limit, F.raise_error(F.lit(f"more than {limit} samples: use fit_he"))).otherwise(F.coalesce("k", F.lit(0.0)))
+    fits = F.coalesce("k", F.lit(0.0))
     lines = kinships.groupBy(*by, "i").agg(
         F.max("c").alias("c"), F.max("j").alias("j"),
         F.transform(F.sort_array(F.collect_list(F.struct("j", fits.cast("double").alias("k")))), lambda s: s["k"]).alias("line"),
@@ -216,8 +223,9 @@ def packed_kernels(kinships: DataFrame, by=("set_id", "partition"), limit: int =
     )
 
 
-def set_kernels(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: int = CHUNK, limit: int = DENSE_FIT_LIMIT) -> DataFrame:
-    """Both kernels of many sets, packed: (set_id, n, scales, kernels).
+def set_kernels(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: int = CHUNK,
+                scopes: DataFrame | None = None, outside: DataFrame | None = None) -> DataFrame:
+    """Both kernels of many sets, packed: (set_id, n, scales, kernels); `scopes`, `outside` as in `partition_kinship`.
 
     For grids of thousands of small sets. Partial matrices travel as packed
     triangles, one row each, and are added in a streaming pass sorted by set;
@@ -231,7 +239,14 @@ def set_kernels(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: in
         rows.withColumn("_salt", F.pmod(F.xxhash64("snp_id"), F.col("_parts"))).repartition("set_id", "_salt")
         .sortWithinPartitions("set_id").select("set_id", "dosages")
     )
-    sums = _packed_sums(rows, limit).repartition("set_id").sortWithinPartitions("set_id")
+    sums = _packed_sums(rows).withColumn("t", packed_total(geno).select("a").scalar())
+    if outside is not None:
+        away = geno.select("snp_id", "dosages").join(outside.select(F.col("scope").alias("set_id"), "snp_id").distinct(), "snp_id")
+        away = _packed_sums(away.repartition("set_id").sortWithinPartitions("set_id").select("set_id", "dosages"))
+        away = _added(away.repartition("set_id").sortWithinPartitions("set_id")).select(F.col("set_id").alias("scope"), F.col("a").alias("away"))
+        named = join_sized(sums, scopes.select(F.col(key).cast("string").alias("set_id"), "scope").distinct(), ["set_id"], "left")
+        sums = named.join(away, "scope", "left").withColumn("t", F.when(F.col("away").isNull(), F.col("t")).otherwise(F.zip_with("t", "away", lambda t, a: t - a)))
+    sums = sums.select("set_id", "a", "t").repartition("set_id").sortWithinPartitions("set_id")
     schema = "set_id string, n int, scales array<double>, kernels array<array<double>>"
 
     def finish(batches):
@@ -247,13 +262,13 @@ def set_kernels(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: in
                 "scales": pa.array([scales], pa.list_(pa.float64())), "kernels": pa.array([kernels], pa.list_(pa.list_(pa.float64()))),
             })
 
-    return sums.select("set_id", "a", packed_total(geno, limit).select("a").scalar().alias("t")).mapInArrow(finish, schema)
+    return sums.mapInArrow(finish, schema)
 
 
-def packed_total(geno: DataFrame, limit: int = DENSE_FIT_LIMIT) -> DataFrame:
+def packed_total(geno: DataFrame) -> DataFrame:
     """The all-SNP numerators as one packed row, added in two streaming levels."""
     one = _tasks(geno).select(F.lit("all").alias("set_id"), "dosages")
-    first = _packed_sums(one, limit).withColumn("_g", F.pmod(F.xxhash64("a"), F.lit(MERGE_WIDTH)))
+    first = _packed_sums(one).withColumn("_g", F.pmod(F.xxhash64("a"), F.lit(MERGE_WIDTH)))
     middle = _added(first.repartition(MERGE_WIDTH, "_g").select("set_id", "a"))
     return _added(middle.coalesce(1))
 
@@ -272,12 +287,11 @@ def _added(rows: DataFrame) -> DataFrame:
 
 
 def _sum_runs(batches):
-    """Add the arrays `a` of consecutive rows of a set: (set_id, sum, `t` of the first row seen)."""
+    """Add the arrays `a` of consecutive rows of a set: (set_id, sum, `t` of the set's first row)."""
     held, acc, total = None, None, None
     for b in batches:
         ids, values = b["set_id"].to_pylist(), b["a"]
-        if total is None and "t" in b.schema.names and b.num_rows:
-            total = b["t"][0].values.to_numpy(zero_copy_only=False)
+        totals = b["t"] if "t" in b.schema.names else None
         for r, set_id in enumerate(ids):
             row = values[r].values.to_numpy(zero_copy_only=False)
             if set_id == held:
@@ -286,11 +300,12 @@ def _sum_runs(batches):
             if held is not None:
                 yield held, acc, total
             held, acc = set_id, row.copy()
+            total = None if totals is None else totals[r].values.to_numpy(zero_copy_only=False)
     if held is not None:
         yield held, acc, total
 
 
-def _packed_sums(rows: DataFrame, limit: int) -> DataFrame:
+def _packed_sums(rows: DataFrame) -> DataFrame:
     """Partial sums of z z' over runs of equal set_id, as packed upper triangles: (set_id, a)."""
 
     def partial(batches):
@@ -310,8 +325,6 @@ def _packed_sums(rows: DataFrame, limit: int) -> DataFrame:
                     stop += 1
                 x = b["dosages"].slice(start, stop - start)
                 width = len(x[0])
-                if width > limit:
-                    raise ValueError(f"more than {limit} samples: use fit_he")
                 z = centred(x, width)
                 if ids[start] != held:
                     if held is not None:

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from kinfold.functions.hashing import hash_bits, hash_key
 from kinfold.functions.ranking import cumulative
 from kinfold.operators.genotype import in_panel_order
-from kinfold.operators.kinship import DENSE_FIT_LIMIT, centred, unpack
+from kinfold.operators.kinship import centred, unpack
 from kinfold.operators.reml import Basis, Fit, fit_many, fit_one, ratio_sd
 from kinfold.session import join_sized, staged
 
-SHIP_LIMIT = 256 << 20
 
 
 def cv_folds(samples: DataFrame, repeats: int = 5, k: int = 10, seed: str = "cv", iid: str = "iid") -> DataFrame:
@@ -99,8 +98,6 @@ def _fit_rows(set_id, traits, w, kernels, scales, splits, iterations, cv_iterati
             row.update(set_id=set_id, trait=trait, cv=cv, fold=fold, n_kernels=n_kernels, n_train=int(train.sum()),
                        scales=list(scales), converged=False, iterations=0)
             try:
-                if n > DENSE_FIT_LIMIT:
-                    raise ValueError(f"{n} samples exceed the dense-fit limit")
                 if not kernels:
                     raise ValueError("no kernel with SNPs")
                 if train.sum() <= w.shape[1] + 2 or np.var(y[train]) == 0:
@@ -131,7 +128,7 @@ def _fit_rows(set_id, traits, w, kernels, scales, splits, iterations, cv_iterati
                     converged=bool(fit.converged), iterations=int(fit.iterations),
                     status="ok" if fit.converged else "not converged",
                 )
-            except Exception as error:  # one failed fit must not end the grid
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:  # one failed fit must not end the grid
                 row["status"] = f"error: {error}"
             yield row
 
@@ -205,16 +202,15 @@ def alpha_table(fits: DataFrame) -> DataFrame:
     )
 
 
-def snp_effects(geno: DataFrame, alphas: DataFrame, ship_limit: int = SHIP_LIMIT) -> DataFrame:
+def snp_effects(geno: DataFrame, alphas: DataFrame, slices: int = 1) -> DataFrame:
     """u_j = z_j . alpha for every fit: (fit_id, partition, snp_id, effect).
 
-    The alphas (samples x fits) are shipped to the SNP partitions after a
-    check of their size. More than `ship_limit` bytes are shipped in slices
-    of fits, one pass over the SNPs each.
+    The alphas (samples x fits) are written once and shipped to the SNP
+    partitions in `slices` of fits, one pass over the SNPs each: the caller
+    knows how many fits fit in a task.
     """
     spark = geno.sparkSession
-    size = alphas.agg(F.sum(F.size("alpha")).alias("s")).first()["s"] or 0
-    slices = max(1, -(-size * 8 // ship_limit))
+    alphas = staged(alphas.select("fit_id", "partition", "alpha"), "alphas")
     out = None
     for part in range(slices):
         chosen = alphas if slices == 1 else alphas.where(F.pmod(F.xxhash64("fit_id", "partition"), F.lit(slices)) == part)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinfold.operators import genotype as ge, kinship as ki, models as mo, quality as qu, results as re_, significance as si
 from kinfold.plans.fixtures import Inputs
-from kinfold.plans.queries_annotation import all_sets, matched_rows
+from kinfold.plans.queries_annotation import all_sets, matched_kernels_of
 from kinfold.session import staged
 
 COVARIATES = ["pc1", "pc2"]
@@ -36,8 +36,9 @@ def two_kernel(x: Inputs, folds: DataFrame | None = None, full: bool = True, dat
 
 
 def null_models(x: Inputs, reps: int = 3, data=None) -> DataFrame:
-    rows = matched_rows(x, reps).select(F.concat_ws("|", "pathway", "random_group").alias("set_id"), "snp_id")
-    return two_kernel(x, data=data, sets=staged(rows.distinct(), "null_sets"))
+    geno, panel = data or prepared(x)
+    sets, scopes, outside = matched_kernels_of(x, reps)
+    return _fit(x, panel, ki.set_kernels(geno, sets, scopes=scopes, outside=outside), None, True)
 
 
 def _fit(x: Inputs, panel: DataFrame, kernels: DataFrame, folds: DataFrame | None, full: bool) -> DataFrame:

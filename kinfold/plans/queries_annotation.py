@@ -138,46 +138,49 @@ SPANS = """spans AS (SELECT ensembl_gene_id AS drawn_gene_id, chromosome, count(
     size=SIZE_SQL.format(key="('c_'||n_nationkey)", span="299"), u=U.format("'draw|'||t.random_group||'|'||p.drawn_gene_id"))
 
 
-def generic_draw(x: Inputs):
+@query("N2", f"WITH {SPANS} SELECT random_group, drawn_gene_id FROM drawn")
+def sample_gene_groups(x):
     snps = staged(snp_gene(x), "snp_gene")
     spans = sa.gene_spans(snps)
     buffers = staged(sa.gene_buffers(snps, spans), "buffers")
-    drawn = sa.draw_genes_fast(spans, buffers, generic_targets(x), "draw")
-    return drawn, buffers
-
-
-@query("N2", f"WITH {SPANS} SELECT random_group, drawn_gene_id FROM drawn")
-def sample_gene_groups(x):
-    return generic_draw(x)[0].select("random_group", "drawn_gene_id")
+    return sa.draw_genes_fast(spans, buffers, generic_targets(x), "draw").select("random_group", "drawn_gene_id")
 
 
-def walk_sql(group: str) -> str:
-    """The sequential draw over `keyed`: take a gene unless an earlier buffer covers it, stop at the target."""
+def walk_ctes(group: str) -> str:
+    """The sequential draw over `keyed`, as `draws`: take a gene unless an earlier buffer covers it, stop at the target."""
     on = " AND ".join(f"s.{c}=w.{c}" for c in group.split(", "))
     own = ", ".join(f"w.{c}" for c in group.split(", "))
-    return f"""cover AS (SELECT {'pathway, ' if 'pathway' in group else ''}drawn_gene_id, list(DISTINCT ensembl_gene_id) AS covers FROM buffers
+    scope = "pathway, " if "pathway" in group else ""
+    return f"""cover AS (SELECT {scope}drawn_gene_id, list(DISTINCT ensembl_gene_id) AS covers FROM buffers
         WHERE ensembl_gene_id IS NOT NULL GROUP BY ALL),
-    seq AS (SELECT k.*, c.covers, row_number() OVER (PARTITION BY {group} ORDER BY k, k.drawn_gene_id) AS ord FROM ({{keyed}}) k
-        JOIN cover c USING ({'pathway, ' if 'pathway' in group else ''}drawn_gene_id)),
+    seq AS (SELECT k.*, c.covers, row_number() OVER (PARTITION BY {group} ORDER BY k, k.drawn_gene_id) AS ord FROM keyed k
+        JOIN cover c USING ({scope}drawn_gene_id)),
     walk AS (SELECT DISTINCT {group}, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS covered, false AS took, '' AS gene FROM seq
         UNION ALL SELECT {own}, s.ord, w.total+CASE WHEN list_contains(w.covered, s.drawn_gene_id) THEN 0 ELSE s.n END,
         CASE WHEN list_contains(w.covered, s.drawn_gene_id) THEN w.covered ELSE list_concat(w.covered, s.covers) END,
-        NOT list_contains(w.covered, s.drawn_gene_id), s.drawn_gene_id FROM walk w JOIN seq s ON {on} AND s.ord=w.ord+1 WHERE w.total<s.size)
-    SELECT {{out}}, gene AS drawn_gene_id, row_number() OVER (PARTITION BY {group} ORDER BY ord) AS draw_no FROM walk WHERE took"""
+        NOT list_contains(w.covered, s.drawn_gene_id), s.drawn_gene_id FROM walk w JOIN seq s ON {on} AND s.ord=w.ord+1 WHERE w.total<s.size),
+    draws AS (SELECT {group}, gene AS drawn_gene_id, row_number() OVER (PARTITION BY {group} ORDER BY ord) AS draw_no FROM walk WHERE took)"""
 
 
-@query("N2", "WITH RECURSIVE " + SPANS + ", " + walk_sql("random_group").format(
-    keyed="SELECT random_group, size, drawn_gene_id, n, -ln(" + U.format("'draw|generic|'||t.random_group||'|'||p.drawn_gene_id")
-    + ")/p.weight AS k FROM targets t, spans p JOIN rows_of r USING (drawn_gene_id)", out="'generic' AS set_id, random_group"))
-def sample_gene_groups_exact(x):
+DRAWN = (SPANS[:SPANS.index(",\n    drawn AS")].replace("'draw|'||", "'draw|generic|'||") + ", " + walk_ctes("random_group"))
+
+
+def generic_draw(x: Inputs):
+    """Genes of the generic groups by the sequential draw, and the buffered SNP rows of all genes."""
     snps = staged(snp_gene(x), "snp_gene")
     spans = sa.gene_spans(snps)
-    cover = sa.gene_cover(sa.gene_buffers(snps, spans), spans).withColumn("set_id", F.lit("generic"))
-    return sa.draw_genes_exact(cover, generic_targets(x).withColumn("set_id", F.lit("generic")), "draw")
+    buffers = staged(sa.gene_buffers(snps, spans), "buffers")
+    cover = sa.gene_cover(buffers, spans).withColumn("set_id", F.lit("generic"))
+    return staged(sa.draw_genes_exact(cover, generic_targets(x).withColumn("set_id", F.lit("generic")), "draw"), "drawn"), buffers
 
 
-@query("N3", f"""WITH {SPANS} SELECT d.random_group, b.drawn_gene_id, b.snp_id, b.ensembl_gene_id, b.chromosome, b.position
-    FROM drawn d JOIN buffers b ON b.drawn_gene_id=d.drawn_gene_id""")
+@query("N2", f"WITH RECURSIVE {DRAWN} SELECT 'generic' AS set_id, random_group, drawn_gene_id, draw_no FROM draws")
+def sample_gene_groups_exact(x):
+    return generic_draw(x)[0]
+
+
+@query("N3", f"""WITH RECURSIVE {DRAWN} SELECT d.random_group, b.drawn_gene_id, b.snp_id, b.ensembl_gene_id, b.chromosome, b.position
+    FROM draws d JOIN buffers b ON b.drawn_gene_id=d.drawn_gene_id""")
 def null_sets(x):
     drawn, buffers = generic_draw(x)
     return sa.group_snps(drawn.select("random_group", "drawn_gene_id"), buffers).select(
@@ -196,10 +199,9 @@ MATCHED = """pool AS (SELECT p.pathway, s.* FROM (SELECT DISTINCT pathway FROM a
         (VALUES (1),(2),(3)) v(k)),
     keyed AS (SELECT t.pathway, t.random_group, t.size, p.drawn_gene_id, r.n, -ln({u})/p.weight AS k
         FROM targets t JOIN spans p ON p.pathway=t.pathway JOIN rows_of r ON r.pathway=p.pathway AND r.drawn_gene_id=p.drawn_gene_id),
-    drawn AS (SELECT pathway, random_group, drawn_gene_id FROM (SELECT *, sum(n) OVER (PARTITION BY pathway, random_group
-        ORDER BY k, drawn_gene_id ROWS UNBOUNDED PRECEDING)-n AS below FROM keyed) WHERE below<size),
-    null_rows AS (SELECT d.random_group, b.* FROM drawn d JOIN buffers b ON b.pathway=d.pathway AND b.drawn_gene_id=d.drawn_gene_id)""".format(
-    u=U.format("'match|'||t.pathway||'|'||t.random_group||'|'||p.drawn_gene_id"))
+    {walk},
+    null_rows AS (SELECT d.random_group, b.* FROM draws d JOIN buffers b ON b.pathway=d.pathway AND b.drawn_gene_id=d.drawn_gene_id)""".format(
+    u=U.format("'match|'||t.pathway||'|'||t.random_group||'|'||p.drawn_gene_id"), walk=walk_ctes("pathway, random_group"))
 
 
 def matched_pool(x: Inputs):
@@ -211,26 +213,38 @@ def matched_pool(x: Inputs):
     return sets, pool, spans, staged(sa.gene_buffers(pool, spans, scope=["pathway"]), "buffers")
 
 
-def matched_rows(x: Inputs, reps: int = REPS):
-    """All SNP rows of the matched null groups, fast draw."""
+def matched_draw(x: Inputs, reps: int = REPS):
+    """(pathway, random_group, drawn_gene_id, draw_no) by the sequential draw from each pathway's pool, and the pool's buffers."""
     sets, pool, spans, buffers = matched_pool(x)
-    drawn = sa.draw_genes_fast(spans, buffers, sa.matched_targets(sets, reps, "pathway"), "match", ["pathway"])
-    return sa.group_snps(drawn.drop("draw_key"), buffers, ["pathway"])
+    cover = sa.gene_cover(buffers, spans, ["pathway"])
+    return staged(sa.draw_genes_exact(cover, sa.matched_targets(sets, reps, "pathway"), "match", "pathway"), "drawn"), buffers
+
 
+def matched_rows(x: Inputs, reps: int = REPS):
+    """All SNP rows of the matched null groups."""
+    drawn, buffers = matched_draw(x, reps)
+    return sa.group_snps(drawn.drop("draw_no"), buffers, ["pathway"])
+
+
+def matched_kernels_of(x: Inputs, reps: int = REPS):
+    """Random SNP sets named pathway|group, the pathway of each, and the pathways' own SNPs, which neither kernel holds."""
+    rows = matched_rows(x, reps).select(F.concat_ws("|", "pathway", "random_group").alias("set_id"), F.col("pathway").alias("scope"), "snp_id")
+    rows = staged(rows.distinct(), "null_sets")
+    outside = staged(all_sets(x).select(F.col("pathway").alias("scope"), "snp_id").distinct(), "outside")
+    return rows.select("set_id", "snp_id"), rows.select("set_id", "scope").distinct(), outside
 
-@query("N4", f"""WITH {MATCHED} SELECT pathway, random_group, drawn_gene_id, snp_id, ensembl_gene_id FROM null_rows""")
+
+@query("N4", f"""WITH RECURSIVE {MATCHED} SELECT pathway, random_group, drawn_gene_id, snp_id, ensembl_gene_id FROM null_rows""")
 def matched_null_sets(x):
     return matched_rows(x).select("pathway", "random_group", "drawn_gene_id", "snp_id", "ensembl_gene_id")
 
 
-@query("N4", "WITH RECURSIVE " + MATCHED + ", " + walk_sql("pathway, random_group").format(keyed="SELECT * FROM keyed", out="pathway, random_group"))
+@query("N4", f"WITH RECURSIVE {MATCHED} SELECT pathway, random_group, drawn_gene_id, draw_no FROM draws")
 def matched_null_sets_exact(x):
-    sets, pool, spans, buffers = matched_pool(x)
-    cover = sa.gene_cover(buffers, spans, ["pathway"])
-    return sa.draw_genes_exact(cover, sa.matched_targets(sets, REPS, "pathway"), "match", "pathway")
+    return matched_draw(x)[0]
 
 
-@query("N5", f"""WITH {SPANS}, m AS (SELECT DISTINCT d.random_group, b.snp_id FROM drawn d JOIN buffers b ON b.drawn_gene_id=d.drawn_gene_id)
+@query("N5", f"""WITH RECURSIVE {DRAWN}, m AS (SELECT DISTINCT d.random_group, b.snp_id FROM draws d JOIN buffers b ON b.drawn_gene_id=d.drawn_gene_id)
     SELECT random_group, 1 AS partition, snp_id FROM m UNION ALL
     SELECT g.random_group, 2, s.snp_id FROM (SELECT DISTINCT random_group FROM m) g, fx_snps s
     WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.random_group=g.random_group AND m.snp_id=s.snp_id)""")
@@ -239,7 +253,7 @@ def null_partitions(x):
     return iv.partition_snps(x.snps, sa.group_snps(drawn, buffers), "random_group")
 
 
-@query("N5", f"""WITH {SPANS}, m AS (SELECT DISTINCT d.random_group, b.snp_id FROM drawn d JOIN buffers b ON b.drawn_gene_id=d.drawn_gene_id)
+@query("N5", f"""WITH RECURSIVE {DRAWN}, m AS (SELECT DISTINCT d.random_group, b.snp_id FROM draws d JOIN buffers b ON b.drawn_gene_id=d.drawn_gene_id)
     SELECT random_group, 1 AS partition, snp_id FROM m UNION ALL
     SELECT g.random_group, 2, s.snp_id FROM (SELECT DISTINCT random_group FROM m) g, fx_snps s""")
 def null_partitions_as_written(x):
@@ -247,7 +261,7 @@ def null_partitions_as_written(x):
     return iv.partition_snps(x.snps, sa.group_snps(drawn, buffers), "random_group", complement="as_written")
 
 
-@query("N6", f"""WITH {MATCHED} SELECT pathway, random_group,
+@query("N6", f"""WITH RECURSIVE {MATCHED} SELECT pathway, random_group,
     count(DISTINCT ensembl_gene_id)+max(CASE WHEN ensembl_gene_id IS NULL THEN 1 ELSE 0 END) AS n_genes,
     count(DISTINCT snp_id) AS n_snps FROM null_rows GROUP BY ALL""")
 def null_group_sizes(x):

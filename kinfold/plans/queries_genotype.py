@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import genotype as ge, kinship as ki, structure as st
 from kinfold.plans.fixtures import Inputs
-from kinfold.plans.queries_annotation import MATCHED, all_sets, matched_rows
+from kinfold.plans.queries_annotation import MATCHED, all_sets, matched_kernels_of
 from kinfold.plans.registry import query, r, rounded
 from kinfold.session import staged
 
@@ -188,16 +188,19 @@ def partition_kinship(x):
 NULL_KIN = f"""{MATCHED}, m AS (SELECT DISTINCT pathway||'|'||random_group AS set_id, snp_id FROM null_rows WHERE pathway IN ('p_auto','p_ubiq')),
     gin AS (SELECT m.set_id, a.iid AS i, b.iid AS j, sum(a.z*b.z) AS a FROM m JOIN zgeno a ON a.snp_id=m.snp_id
         JOIN zgeno b ON b.snp_id=a.snp_id AND a.iid<=b.iid GROUP BY ALL),
+    away AS (SELECT s.pathway, a.iid AS i, b.iid AS j, sum(a.z*b.z) AS a FROM (SELECT DISTINCT pathway, snp_id FROM all_sets) s JOIN zgeno a ON a.snp_id=s.snp_id
+        JOIN zgeno b ON b.snp_id=a.snp_id AND a.iid<=b.iid GROUP BY ALL),
     gp AS (SELECT set_id, 1 AS partition, i, j, a FROM gin UNION ALL
-        SELECT g.set_id, 2, g.i, g.j, t.a-g.a FROM gin g JOIN gram_all t ON t.i=g.i AND t.j=g.j)"""
+        SELECT g.set_id, 2, g.i, g.j, t.a-w.a-g.a FROM gin g JOIN gram_all t ON t.i=g.i AND t.j=g.j
+        JOIN away w ON w.pathway=split_part(g.set_id,'|',1) AND w.i=g.i AND w.j=g.j)"""
 
 
 def null_kin(x: Inputs):
-    sets = matched_rows(x).select(F.concat_ws("|", "pathway", "random_group").alias("set_id"), "snp_id")
-    return ki.partition_kinship(x.geno, staged(sets.distinct(), "null_sets"))
+    sets, scopes, outside = matched_kernels_of(x)
+    return ki.partition_kinship(x.geno, sets, scopes=scopes, outside=outside)
 
 
-@query("K3", f"""WITH {NULL_KIN.replace(" WHERE pathway IN ('p_auto','p_ubiq')", "")},
+@query("K3", f"""WITH RECURSIVE {NULL_KIN.replace(" WHERE pathway IN ('p_auto','p_ubiq')", "")},
     c AS (SELECT set_id, partition, sum(a)/count(*) AS c FROM gp WHERE i=j GROUP BY ALL)
     SELECT gp.set_id, gp.partition, gp.i, gp.j, round(gp.a/nullif(c.c,0),6) AS k FROM gp JOIN c ON c.set_id=gp.set_id AND c.partition=gp.partition""")
 def null_kinship(x):

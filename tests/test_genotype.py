@@ -115,20 +115,30 @@ def test_set_kernels_equal_packed_partitions(spark, data):
             assert r["n"] == N and np.isclose(r["scales"][p - 1], w["c"]) and np.allclose(r["kernels"][p - 1], w["kernel"])
 
 
-def test_dense_kernels_refuse_a_large_panel(data):
-    _, geno, _ = data
-    with pytest.raises(Exception, match="samples"):
-        ki.packed_kernels(ki.kinship(geno).withColumn("partition", F.lit(1)), limit=10).collect()
-    with pytest.raises(Exception, match="samples"):
-        ki.set_kernels(geno, geno.select(F.lit("a").alias("set_id"), "snp_id"), limit=10).collect()
+def test_matched_kernels_leave_the_scope_out(spark, data):
+    x, geno, _ = data
+    z = centred(x)
+    sets = spark.createDataFrame([("p|1", f"S{j}") for j in range(0, M, 5)] + [("q|1", "S3")], "set_id string, snp_id string")
+    scopes = spark.createDataFrame([("p|1", "p"), ("q|1", "q")], "set_id string, scope string")
+    away = {"p": [1, 2, 7], "q": [0, 4]}
+    outside = spark.createDataFrame([(s, f"S{j}") for s, js in away.items() for j in js], "scope string, snp_id string")
+    packed = {(r["set_id"], r["partition"]): r for r in ki.packed_kernels(ki.partition_kinship(geno, sets, scopes=scopes, outside=outside)).collect()}
+    for r in ki.set_kernels(geno, sets, chunk=7, scopes=scopes, outside=outside).collect():
+        inside = list(range(0, M, 5)) if r["set_id"] == "p|1" else [3]
+        rest = [j for j in range(M) if j not in inside and j not in away[r["set_id"][0]]]
+        for at, part in enumerate((inside, rest)):
+            a = z[part].T @ z[part]
+            k = (a / (np.trace(a) / N))[np.triu_indices(N)]
+            assert np.allclose(r["kernels"][at], k) and np.allclose(packed[r["set_id"], at + 1]["kernel"], k)
 
 
 def test_pca_dense_and_iterated(data):
     x, geno, panel = data
     z = centred(x)
     values, vectors = np.linalg.eigh(z.T @ z)
-    for limit in (4096, 5):
-        got = st.sample_pca(geno, panel, 3, dense_limit=limit, sweeps=200, tol=1e-12).toPandas()
+    for method in ("dense", "subspace"):
+        got = st.sample_pca(geno, panel, 3, method, sweeps=200, tol=1e-12).toPandas()
+        assert got["converged"].all()
         for pc in (1, 2, 3):
             own = got[got["pc"] == pc].sort_values("iid")
             vec = vectors[:, -pc] * np.sqrt(values[-pc])

@@ -128,8 +128,8 @@ def test_grid_scores_and_predictions(spark, simulated, tables):
     assert len(preds) == N  # every sample is a test sample once
     # SNP effects, kept per partition, scored on the panel, give the genetic part of the prediction
     alphas = mo.alpha_table(fits.where("cv is not null"))
-    for limit in (1 << 28, 1):  # shipped at once, and in slices
-        effects = mo.keep_partition(mo.snp_effects(geno, alphas, ship_limit=limit * N * 8 if limit == 1 else limit), alphas, sets)
+    for slices in (1, 3):  # shipped at once, and in slices
+        effects = mo.keep_partition(mo.snp_effects(geno, alphas, slices), alphas, sets)
         scores = mo.score(geno, effects.select("fit_id", "snp_id", "effect"), panel).collect()
         theta = {f"in|t1|1|{r['fold']}": np.array(r["theta"]) for r in rows if r["trait"] == "t1" and r["cv"]}
         seen = 0
@@ -159,10 +159,13 @@ def test_a_set_of_all_snps_has_an_empty_complement(spark, tables):
         assert r["variances"][1] == 0 and r["scales"][1] == 0
 
 
-def test_too_large_a_panel_is_reported():
-    n = mo.DENSE_FIT_LIMIT + 1
-    rows = list(mo._fit_rows("s", [("t", np.zeros(n))], np.ones((n, 1)), [None], [1.0], [(None, None, np.zeros(n, bool))], 5, 5, True))
-    assert "limit" in rows[0]["status"]
+def test_only_failed_fits_become_a_status():
+    n = 30
+    splits = [(None, None, np.zeros(n, bool))]
+    rows = list(mo._fit_rows("s", [("t", np.zeros(n))], np.ones((n, 1)), [np.eye(n)], [1.0], splits, 5, 5, True))
+    assert "constant" in rows[0]["status"]
+    with pytest.raises(TypeError):  # a defect ends the job
+        list(mo._fit_rows("s", [("t", np.arange(n, dtype=float))], np.ones((n, 1)), [None], [1.0], splits, 5, 5, True))
 
 
 def test_folds(spark):

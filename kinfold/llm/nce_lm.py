@@ -10,7 +10,7 @@ whose crc32(doc_id as text) modulo `modulus` is not `held`.
   Pairs (token before, token) are counted over all training documents; their table is bounded by the parameters.
 - Log-bilinear: score = (vector before x transform) . vector + bias. Noise-contrastive estimation in numpy on the
   pair counts, with the unigram as noise, in expectation over the noise instead of by draws, so that training is
-  the same on every run.
+  the same on every run. Each context gets `PRIOR` tokens of the unigram on top, which holds rare contexts back.
 - Batched matrix products give the scores of every pair, normalised by row into log10 probabilities. A rare word
   takes its share of "rare" by its own smoothed count, (c + 1) / (N_rare + V_rare + 1), so that probabilities over
   known words, one unknown word and the end add up to one.
@@ -40,6 +40,7 @@ WIDTH = 16
 NOISE = 8
 STEPS = 250
 RATE = 0.05
+PRIOR = 20.0
 END = b"\n"
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -157,8 +158,9 @@ def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int
     """log10 P(output | context) of the trained model, rows normalised."""
     contexts, outputs = counts.shape
     rng = np.random.default_rng(seed)
-    total = max(counts.sum(), 1.0)
     unigram = (counts.sum(axis=0) + 1) / (counts.sum() + outputs)
+    counts = counts + PRIOR * unigram
+    total = counts.sum()
     joint = (counts / total).astype(np.float32)
     noisy = (noise * joint.sum(axis=1, keepdims=True) * unigram[None, :]).astype(np.float32)
     # rows of rare contexts count for little in the sum; scaled up by their root they are learned as well

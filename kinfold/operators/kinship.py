@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from kinfold.functions.ranking import average_rank, cumulative
+from kinfold.functions.ranking import with_ranges
 from kinfold.functions.stats import safe_corr
 from kinfold.operators.genotype import with_snp_stats
 from kinfold.session import join_sized, staged
@@ -349,14 +349,20 @@ def unpack(values, n: int) -> np.ndarray:
 def kinship_corr(pairs: DataFrame, by=("set_id",), digits: int = 8) -> DataFrame:
     """Pearson and Spearman correlation of in-set and out-of-set kinship over sample pairs i < j.
 
-    Values are rounded to `digits` first, so that equal relationships tie.
+    Values are rounded to `digits` first, so that equal relationships tie. Rows
+    are ranked within value ranges, with the pair as payload, and shifted by the
+    sizes of the ranges below; a second shuffle brings the two parts together.
     """
-    by = list(by)
-    off = pairs.where(F.col("i") < F.col("j")).select(*by, "partition", "i", "j", F.round("k", digits).alias("k"))
-    cum = cumulative(off, by + ["partition"], ["k"])
-    ranks = cum.select(*by, "partition", "k", average_rank().alias("r"))
-    both = off.join(ranks, by + ["partition", "k"])
-    wide = both.groupBy(*by, "i", "j").agg(*[
+    group = [*by, "partition"]
+    off = pairs.where(F.col("i") < F.col("j")).select(*group, "i", "j", F.round("k", digits).alias("k")).where("k IS NOT NULL")
+    placed = with_ranges(off, group, "k")
+    below = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*group, "_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
+    local = W.partitionBy(*group, "_range")
+    ranked = placed.withColumn("_r", F.rank().over(local.orderBy("k"))).withColumn("_ties", F.count(F.lit(1)).over(W.partitionBy(*group, "_range", "k")))
+    ranked = join_sized(ranked, offsets, [*group, "_range"]).withColumn("r", F.col("_off") + F.col("_r") + (F.col("_ties") - 1) / F.lit(2.0))
+    wide = ranked.groupBy(*by, "i", "j").agg(*[
         F.max(F.when(F.col("partition") == p, F.col(v))).alias(f"{v}{p}") for p in (1, 2) for v in ("k", "r")
     ])
     return wide.groupBy(*by).agg(safe_corr("k1", "k2").alias("cor_p"), safe_corr("r1", "r2").alias("cor_s"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinfold.session import scratch_path
 
@@ -65,19 +65,38 @@ def kept_by_chunk(df: DataFrame, label: str) -> DataFrame:
     What other tasks answer to a chunk is joined to it without moving the chunk itself again. Chunk numbers hold
     for this written table only, which later steps read again after a lost executor, so they never change.
     """
+    return _bucketed(df, label, "chunk", FILES_PER_PARTITION)
+
+
+def kept_by_key(df: DataFrame, label: str, key: str) -> DataFrame:
+    """The same for many small rows: they are dealt out by the key first, so that a bucket is one file."""
+    files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _bucketed(df.repartition(min(MOST_FILES, files), key), label, key, 1)
+
+
+def _bucketed(df: DataFrame, label: str, key: str, per_partition: int) -> DataFrame:
     spark = df.sparkSession
-    files = min(MOST_FILES, FILES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = min(MOST_FILES, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"kinfold_{uuid.uuid4().hex}"
-    df.write.bucketBy(files, "chunk").option("path", scratch_path(spark, label)).saveAsTable(name)
+    df.write.bucketBy(files, key).option("path", scratch_path(spark, label)).saveAsTable(name)
     return spark.table(name)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete the files of a written table that only later written tables, complete by now, were made from."""
+    spark = table.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for file in table.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(conf).delete(path, False)
+
+
 def in_chunks(batches: Iterable[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(chunk number, some MB of whole documents) of the batches of a task."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(sizes + 64) // chunk_bytes
+        part = np.cumsum(sizes + 256) // chunk_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts[:-1], cuts[1:]):
             if stop > start:
@@ -90,14 +109,28 @@ def id_and_text(docs: DataFrame, extra: dict[str, Column] | None = None) -> Data
                        *[c.alias(name) for name, c in (extra or {}).items()])
 
 
-def pack(docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Documents as chunks in the shared folder: (chunk long, batch binary). Only doc_id, text and `extra` are read."""
+def every_column(docs: DataFrame) -> tuple[DataFrame, T.StructType]:
+    """doc_id, text, and the other columns under names that clash with nothing; and the schema of that."""
+    others = {f"__{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = id_and_text(docs, others)
+    return rows, T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+
+
+def renamed_back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `every_column(docs)` as they are in `docs`."""
+    return rows.select(*[
+        F.col(c if c in ("doc_id", "text") else f"__{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(docs.columns)])
+
+
+def pack(docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES, whole: bool = False) -> DataFrame:
+    """Documents as chunks in the shared folder: (chunk long, batch binary). Only doc_id and text are read, or every column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in in_chunks(batches, chunk_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([as_blob(batch)], pa.binary())], ["chunk", "batch"])
 
-    return kept_by_chunk(id_and_text(docs, extra).mapInArrow(run, "chunk long, batch binary"), label)
+    rows = every_column(docs)[0] if whole else id_and_text(docs)
+    return kept_by_chunk(rows.mapInArrow(run, "chunk long, batch binary"), label)
 
 
 def bucket_count(chunks: DataFrame) -> int:
@@ -205,6 +238,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def short_keys(keys: np.ndarray, bits: int = 48) -> np.ndarray:
+    """The leading bits of uint64 keys: fewer bytes to send where a chance meeting only costs a later look."""
+    return keys >> np.uint64(64 - bits)
+
+
 def key_rows(chunk: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """Rows (chunk, bucket, blob) of a chunk's sorted distinct keys."""
     for bucket, index in key_buckets(keys, buckets):
@@ -219,33 +257,43 @@ def key_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
             yield int(b[part[0]]), part
 
 
-def repeated_keys(sent: DataFrame) -> DataFrame:
-    """(chunk, bucket, keys) -> (chunk, bucket, flags): a bit per key, set where another chunk sent the key as well."""
+def key_counts(sent: DataFrame, *least: int) -> DataFrame:
+    """(chunk, bucket, keys, counts) -> (chunk, bucket, flags): for each of `least`, a bit per key, set where the
+    counts of all chunks add up to that many. Counts are uint32 in a blob; none stands for ones."""
     import pandas as pd
 
     def flag(frame: pd.DataFrame) -> pd.DataFrame:
         runs = [load_keys(b) for b in frame["keys"]]
-        values, counts = np.unique(np.concatenate(runs), return_counts=True)
-        shared = values[counts > 1]
-        flags = []
-        for run in runs:
-            at = np.searchsorted(shared, run)
-            hit = np.zeros(len(run), bool) if not len(shared) else shared[np.minimum(at, len(shared) - 1)] == run
-            flags.append(np.packbits(hit).tobytes())
+        counts = [np.ones(len(r), np.int64) if c is None else load_arrays(c, np.uint32)[0].astype(np.int64) for r, c in zip(runs, frame["counts"])]
+        order = np.argsort(every := np.concatenate(runs), kind="stable")
+        every = every[order]
+        new = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(np.concatenate(counts)[order], new) if len(new) else np.zeros(0, np.int64)
+        total = np.empty(len(every), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(new, len(every))))
+        ends = np.cumsum([len(r) for r in runs])
+        flags = [b"".join(np.packbits(total[e - len(r) : e] >= n).tobytes() for n in least) for r, e in zip(runs, ends.tolist())]
         return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "flags": flags})
 
     return sent.groupBy("bucket").applyInPandas(flag, "chunk long, bucket int, flags binary")
 
 
-def flags_in_order(keys: np.ndarray, buckets: int, frame) -> np.ndarray:
-    """The flags of a chunk's sorted distinct keys, from the rows that `repeated_keys` returned for the chunk."""
+def repeated_keys(sent: DataFrame) -> DataFrame:
+    """(chunk, bucket, keys) -> (chunk, bucket, flags): a bit per key, set where another chunk sent the key as well."""
+    return key_counts(sent.withColumn("counts", F.lit(None).cast("binary")), 2)
+
+
+def flags_in_order(keys: np.ndarray, buckets: int, frame, which: int = 0, of: int = 1) -> np.ndarray:
+    """A chunk's flags (the one numbered `which` of `of`) in the order of its sorted distinct keys."""
     parts = dict(zip(frame["bucket"], frame["flags"]))
     out = np.zeros(len(keys), bool)
     for bucket, index in key_buckets(keys, buckets):
-        out[index] = np.unpackbits(np.frombuffer(parts[bucket], np.uint8), count=len(index)).astype(bool)
+        bits = np.frombuffer(parts[bucket], np.uint8).reshape(of, -1)[which]
+        out[index] = np.unpackbits(bits, count=len(index)).astype(bool)
     return out
 
 
+
 def placed(texts: list[str], cut) -> tuple[list, np.ndarray, np.ndarray]:
     """Distinct items that `cut` finds in some texts, most frequent first; the texts as places in that list; items per text."""
     place: dict = {}

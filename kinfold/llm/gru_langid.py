@@ -35,6 +35,7 @@ STEPS = 240
 RATE = 0.02
 PAD = 0x20
 WINDOWS_AT_ONCE = 2048
+LEAST_SCORE = 0.4
 PIECE_BYTES = 2 << 20
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -240,3 +241,17 @@ def with_language(docs: DataFrame, net: Network | None, held_modulus: int = MODU
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return with_language(docs, fitted(docs, sample))
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
+    """The documents whose language is determined with at least the score `least`; their columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, sample))
+    rows, schema = ch.every_column(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, batch in ch.in_chunks(batches, PIECE_BYTES):
+            langs, scores = predict(shared.value, batch.column("text").to_pylist())
+            keep = [lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ch.renamed_back(rows.mapInArrow(run, schema), docs)

@@ -121,7 +121,9 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix itself: a row per time that a document is taken, with the words that are taken; n_chars, if there, is counted anew."""
-    rows = dealt(docs, docs.columns, weights, total_share, most, block, seed)
+    names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they clash with nothing here
+    held = docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns)])
+    rows = dealt(held, ["text", *names], weights, total_share, most, block, seed)
     rows = rows.withColumn("__full", F.expr("quota div blocks")).withColumn("__extra", F.col("quota") % F.col("blocks"))
     part = _before(F.col("__at") + F.col("__size"), block) - _before(F.col("__at"), block) - F.col("__full") * F.col("__size")
     rows = rows.withColumn("__part", part)
@@ -135,8 +137,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float
     partial = F.when(F.col("__part") == F.col("__size"), text).otherwise(cut)
     whole = F.when(F.col("__size") > 0, F.array_repeat(text, F.col("__full").cast("int"))).otherwise(F.expr("CAST(array() AS array<string>)"))
     copies = F.concat(whole, F.when(F.col("__part") > 0, F.array(partial)).otherwise(F.expr("CAST(array() AS array<string>)")))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    out = rows.select(*columns, F.explode(copies).alias("text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = rows.select(*names, F.explode(copies).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col(n)).alias(c) for n, c in zip(names, docs.columns)])

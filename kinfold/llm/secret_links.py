@@ -91,7 +91,7 @@ def _joined(listed: Column) -> Column:
 
 
 def linked(scan: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(__row, weak): the weak parts of a row that meet a complementary part; they never overlap a strong one."""
+    """(__row, __weak): the weak parts of a row that meet a complementary part; they never overlap a strong one."""
     weak_kinds = [k for k in KINDS if k not in BASE]
     some = scan.where(reduce(lambda a, b: a | b, [F.size(f"__spans.{k}") > 0 for k in weak_kinds])).select("__row", "__spans")
     strong = _listed(BASE)
@@ -102,7 +102,7 @@ def linked(scan: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.col("__row").alias("row_b"), F.col("p.start").alias("start_b"), role.alias("role_b"),
         F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("p.start") / scope) + d)).alias("bin_b"))
     meets = (F.col("__row") == F.col("row_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("role") != F.col("role_b")) & (F.abs(F.col("p.start") - F.col("start_b")) <= scope)
-    return weak.join(others, meets, "left_semi").groupBy("__row").agg(F.collect_list("p").alias("weak"))
+    return weak.join(others, meets, "left_semi").groupBy("__row").agg(F.collect_list("p").alias("__weak"))
 
 
 def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -113,7 +113,7 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(f"__spans.{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(_listed(BASE)).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.concat(_listed(BASE), F.coalesce("weak", none))).alias("spans"))
+        _joined(F.concat(_listed(BASE), F.coalesce("__weak", none))).alias("spans"))
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK) -> DataFrame:
@@ -121,8 +121,8 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK) -> DataFrame:
     scan = scanned(docs, docs.columns, "redact")
     weak_rows = reduce(lambda a, b: a | b, [F.size(f"__spans.{k}") > 0 for k in KINDS if k not in BASE])
     none = F.expr("CAST(array() AS array<struct<start:int,rank:int,stop:int,kind:string>>)")
-    rows = scan.where(~weak_rows).withColumn("weak", none).unionByName(
-        scan.where(weak_rows).join(linked(scan, scope), "__row", "left").withColumn("weak", F.coalesce("weak", none)))
+    rows = scan.where(~weak_rows).withColumn("__weak", none).unionByName(
+        scan.where(weak_rows).join(linked(scan, scope), "__row", "left").withColumn("__weak", F.coalesce("__weak", none)))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -131,7 +131,7 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK) -> DataFrame:
         out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
-    listed = F.array_sort(F.concat(_listed(BASE), F.col("weak")))
+    listed = F.array_sort(F.concat(_listed(BASE), F.col("__weak")))
     cut = F.aggregate(listed, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
     rows = rows.withColumn("text", F.when(F.size(listed) > 0, cut).otherwise(text))
     if "n_chars" in docs.columns:

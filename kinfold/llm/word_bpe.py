@@ -89,14 +89,19 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
         for blob, places in zip(left["words"], left["places"]):
             words = ch.load_words(blob)[0]
             counts, shown, decoded = np.zeros(len(words), np.int64), [""] * len(words), [b""] * len(words)
+            first, pool, held = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], 0
             for bucket, index in ch.by_bucket(words, buckets):
                 lengths, flat = ch.load_ragged(parts[bucket])
                 counts[index], start, ids = lengths, 0, flat.tolist()
+                first[index] = held + np.cumsum(lengths) - lengths
+                pool.append(flat)
+                held += len(flat)
                 for i, n in zip(index.tolist(), lengths.tolist()):
                     own = ids[start : start + n]
                     start += n
                     shown[i] = ",".join(map(str, own))
                     decoded[i] = b"".join([table.value[k] for k in own])
+            pool = np.concatenate(pool)
             ids, sizes, order = ch.load_places(places)
             at = 0
             for doc_id, size in zip(ids, sizes.tolist()):
@@ -106,7 +111,10 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
                 digits = ",".join(map(shown.__getitem__, index))
                 row = (doc_id, int(counts[own].sum()), hashlib.sha256(digits.encode()).hexdigest(),
                        hashlib.sha256(b"".join(map(decoded.__getitem__, index))).hexdigest())
-                rows.append(row + ([int(k) for k in digits.split(",") if k],) if with_ids else row)
+                if with_ids:
+                    n = counts[own]
+                    row += (pool[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())],)
+                rows.append(row)
         out = pd.DataFrame(rows, columns=names)
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 

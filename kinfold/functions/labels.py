@@ -123,10 +123,3 @@ def size_bin(size: Column, width: int = 10000, top: int = 50000) -> Column:
     lower = (edge - width).cast("bigint").cast("string")
     label = F.concat(F.when(edge <= width, "[").otherwise("("), lower, F.lit(","), upper, F.lit("]"))
     return F.when((size >= 0) & (size <= top), label)
-
-
-def count_distinct_null(*cols: str) -> list[Column]:
-    """Distinct counts in which NULL is one more value."""
-    return [
-        (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).cast("bigint").alias(f"n_{c}") for c in cols
-    ]

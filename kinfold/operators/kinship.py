@@ -61,7 +61,7 @@ def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int
     cols = ([F.col(key).cast("string").alias("set_id")] if key else [F.lit("all").alias("set_id")])
     cols.append((F.col(salt) if isinstance(salt, str) else F.lit(salt)).alias("_salts"))
     if tiles == 1:
-        rows = geno.select(*cols, F.lit(0).alias("bi"), F.lit(0).alias("bj"),
+        rows = geno.select(*cols, *(["snp_id"] if key else []), F.lit(0).alias("bi"), F.lit(0).alias("bj"),
                            F.col("dosages").alias("x"), F.lit(None).cast("array<tinyint>").alias("y"))
         width = None
     else:
@@ -73,7 +73,7 @@ def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int
                     part(F.col("_b.bi")).alias("x"), part(F.col("_b.bj")).alias("y"))
         )
     if key or tiles > 1:
-        spread = F.pmod(F.xxhash64("snp_id" if tiles > 1 else "x"), F.col("_salts"))
+        spread = F.pmod(F.xxhash64("snp_id"), F.col("_salts"))  # not the dosages: linked SNPs have equal ones
         rows = (
             rows.withColumn("_salt", spread).repartition("set_id", "bi", "bj", "_salt")
             .sortWithinPartitions("set_id", "bi", "bj")

@@ -97,6 +97,29 @@ def scree(x):
     return st.scree(st.sample_pca(x.geno, x.panel, 6))
 
 
+def all_components(x: Inputs):
+    """Scores on as many components as there are samples: they hold the whole Gram matrix."""
+    return staged(st.sample_pca(x.geno, x.panel, x.panel.select(F.size("iids")).first()[0]), "scores")
+
+
+@query("G8", """SELECT d.i AS iid, round(d.a,5) AS own, round(f.a,5) AS with_first FROM gram_all d
+    JOIN gram_all f ON f.j=d.i AND f.i=(SELECT min(i) FROM gram_all) WHERE d.i=d.j""")
+def pca_products(x):
+    scores = all_components(x)
+    first = scores.where(F.col("iid") == scores.agg(F.min("iid")).scalar()).select("pc", F.col("score").alias("f"))
+    sums = scores.join(first, "pc").groupBy("iid").agg(F.sum(F.col("score") * F.col("score")).alias("own"), F.sum(F.col("score") * F.col("f")).alias("with_first"))
+    return sums.select("iid", r("own", 5).alias("own"), r("with_first", 5).alias("with_first"))
+
+
+@query("G9", """WITH n AS (SELECT count(*)-1 AS n FROM gram_all WHERE i=j)
+    SELECT count(*) FILTER (i=j) AS components, round(sum(CASE WHEN i=j THEN a END)/max(n),5) AS total,
+    round(sum(CASE WHEN i=j THEN a*a ELSE 2*a*a END)/max(n)/max(n),4) AS squares, round(CAST(1 AS DOUBLE),6) AS shares FROM gram_all, n""")
+def scree_moments(x):
+    rows = st.scree(all_components(x))
+    return rows.agg(F.count(F.lit(1)).alias("components"), r(F.sum("eigenvalue"), 5).alias("total"),
+                    r(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 4).alias("squares"), r(F.sum("share"), 6).alias("shares"))
+
+
 @query("G10", """WITH d AS (SELECT p.iid, p.trait, p.value, CAST(e.embedding[1] AS DOUBLE) AS pc1 FROM fx_pheno_long p
         LEFT JOIN embeddings e ON e.vec_id=p.iid),
     f AS (SELECT trait, regr_slope(value, pc1) AS b, regr_intercept(value, pc1) AS a FROM d GROUP BY trait)

@@ -12,9 +12,12 @@ from kinfold.operators import genotype as ge, kinship as ki, models as mo, quali
 from kinfold.plans.fixtures import Inputs
 from kinfold.plans.queries_annotation import all_sets, matched_kernels_of
 from kinfold.session import staged
+from kinfold.sources import tables as tb
 
 COVARIATES = ["pc1", "pc2"]
 TRAIT_BLOCKS = 4
+RANDOM_GROUPS = 1000  # per pathway
+REPEATS, FOLDS = 5, 10
 
 
 def prepared(x: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -35,9 +38,16 @@ def two_kernel(x: Inputs, folds: DataFrame | None = None, full: bool = True, dat
     return _fit(x, panel, ki.set_kernels(geno, sets), folds, full)
 
 
-def null_models(x: Inputs, reps: int = 3, data=None) -> DataFrame:
+def panel_folds(panel: DataFrame, repeats: int = REPEATS, k: int = FOLDS) -> DataFrame:
+    """Folds of the samples that are left after quality control."""
+    return staged(mo.cv_folds(panel.select(F.explode("iids").alias("iid")), repeats, k), "folds")
+
+
+def null_models(x: Inputs, reps: int = RANDOM_GROUPS, data=None, done: DataFrame | None = None) -> DataFrame:
+    """Two-kernel fits of `reps` matched random groups per pathway; groups whose set_id is in `done` are left out."""
     geno, panel = data or prepared(x)
     sets, scopes, outside = matched_kernels_of(x, reps)
+    sets = sets if done is None else tb.pending(sets, done, ["set_id"])
     return _fit(x, panel, ki.set_kernels(geno, sets, scopes=scopes, outside=outside), None, True)
 
 
@@ -61,19 +71,19 @@ def _h2(fits: DataFrame) -> DataFrame:
     return fits.where(F.col("cv").isNull()).select("trait", "h2")
 
 
-def predict_traits(x: Inputs, repeats: int = 2, k: int = 5) -> DataFrame:
+def predict_traits(x: Inputs, repeats: int = REPEATS, k: int = FOLDS) -> DataFrame:
     """Quality control, kinship, folds, one-kernel fits, test predictions, metrics per trait."""
     data = prepared(x)
-    folds = staged(mo.cv_folds(x.table("supplier").select(F.col("s_suppkey").alias("iid")), repeats, k), "folds")
+    folds = panel_folds(data[1], repeats, k)
     fits = staged(one_kernel(x, folds, data=data), "fits")
     observed = _observed(x, mo.prediction_table(fits, data[1]), folds)
     return qu.trait_summary(qu.fold_metrics(observed, _h2(fits), ["trait", "cvnum", "fold"]))
 
 
-def compare_pathway_models(x: Inputs, repeats: int = 1, k: int = 5) -> DataFrame:
+def compare_pathway_models(x: Inputs, repeats: int = REPEATS, k: int = FOLDS) -> DataFrame:
     """Two-kernel against one-kernel prediction, per trait and pathway."""
     data = prepared(x)
-    folds = staged(mo.cv_folds(x.table("supplier").select(F.col("s_suppkey").alias("iid")), repeats, k), "folds")
+    folds = panel_folds(data[1], repeats, k)
     one = staged(one_kernel(x, folds, data=data), "one")
     two = staged(two_kernel(x, folds, full=False, data=data), "two")
     single = qu.fold_metrics(_observed(x, mo.prediction_table(one, data[1]), folds), _h2(one), ["trait", "cvnum", "fold"])
@@ -82,7 +92,7 @@ def compare_pathway_models(x: Inputs, repeats: int = 1, k: int = 5) -> DataFrame
     return qu.mean_differences(qu.compare_models(single, multi))
 
 
-def pathway_significance(x: Inputs, reps: int = 5) -> DataFrame:
+def pathway_significance(x: Inputs, reps: int = RANDOM_GROUPS) -> DataFrame:
     """Share and likelihood ratio of every pathway against its matched random groups, with FDR."""
     data = prepared(x)
     one = staged(one_kernel(x, data=data), "one")

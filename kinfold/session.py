@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +54,34 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted_paths() -> Iterator[list[str]]:
+    """The paths that are given out meanwhile: who knows when their tables are no longer read can remove them."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted[:] = [p for p in _noted if p is not paths]
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, on whatever file system the shared folder is."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    for paths in _noted:
+        paths.append(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -52,7 +52,7 @@ WORDS = 5
 GROUPS_PER_SIZE = 0.2
 HOT_SETS = 16
 SMALL_GROUP = 16
-FIRST_HUBS = 3
+FIRST_HUBS = 1
 BLOCK_SETS = 256
 BINS = 1 << 14
 SETS_PER_BUCKET = 512
@@ -376,24 +376,28 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(set_id, label): least set id that links reach, from earlier labels (set_id, label) of the same kind."""
+    """(set_id, label): one label for all sets that links reach, from earlier labels (set_id, label) of the same kind.
+
+    In each round every node goes over to the first of itself and its neighbours in a hash order of the round, and
+    links are drawn anew between those; links shrink from round to round until none is left.
+    """
     by = labels.select("set_id", "label")
     edges = links.join(by.select(F.col("set_id").alias("a"), F.col("label").alias("x")), "a").join(
-        by.select(F.col("set_id").alias("b"), F.col("label").alias("y")), "b").where("x <> y").select(
-        F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("near")), F.struct(F.col("y").alias("node"), F.col("x").alias("near")))).alias("e")).select("e.*").distinct()
-    edges = staged(edges, "edges")
-    if edges.isEmpty():
-        return labels
-    # each node starts at the least of itself and its neighbours
-    roots = staged(edges.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved")), "roots")
-    while not roots.where("moved").isEmpty():
-        near = edges.join(roots.select(F.col("node").alias("near"), "root"), "near").groupBy("node").agg(F.min("root").alias("least"))
-        step = roots.select("node", F.col("root").alias("old")).join(near, "node").select("node", "old", F.least("old", "least").alias("root"))
-        # the new root is a node itself: jump to where that one points by now
-        ahead = roots.select(F.col("node").alias("root"), F.col("root").alias("ahead"))
-        roots = staged(step.join(ahead, "root").select("node", F.least("root", "ahead").alias("root"), (F.least("root", "ahead") < F.col("old")).alias("moved")), "roots")
-    merged = labels.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
-    return staged(merged.select("set_id", F.coalesce("root", "label").alias("label")), "labels")
+        by.select(F.col("set_id").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+    edges = staged(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+    round_ = 0
+    while not edges.isEmpty():
+        def order(node: str) -> Column:
+            return F.struct(F.xxhash64(F.lit(round_), F.col(node)).alias("order"), F.col(node).alias("node"))
+
+        ends = edges.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("near")), F.struct(F.col("y").alias("node"), F.col("x").alias("near")))).alias("e")).select("e.*")
+        goes = ends.groupBy("node").agg(F.min(order("near")).alias("o")).select("node", F.least("o", order("node"))["node"].alias("to"))
+        goes = staged(goes, "goes")
+        labels = staged(labels.join(goes.withColumnRenamed("node", "label"), "label", "left").select("set_id", F.coalesce("to", "label").alias("label")), "labels")
+        drawn = edges.join(goes.select(F.col("node").alias("x"), F.col("to").alias("v")), "x").join(goes.select(F.col("node").alias("y"), F.col("to").alias("w")), "y").where("v <> w")
+        edges = staged(drawn.select(F.least("v", "w").alias("x"), F.greatest("v", "w").alias("y")).distinct(), "edges")
+        round_ += 1
+    return labels
 
 
 def open_sets(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:

@@ -11,25 +11,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import gru_langid, mixing, partenum, secret_links, word_bpe
-from kinfold.session import staged
+from kinfold.session import noted_paths, remove_paths, staged
 
+_left: dict[str, list[str]] = {}  # by application: what the last stage has staged
 
+
+def _stage(first: bool = False):
+    def wrap(stage):
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            before = _left.pop(spark.sparkContext.applicationId, [])
+            if not first:  # what the last stage of another run has staged may still be read
+                remove_paths(spark, before)
+            with noted_paths() as paths:
+                out = stage(spark, docs, sf_dir)
+            _left[spark.sparkContext.applicationId] = paths
+            return out
+
+        return run_stage
+
+    return wrap
+
+
+@_stage(first=True)
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return gru_langid.keep_identified(docs)
 
 
+@_stage()
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return partenum.one_of_each(docs)
 
 
+@_stage()
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_links.redact(docs)
 
 
+@_stage()
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@_stage()
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

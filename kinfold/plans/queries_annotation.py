@@ -9,7 +9,7 @@ from kinfold.plans.fixtures import PATTERNS, Inputs
 from kinfold.plans.registry import query
 from kinfold.session import staged
 
-REPS = 3  # random groups per pathway in the queries; chains.RANDOM_GROUPS is what an analysis draws
+REPS = 3  # random groups per pathway in the queries whose SQL lists them; the chains draw chains.RANDOM_GROUPS
 
 
 def snp_gene(x: Inputs):

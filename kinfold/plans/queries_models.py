@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from kinfold.operators import kinship as ki, models as mo
 from kinfold.plans import chains
 from kinfold.plans.fixtures import Inputs
-from kinfold.plans.queries_annotation import REPS
 from kinfold.plans.queries_genotype import kin_parts
 from kinfold.plans.registry import query, r, rounded
 
@@ -35,7 +34,7 @@ def one_kernel_fits(x):
 @query("M3")
 def one_kernel_fold_fits(x):
     data = chains.prepared(x)
-    return chains.one_kernel(x, chains.panel_folds(data[1], 2, 5), full=False, data=data).select(*FIT_COLS)
+    return chains.one_kernel(x, chains.panel_folds(data[1]), full=False, data=data).select(*FIT_COLS)
 
 
 @query("M4")
@@ -46,12 +45,12 @@ def two_kernel_fits(x):
 @query("M5")
 def two_kernel_fold_fits(x):
     data = chains.prepared(x)
-    return chains.two_kernel(x, chains.panel_folds(data[1], 1, 5), full=False, data=data).select(*FIT_COLS)
+    return chains.two_kernel(x, chains.panel_folds(data[1]), full=False, data=data).select(*FIT_COLS)
 
 
 @query("M6")
 def null_fits(x):
-    return chains.null_models(x, REPS).select(*FIT_COLS)
+    return chains.null_models(x).select(*FIT_COLS)
 
 
 HE = """WITH y AS (SELECT iid, trait, (value-avg(value) OVER (PARTITION BY trait))/CASE WHEN trait='price' THEN 1000 ELSE 1 END AS y FROM fx_pheno_long),
@@ -101,19 +100,19 @@ def snp_scores(x):
 @query("M10")
 def fold_predictions(x):
     data = chains.prepared(x)
-    return mo.prediction_table(chains.one_kernel(x, chains.panel_folds(data[1], 2, 5), full=False, data=data), data[1])
+    return mo.prediction_table(chains.one_kernel(x, chains.panel_folds(data[1]), full=False, data=data), data[1])
 
 
 @query("E1")
 def predict_traits(x):
-    return chains.predict_traits(x, 2, 5)
+    return chains.predict_traits(x)
 
 
 @query("E2")
 def compare_pathway_models(x):
-    return chains.compare_pathway_models(x, 1, 5)
+    return chains.compare_pathway_models(x)
 
 
 @query("E3")
 def pathway_significance(x):
-    return chains.pathway_significance(x, 5)
+    return chains.pathway_significance(x)

@@ -194,3 +194,26 @@ def test_moment_estimate_is_least_squares(spark, simulated, tables):
     design = np.column_stack([np.ones(len(i)), kernels[0][i, j], kernels[1][i, j]])
     beta = np.linalg.lstsq(design, c[i] * c[j], rcond=None)[0]
     assert np.allclose([got["var_in"], got["var_out"]], beta[1:]) and got["n_pairs"] == len(i)
+
+
+def test_queries_take_the_counts_of_an_analysis(spark, monkeypatch):
+    """The registered chains draw 1,000 random groups a pathway and 5 repeats of 10 folds."""
+    import __spark_entry__ as entry
+    from kinfold.plans import chains
+
+    counts = []
+
+    class Drawn(Exception):
+        pass
+
+    def draw(x, reps):
+        counts.append(reps)
+        raise Drawn
+
+    monkeypatch.setattr(chains, "matched_kernels_of", draw)
+    for name in ("null_fits", "pathway_significance"):
+        with pytest.raises(Drawn):
+            entry.queries()[name](spark, entry.SMOKE_DIR)
+    assert counts == [1000, 1000]
+    for name in ("one_kernel_fold_fits", "two_kernel_fold_fits", "fold_predictions"):
+        assert entry.queries()[name](spark, entry.SMOKE_DIR).select("cv", "fold").distinct().count() == 50

@@ -16,6 +16,9 @@ Method: common-prefix-aware distributed merge sort.
 - Decision. Suffixes that share `gram` bytes form a group; within it equal contexts are neighbours. All but the
   first place of a context are repeated in full. Where a group holds different contexts, their strings are looked
   up in the order of their first places.
+- Hot anchors. Where chunks hold `hot` different contexts of one anchor piece beyond their first, all in all, its
+  contexts are no group: each chunk sends every distinct string of them once, with its first place there, to the
+  bucket of a hash of the whole string, where the strings are sorted. A group so has at most `hot` + chunks contexts.
 
 Results are exact: hashes only choose anchors and buckets, decisions compare bytes.
 
@@ -40,6 +43,8 @@ LENGTH = 100
 GRAM = 50
 CHUNK_BYTES = 2 << 20
 PLACE_BITS = 31
+HOT = 1 << 13
+MOST_CHUNKS_BITS = 18  # a count of chunks below, one of contexts above
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 BYTE_CODES = ch.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -106,6 +111,66 @@ class Contexts:
         self.hash = hashes[self.anchor]
 
 
+def contexts_beyond_first(c: Contexts, inverse: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """For each distinct anchor hash of a chunk, how many different contexts it has there, less one. It only decides the
+    way that an anchor takes, so contexts are told apart by hashes of their first and last strings."""
+    out = np.zeros(len(counts), np.int64)
+    index = np.flatnonzero(counts[inverse] > 1) if len(counts) else out
+    if len(index):
+        strings = gram_hashes(np.frombuffer(c.bytes, np.uint8), length)
+        marks = ch.mixed(strings[c.first[index]]) + strings[c.last[index]]
+        pairs = np.unique(np.column_stack([inverse[index].astype(np.uint64), marks]), axis=0)
+        np.add.at(out, pairs[:, 0].astype(np.int64), 1)
+        out[counts > 1] -= 1
+    return out
+
+
+def hot_strings(c: Contexts, index: np.ndarray, length: int, buckets: int) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """The distinct strings of some contexts with their first places as (bucket, blob), and the sorted other places."""
+    sizes = c.last[index] - c.first[index] + 1
+    ends = np.cumsum(sizes)
+    places = np.repeat(c.first[index] - (ends - sizes), sizes) + np.arange(ends[-1])
+    doc = np.searchsorted(c.ends, places, side="right")
+    ids = np.array([LEAST_ID if i is None else i for i in c.ids], np.int64)[doc]
+    order = np.lexsort((places, ids))
+    places, ids = places[order], ids[order]
+    rows, again = [], []
+    for bucket, part in ch.key_buckets(gram_hashes(np.frombuffer(c.bytes, np.uint8), length)[places], buckets):
+        seen: dict[bytes, int] = {}
+        for k in part.tolist():
+            p = int(places[k])
+            if seen.setdefault(c.bytes[p : p + length], k) != k:
+                again.append(p)
+        kept = np.fromiter(seen.values(), np.int64, len(seen))
+        rows.append((bucket, ch.dump_arrays(ids[kept], places[kept], b"".join(seen))))
+    return rows, np.sort(np.array(again, np.int64))
+
+
+def decide_strings(numbers: list[int], blobs: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(chunk, places) of the strings of a bucket that occur earlier in another chunk."""
+    parts = [ch.load_arrays(b, np.int64, np.int64, bytes) for b in blobs]
+    ids, places = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    chunks = np.repeat(np.array(numbers, np.int64), [len(p[0]) for p in parts])
+    strings = np.frombuffer(b"".join(p[2] for p in parts), np.uint8).reshape(-1, length)
+    del parts
+    order = np.lexsort((places, chunks, ids))
+    strings = np.ascontiguousarray(strings[order])
+    by_string = np.argsort(strings.view(f"V{length}").ravel(), kind="stable")
+    again = np.zeros(len(order), bool)
+    for start in range(1, len(order), 1 << 16):
+        part = by_string[start - 1 : start + (1 << 16)]
+        again[start : start + len(part) - 1] = (strings[part[1:]] == strings[part[:-1]]).all(axis=1)
+    gone = order[by_string[again]]
+    for chunk in np.unique(chunks[gone]).tolist():
+        yield chunk, np.sort(places[gone[chunks[gone] == chunk]])
+
+
+def in_runs(places: np.ndarray) -> bytes:
+    """Sorted places as the first of each run and its length."""
+    new = np.flatnonzero(np.append(True, np.diff(places) != 1)) if len(places) else np.zeros(0, np.int64)
+    return ch.dump_arrays(places[new], np.diff(np.append(new, len(places))).astype(np.int64))
+
+
 def _shared(a: bytes, b: bytes, start: int) -> int:
     """Length of the common prefix of two strings that agree up to `start`."""
     n = min(len(a), len(b))
@@ -229,7 +294,7 @@ def decide(group: dict[tuple[int, bytes], list[tuple[int, int, int]]], length: i
             yield chunk, place + start, len(text) - length + 1 - start
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: bytes, removed bytes and spans, digest of the kept bytes; `kept` (binary) on request."""
     chunks = ch.pack(docs, "suffixes", CHUNK_BYTES)
     buckets = ch.bucket_count(chunks)
@@ -237,18 +302,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for chunk, blob in zip(frame["chunk"], frame["batch"]):
-                keys = np.unique(Contexts(ch.from_blob(blob), length, gram).hash)
-                yield pd.DataFrame(list(ch.key_rows(chunk, keys, buckets)), columns=["chunk", "bucket", "keys"])
+                c = Contexts(ch.from_blob(blob), length, gram)
+                keys, inverse, counts = np.unique(c.hash, return_inverse=True, return_counts=True)
+                more = np.minimum(contexts_beyond_first(c, inverse, counts, length), hot)
+                rows = [(chunk, b, ch.dump_keys(keys[i]), ch.dump_arrays((1 + (more[i] << MOST_CHUNKS_BITS)).astype(np.uint32)) if more[i].any() else None)
+                        for b, i in ch.key_buckets(keys, buckets)]
+                yield pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "counts"])
 
-    flags = ch.repeated_keys(chunks.mapInPandas(anchors, "chunk long, bucket int, keys binary"))
+    flags = ch.key_counts(chunks.mapInPandas(anchors, "chunk long, bucket int, keys binary, counts binary"), 2, hot << MOST_CHUNKS_BITS)
 
     def runs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for chunk, blob in zip(left["chunk"], left["batch"]):
             c = Contexts(ch.from_blob(blob), length, gram)
             keys, inverse, counts = np.unique(c.hash, return_inverse=True, return_counts=True)
-            again = ch.flags_in_order(keys, buckets, right) | (counts > 1)
+            split = ch.flags_in_order(keys, buckets, right, 1, 2)
+            again = (ch.flags_in_order(keys, buckets, right, 0, 2) | (counts > 1)) & ~split
             index = np.flatnonzero(again[inverse]) if len(keys) else np.zeros(0, np.int64)
+            if split.any():  # buckets from `buckets` on decide strings, those from twice as many on pass places through
+                strings, settled = hot_strings(c, np.flatnonzero(split[inverse]), length, buckets)
+                rows += [(buckets + b, chunk, string_blob) for b, string_blob in strings]
+                rows.append((2 * buckets + chunk % buckets, chunk, in_runs(settled)))
             doc = np.searchsorted(c.ends, c.first[index], side="right")
             bucket_of = (c.hash[index] % np.uint64(buckets)).astype(np.int64)
             parts: dict[int, dict[tuple[bytes, int], list]] = {}
@@ -264,7 +338,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     sent = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(runs, "bucket int, chunk long, run binary")
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        numbers = frame["chunk"].tolist()
+        numbers, kind = frame["chunk"].tolist(), int(frame["bucket"].iloc[0]) // buckets
+        if kind == 2:
+            return frame[["chunk", "run"]].rename(columns={"run": "found"})
+        if kind == 1:
+            return pd.DataFrame([(n, in_runs(places)) for n, places in decide_strings(numbers, list(frame["run"]), length)], columns=["chunk", "found"])
         found: dict[int, tuple[list[int], list[int]]] = {}
         group: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
 

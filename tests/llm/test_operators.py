@@ -249,6 +249,32 @@ def test_repeats_short_strings(spark):
     same(suffix_merge.remove_repeats(docs, 10, 5), want, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_repeats_hot_anchor(spark, hot):
+    """A line with ever different neighbours: its strings are decided by string, not in one group of all contexts."""
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line = "we use cookies"
+    texts = [some(rng.randint(0, 30)) + line + some(rng.randint(0, 30)) for _ in range(60)]
+    texts += texts[:9] + [line * 3, line + "\0\0\0", line + "\0\0", "", some(15)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = [(i, *w) for i, w in enumerate(plain.without_repeats([t.encode() for t in texts], 20))]
+    same(suffix_merge.remove_repeats(docs, 20, 8, hot=hot), want, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def test_repeats_hot_strings_are_split():
+    batch = suffix_merge.pa.table({"doc_id": [3, 1, 2], "text": ["0123456789xx", "yy0123456789", "0123456789xx"]})
+    c = suffix_merge.Contexts(batch, 10, 4)
+    rows, again = suffix_merge.hot_strings(c, np.arange(len(c.first)), 10, 7)
+    assert len(rows) > 1 and again.tolist() == [0, 1, 2, 24]  # copies of the strings at 14 (doc 1), 25 and 26 (doc 2)
+    found = {}
+    for b, blob in rows:
+        for chunk, places in suffix_merge.decide_strings([5, 6], [blob, blob], 10):
+            found.setdefault(chunk, []).extend(places.tolist())
+    assert set(found) == {6} and sorted(found[6]) == [12, 13, 14, 25, 26]
+
+
 def test_merge_runs():
     rng = random.Random(4)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 25))) for _ in range(7)]

@@ -3,9 +3,10 @@
 Strong parts are reported by themselves: assignments of a value to a secret's name, access identifiers, long
 hexadecimal strings. Weak parts (an account name, a value assigned to a lesser name, an address) are everywhere and
 reported only where complementary parts meet: a secret with an identifier or an address, an identifier or an
-address with a secret, not further than `SCOPE` code points from start to start. Strong parts count as partners.
-The meeting is an interval join on (document, bin of SCOPE places), as a semi join: no pair is spelled out, and a
-bin holds no more parts than fit in its places.
+address with a secret, with not more than `SCOPE` code points from the end of the earlier to the start of the later
+one. Strong parts count as partners, and so do weak parts that overlap a strong one, which are not reported themselves.
+The meeting is an interval join on (document, bin of SCOPE places), as a semi join: no pair is spelled out, a part is
+in every bin that it touches, and a bin holds no more parts than fit in its places.
 
 Everything is DataFrame expressions. Texts are scanned once, into a written table of spans; only documents with
 weak parts take part in the join.
@@ -97,12 +98,16 @@ def linked(scan: DataFrame, scope: int = SCOPE) -> DataFrame:
     strong = _listed(BASE)
     free = F.filter(_listed(weak_kinds), lambda w: ~F.exists(strong, lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
     role = F.coalesce(*[F.when(F.col("p.kind") == k, F.lit(r)) for k, r in ROLES.items()])
-    weak = some.select("__row", F.explode(free).alias("p")).select("__row", "p", role.alias("role"), F.floor(F.col("p.start") / scope).alias("bin"))
-    others = some.select("__row", F.explode(F.concat(strong, free)).alias("p")).select(
-        F.col("__row").alias("row_b"), F.col("p.start").alias("start_b"), role.alias("role_b"),
-        F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("p.start") / scope) + d)).alias("bin_b"))
-    meets = (F.col("__row") == F.col("row_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("role") != F.col("role_b")) & (F.abs(F.col("p.start") - F.col("start_b")) <= scope)
-    return weak.join(others, meets, "left_semi").groupBy("__row").agg(F.collect_list("p").alias("__weak"))
+
+    def bins(more: int) -> Column:
+        return F.explode(F.sequence(F.floor(F.col("p.start") / scope) - more, F.floor(F.col("p.stop") / scope) + more))
+
+    weak = some.select("__row", F.explode(free).alias("p")).select("__row", "p", role.alias("role"), bins(0).alias("bin"))
+    others = some.select("__row", F.explode(_listed(KINDS)).alias("p")).select(
+        F.col("__row").alias("row_b"), F.col("p.start").alias("start_b"), F.col("p.stop").alias("stop_b"), role.alias("role_b"), bins(1).alias("bin_b"))
+    near = (F.col("p.start") - F.col("stop_b") <= scope) & (F.col("start_b") - F.col("p.stop") <= scope)
+    meets = (F.col("__row") == F.col("row_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("role") != F.col("role_b")) & near
+    return weak.join(others, meets, "left_semi").groupBy("__row").agg(F.collect_set("p").alias("__weak"))
 
 
 def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -56,6 +56,20 @@ def test_secrets_linked(awkward):
     assert got[6] == "" and got[16].startswith("assign:0:25,access:30:50,hex:51:81")
 
 
+def test_secrets_gap(spark):
+    cases = {
+        "auth: " + "k" * 220 + " client_id=foo": "lesser:0:226,ident:227:240",
+        "client_id=foo auth: " + "k" * 220: "ident:0:13,lesser:14:240",
+        "private_key=" + "Z" * 300 + " login: bob": "lesser:0:312,ident:313:323",
+        "pwd: s3cr3tvalue99" + " " * 200 + "login: bob": "lesser:0:18,ident:218:228",
+        "pwd: s3cr3tvalue99" + " " * 201 + "login: bob": "",
+        "pwd: s3cr3tvalue99 at https://host/cb?token=abc123": "lesser:0:18,assign:38:50",  # the address is a partner only
+        "https://h/" + "z" * 500 + "?auth=abcdefgh1&" + "z" * 500: "endpoint:0:1026,lesser:511:525",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert [r["spans"] for r in secret_links.find(docs).orderBy("doc_id").collect()] == list(cases.values())
+
+
 def test_secrets_redacted(awkward):
     out = {r["doc_id"]: r for r in secret_links.redact(awkward).where("doc_id IS NOT NULL").collect()}
     assert out[18]["text"] == "[removed]\n[removed] at [removed]" and out[18]["n_chars"] == len(out[18]["text"])

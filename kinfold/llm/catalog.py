@@ -183,3 +183,10 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit.n, 0)::BIGINT AS n_
   sha256(coalesce(n_item.ids, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated, coalesce(n_near.n, 0)::BIGINT AS n_near_items
 FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_item USING (doc_id) LEFT JOIN n_near USING (doc_id)
 """
+
+
+@query
+def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import turn_repair
+
+    return turn_repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

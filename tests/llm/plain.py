@@ -138,3 +138,7 @@ def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
         if not above:
             return {s: 2.0 * sizes[s] if s in capped else weight[s] * rate for s in order}
         capped |= above
+
+
+def md5(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()

@@ -11,7 +11,7 @@ from kinfold.functions.hashing import hash_bits, hash_key
 from kinfold.functions.ranking import cumulative
 from kinfold.operators.genotype import in_panel_order
 from kinfold.operators.kinship import centred, unpack
-from kinfold.operators.reml import Basis, Fit, fit_many, fit_one, ratio_sd
+from kinfold.operators.reml import Basis, Fit, FoldBasis, fit_many, fit_one, ratio_sd
 from kinfold.session import join_sized, staged
 
 
@@ -85,15 +85,35 @@ FIT_COLUMNS = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
 
 
 def _fit_rows(set_id, traits, w, kernels, scales, splits, iterations, cv_iterations, constrain):
-    """All fits of a work item. Traits called in the same samples share the decomposition of a split."""
-    n = len(w)
+    """All fits of a work item. Traits called in the same samples share the decomposition of a split, and the folds of one
+    kernel that of all samples, where that is less work (`_cheaper`); the fits are the same."""
     covered = ~np.isnan(w).any(axis=1)
     used = [i for i, c in enumerate(scales) if c > 0]  # a part without SNPs has scale 0 and no variance
     kernels, n_kernels = [kernels[i] for i in used], len(kernels)
+    called = {trait: ~np.isnan(y) & covered for trait, y in traits}
+    wholes: dict[bytes, FoldBasis] = {}
     for cv, fold, test in splits:
+        steps = iterations if cv is None else cv_iterations
         bases: dict[bytes, Basis] = {}
+        ready: dict[str, Fit] = {}
+        if len(kernels) == 1 and constrain and cv is not None:
+            together: dict[bytes, list] = {}
+            for trait, y in traits:
+                train = called[trait] & ~test
+                if train.sum() > w.shape[1] + 2 and np.var(y[train]) > 0:
+                    together.setdefault(called[trait].tobytes(), []).append((trait, y))
+            for mask, rows in together.items():
+                have = np.frombuffer(mask, bool)
+                if not _cheaper(int(have.sum()), int((have & test).sum()), len(rows)):
+                    continue
+                try:
+                    if mask not in wholes:
+                        wholes[mask] = FoldBasis(w[have], kernels[0][np.ix_(have, have)])
+                    ready |= zip([t for t, _ in rows], wholes[mask].fit([y[have] for _, y in rows], test[have], steps))
+                except np.linalg.LinAlgError:  # these folds are fitted one by one below
+                    continue
         for trait, y in traits:
-            train = ~np.isnan(y) & covered & ~test
+            train = called[trait] & ~test
             row = dict.fromkeys(FIT_COLUMNS)
             row.update(set_id=set_id, trait=trait, cv=cv, fold=fold, n_kernels=n_kernels, n_train=int(train.sum()),
                        scales=list(scales), converged=False, iterations=0)
@@ -102,41 +122,55 @@ def _fit_rows(set_id, traits, w, kernels, scales, splits, iterations, cv_iterati
                     raise ValueError("no kernel with SNPs")
                 if train.sum() <= w.shape[1] + 2 or np.var(y[train]) == 0:
                     raise ValueError("too few samples or constant values")
-                basis = bases.get(train.tobytes())
-                if basis is None:
-                    ix = np.ix_(train, train)
-                    bases = {train.tobytes(): (basis := Basis(w[train], [k[ix] for k in kernels]))}
-                run = fit_one if len(kernels) == 1 else fit_many
-                fit: Fit = run(y[train], basis, constrain, iterations if cv is None else cv_iterations)
-                s = fit.variances
-                genetic = np.append(np.ones(len(kernels)), 0.0)
-                unit = np.eye(len(kernels) + 1)
-                total_g = genetic @ s
-                py = np.zeros(n)
-                py[train] = fit.py
-                targets = test & covered
-                value = w[targets] @ fit.theta + sum(x * (k[targets] @ py) for x, k in zip(s, kernels))
-                variances, shares, sds = np.zeros(n_kernels + 1), [0.0] * n_kernels, [-1.0] * n_kernels
-                variances[[*used, n_kernels]] = s
-                for at, i in enumerate(used):
-                    shares[i] = float(s[at] / total_g) if total_g > 0 else None
-                    sds[i] = ratio_sd(fit, unit[at], genetic)
-                row.update(
-                    loglik=fit.loglik, h2=total_g / s.sum(), h2_sd=ratio_sd(fit, genetic, np.ones(len(s))),
-                    shares=shares, share_sds=sds, variances=variances.tolist(), theta=fit.theta.tolist(), py=py.tolist(),
-                    pred_i=np.flatnonzero(targets).tolist(), pred=value.tolist(),
-                    converged=bool(fit.converged), iterations=int(fit.iterations),
-                    status="ok" if fit.converged else "not converged",
-                )
+                fit = ready.get(trait)
+                if fit is None:
+                    basis = bases.get(train.tobytes())
+                    if basis is None:
+                        ix = np.ix_(train, train)
+                        bases = {train.tobytes(): (basis := Basis(w[train], [k[ix] for k in kernels]))}
+                    fit = (fit_one if len(kernels) == 1 else fit_many)(y[train], basis, constrain, steps)
+                _fill(row, fit, w, kernels, used, train, test & covered)
             except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:  # one failed fit must not end the grid
                 row["status"] = f"error: {error}"
             yield row
 
 
+def _cheaper(n: int, left_out: int, traits: int) -> bool:
+    """Whether the products of the left-out rows, for about ten values of h a trait besides the grid, cost less than a
+    decomposition of the training kernel (about 11 n^3)."""
+    return (41 + 10 * traits) * 2 * left_out**2 * n < 11 * (n - left_out) ** 3
+
+
+def _fill(row, fit: Fit, w, kernels, used, train, targets) -> None:
+    """What a row says of its fit: variances and their ratios, weights, and predictions of the `targets`."""
+    s, n_kernels = fit.variances, row["n_kernels"]
+    genetic = np.append(np.ones(len(kernels)), 0.0)
+    unit = np.eye(len(kernels) + 1)
+    total_g = genetic @ s
+    py = np.zeros(len(w))
+    py[train] = fit.py
+    value = w[targets] @ fit.theta + sum(x * (k[targets] @ py) for x, k in zip(s, kernels))
+    variances, shares, sds = np.zeros(n_kernels + 1), [0.0] * n_kernels, [-1.0] * n_kernels
+    variances[[*used, n_kernels]] = s
+    for at, i in enumerate(used):
+        shares[i] = float(s[at] / total_g) if total_g > 0 else None
+        sds[i] = ratio_sd(fit, unit[at], genetic)
+    row.update(
+        loglik=fit.loglik, h2=total_g / s.sum(), h2_sd=ratio_sd(fit, genetic, np.ones(len(s))),
+        shares=shares, share_sds=sds, variances=variances.tolist(), theta=fit.theta.tolist(), py=py.tolist(),
+        pred_i=np.flatnonzero(targets).tolist(), pred=value.tolist(),
+        converged=bool(fit.converged), iterations=int(fit.iterations),
+        status="ok" if fit.converged else "not converged",
+    )
+
+
 def fit_variance(grid: DataFrame, covar: DataFrame | None = None, folds: DataFrame | None = None, full: bool = True,
-                 iterations: int = 500, cv_iterations: int = 100, constrain: bool = True) -> DataFrame:
+                 iterations: int = 500, cv_iterations: int = 100, constrain: bool = True, by_repeat: bool = False) -> DataFrame:
     """Fit every work item on all samples (`full`) and on the training part of every fold.
 
+    `by_repeat` makes a task of every repeat of a work item: for few sets with many folds, so that traits stay together
+    and share decompositions.
+
     One row per fit, also for a failed one (`status`). `py` is V^-1 of the
     residual, zero outside the training samples; `pred` the total prediction
     of the test samples. An SD of -1 marks a fit without usable information.
@@ -146,6 +180,12 @@ def fit_variance(grid: DataFrame, covar: DataFrame | None = None, folds: DataFra
         "folds", folds.scalar() if folds is not None else F.lit(None).cast("array<struct<cv:int,fold:array<int>>>")
     )
 
+    items = items.withColumn("full", F.lit(full))
+    if by_repeat:
+        items = items.select("*", F.posexplode_outer("folds").alias("_at", "_rep")).withColumns({
+            "folds": F.when(F.col("_rep").isNotNull(), F.array("_rep")), "full": F.col("full") & (F.coalesce("_at", F.lit(0)) == 0)})
+        items = items.repartition(8 * int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_id", "block", "_at")
+
     def run(batches):
         for pdf in batches:
             for item in pdf.itertuples(index=False):
@@ -154,7 +194,7 @@ def fit_variance(grid: DataFrame, covar: DataFrame | None = None, folds: DataFra
                 w = np.ones((n, 1))
                 if item.w is not None:
                     w = np.column_stack([w] + [np.array(c, float) for c in item.w])
-                splits = [(None, None, np.zeros(n, bool))] if full else []
+                splits = [(None, None, np.zeros(n, bool))] if item.full else []
                 for rep in (item.folds if item.folds is not None else []):
                     assigned = np.array([-1 if f is None else f for f in rep["fold"]], float)
                     assigned = np.where(np.isnan(assigned), -1, assigned).astype(int)
@@ -166,7 +206,7 @@ def fit_variance(grid: DataFrame, covar: DataFrame | None = None, folds: DataFra
                     {"cv": "Int32", "fold": "Int32"}
                 )
 
-    return items.select("set_id", "n", "scales", "kernels", "traits", "w", "folds").mapInPandas(run, FIT_SCHEMA)
+    return items.select("set_id", "n", "scales", "kernels", "traits", "w", "folds", "full").mapInPandas(run, FIT_SCHEMA)
 
 
 def component_table(fits: DataFrame) -> DataFrame:

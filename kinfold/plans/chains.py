@@ -29,7 +29,7 @@ def prepared(x: Inputs) -> tuple[DataFrame, DataFrame]:
 def one_kernel(x: Inputs, folds: DataFrame | None = None, full: bool = True, data=None) -> DataFrame:
     geno, panel = data or prepared(x)
     packed = ki.packed_kernels(ki.kinship(geno).withColumn("partition", F.lit(1)))
-    return _fit(x, panel, mo.model_kernels(packed), folds, full)
+    return _fit(x, panel, mo.model_kernels(packed), folds, full, by_repeat=folds is not None)
 
 
 def two_kernel(x: Inputs, folds: DataFrame | None = None, full: bool = True, data=None, sets: DataFrame | None = None) -> DataFrame:
@@ -51,11 +51,11 @@ def null_models(x: Inputs, reps: int = RANDOM_GROUPS, data=None, done: DataFrame
     return _fit(x, panel, ki.set_kernels(geno, sets, scopes=scopes, outside=outside), None, True)
 
 
-def _fit(x: Inputs, panel: DataFrame, kernels: DataFrame, folds: DataFrame | None, full: bool) -> DataFrame:
+def _fit(x: Inputs, panel: DataFrame, kernels: DataFrame, folds: DataFrame | None, full: bool, by_repeat: bool = False) -> DataFrame:
     traits = mo.pheno_arrays(x.pheno_long, panel)
-    grid = mo.model_grid(kernels, traits, TRAIT_BLOCKS)
+    grid = mo.model_grid(kernels, traits, 1 if by_repeat else TRAIT_BLOCKS)
     covar = mo.covariate_arrays(x.covariates(2), panel, COVARIATES)
-    return mo.fit_variance(grid, covar, mo.fold_arrays(folds, panel) if folds is not None else None, full)
+    return mo.fit_variance(grid, covar, mo.fold_arrays(folds, panel) if folds is not None else None, full, by_repeat=by_repeat)
 
 
 def _observed(x: Inputs, preds: DataFrame, folds: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ total / buckets items; the number of buckets grows with the number of chunks.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kinfold.session import scratch_path
 
@@ -42,6 +43,16 @@ def train_mark(doc_id: Column | str, modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == held, F.lit(False))
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts a value; called in a task, the result gives it back.
+
+    Classes of this package travel with it, so that it need not be installed on the executors: a plain broadcast would
+    name them only.
+    """
+    blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(blob.value)
+
+
 def as_blob(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))

@@ -228,12 +228,13 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], li
 
 def with_language(docs: DataFrame, net: Network | None, held_modulus: int = MODULUS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = ch.shipped(docs.sparkSession, net)
     columns = ch.id_and_text(docs, {"held_out": ch.train_mark("doc_id", held_modulus, held)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared()
         for _, batch in ch.in_chunks(batches, PIECE_BYTES):
-            langs, scores = predict(shared.value, batch.column("text").to_pylist())
+            langs, scores = predict(net, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=ARROW)
 
     return columns.mapInArrow(run, SCHEMA)
@@ -245,12 +246,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
     """The documents whose language is determined with at least the score `least`; their columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, sample))
+    shared = ch.shipped(docs.sparkSession, fitted(docs, sample))
     rows, schema = ch.every_column(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared()
         for _, batch in ch.in_chunks(batches, PIECE_BYTES):
-            langs, scores = predict(shared.value, batch.column("text").to_pylist())
+            langs, scores = predict(net, batch.column("text").to_pylist())
             keep = [lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -123,10 +123,10 @@ class Classes:
 
 def pair_counts(chunks: DataFrame, classes: Classes) -> np.ndarray:
     """Counts of (context, output) over all training documents: a table whose size the parameters bound."""
-    shared = chunks.sparkSession.sparkContext.broadcast(classes)
+    shared = ch.shipped(chunks.sparkSession, classes)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = shared.value
+        k = shared()
         total = np.zeros(k.contexts * k.outputs, np.int64)
         for frame in frames:
             for words, places in zip(frame["words"], frame["places"]):
@@ -141,7 +141,7 @@ def pair_counts(chunks: DataFrame, classes: Classes) -> np.ndarray:
         yield pd.DataFrame(rows, columns=["context", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        row = np.zeros(shared.value.outputs, np.int64)
+        row = np.zeros(shared().outputs, np.int64)
         for blob in frame["counts"]:
             index, n = ch.load_arrays(blob, np.int64, np.int64)
             row[index] += n
@@ -202,10 +202,10 @@ def score_texts(docs: DataFrame, modulus: int = MODULUS, held: int = HELD, short
     ends = int(pairs[:, classes.end].sum())
     rare_space = tokens - short - ends + types - len(top) - (ends > 0) + 1
     sc = docs.sparkSession.sparkContext
-    model, shared = sc.broadcast(train(pairs)), sc.broadcast(classes)
+    model, shared = sc.broadcast(train(pairs)), ch.shipped(docs.sparkSession, classes)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        k, table = shared.value, model.value
+        k, table = shared(), model.value
         parts = dict(zip(right["bucket"], right["counts"]))
         rows = []
         for blob, places in zip(left["words"], left["places"]):

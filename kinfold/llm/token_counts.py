@@ -113,12 +113,13 @@ def words_of(text: str) -> list[bytes]:
 
 def count_tokens(docs: DataFrame, pieces: Iterable[bytes]) -> DataFrame:
     """doc_id, number of words and of greedy longest-match tokens of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
+    shared = ch.shipped(docs.sparkSession, Automaton(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared()
         for _, batch in ch.in_chunks(batches, PIECE_BYTES):
             words, flat, sizes = ch.placed(ch.texts_of(batch), words_of)
-            sums = np.concatenate([[0], np.cumsum(shared.value.counts(words)[flat])]).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(automaton.counts(words)[flat])]).astype(np.int64)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sums[ends] - sums[ends - sizes])], schema=ARROW)
 

@@ -123,4 +123,4 @@ def judged(docs: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
     share, weights = estimate(voted, names)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     quality = F.round(posterior(names, share, weights), 6)
-    return voted.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & (quality >= least)).alias("kept"), quality.alias("quality"))
+    return voted.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & (quality >= least)).alias("kept"), quality.alias("posterior"))

@@ -54,8 +54,8 @@ def sha(data: bytes | str) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
 
-def greedy_count(word: bytes, pieces: set[bytes]) -> int:
-    data, at, n, longest = b" " + word, 0, 0, max(map(len, pieces))
+def greedy_count(word: bytes, pieces: set[bytes], longest: int = 0) -> int:
+    data, at, n, longest = b" " + word, 0, 0, longest or max(map(len, pieces))
     while at < len(data):
         at += next((k for k in range(min(longest, len(data) - at), 1, -1) if data[at : at + k] in pieces), 1)
         n += 1

@@ -26,7 +26,9 @@ task; without items no document is hit; an empty table gives an empty table; oth
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ REACH = 16
 GAP = 1024  # between the words of two documents of a shard; a window or a reach is shorter
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
+KEPT_WORDS = 4
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 SQL_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,8 +88,12 @@ def places_of(blob: bytes) -> np.ndarray:
 
 def shard_rows(number: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A shard's documents and its postings, terms in order."""
-    terms, flat, sizes = ch.placed(ch.texts_of(batch), words_of)
-    docs = batch.num_rows
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__  # a new word takes the next number
+    found = [words_of(t) for t in ch.texts_of(batch)]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+    terms, docs = list(place), batch.num_rows
 
     def column(values, kind, length):
         return pa.nulls(length, kind) if values is None else pa.array(values, kind)
@@ -158,6 +165,8 @@ def windows_of(rows: list[tuple[str, list[str]]], window: int) -> tuple[list[tup
 
 def kept_in(base: np.ndarray, places: np.ndarray, offset: int) -> np.ndarray:
     """Those of `base` that a place follows at the given offset."""
+    if not len(places):
+        return base[:0]
     wanted = base + offset
     at = np.searchsorted(places, wanted)
     at[at == len(places)] = 0
@@ -173,21 +182,39 @@ def near_to(base: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
 
 def search_shard(postings: dict[str, np.ndarray], plans: list, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each window (its words with their offsets, rarest first; None: not in the corpus) that matches: its number, the
-    starts of its phrases, and the places of its rarest word that have the others near."""
+    starts of its phrases, and the places of its rarest word that have the others near.
+
+    Windows of an item overlap and so have their rarest words in common: what is left of the places after the first
+    words is kept. A phrase lies within `reach` unless that is shorter, so it is looked for where the words are near.
+    """
+    nothing = np.zeros(0, np.int64)
+    left_by: dict[tuple[str, ...], np.ndarray] = {}
     for number, words in enumerate(plans):
-        if words is None or any(w not in postings for w, _ in words):
+        if words is None:
+            continue
+        order = tuple(dict.fromkeys(w for w, _ in words))
+        near = left_by.get(order[:1])
+        if near is None:
+            near = left_by[order[:1]] = postings.get(order[0], nothing)
+        if not len(near):
             continue
-        (rarest, first), *others = words
-        near = postings[rarest]
-        exact = near - first
-        for word, offset in others:
-            places = postings[word]
-            if len(exact):
-                exact = kept_in(exact, places, offset)
-            if len(near):
-                near = near_to(near, places, reach)
-            if not len(near) and not len(exact):
+        for depth in range(1, len(order)):
+            kept = left_by.get(order[: depth + 1]) if depth < KEPT_WORDS else None
+            if kept is None:
+                kept = near_to(near, postings.get(order[depth], nothing), reach)
+                if depth < KEPT_WORDS:
+                    left_by[order[: depth + 1]] = kept
+            near = kept
+            if not len(near):
                 break
+        exact = nothing
+        if len(near) or reach < len(words) - 1:
+            (rarest, first), *others = words
+            exact = postings.get(rarest, nothing) - first
+            for word, offset in others:
+                if not len(exact):
+                    break
+                exact = kept_in(exact, postings.get(word, nothing), offset)
         if len(near) or len(exact):
             yield number, exact, near
 

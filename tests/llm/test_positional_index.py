@@ -28,15 +28,19 @@ def plain_matches(rows, items, window=10, reach=16):
             owners.setdefault(tuple(w[i : i + window]), set()).add(item_id)
     out = []
     for (doc_id, _), t in zip(rows, texts):
-        hit, ids, near = set(), set(), set()
-        for win, who in owners.items():
-            for i in range(len(t) - len(win) + 1):
-                if tuple(t[i : i + len(win)]) == win:
-                    hit.update(range(i, i + len(win)))
+        hit, ids, near, at = set(), set(), set(), {}
+        for i, w in enumerate(t):
+            at.setdefault(w, []).append(i)
+        for k in {len(win) for win in owners}:
+            for i in range(len(t) - k + 1):
+                if who := owners.get(tuple(t[i : i + k])):
+                    hit.update(range(i, i + k))
                     ids |= who
-            rarest = min(win, key=lambda w: (counts[w], w))
-            if any(t[i] == rarest and set(win) <= set(t[max(0, i - reach) : i + reach + 1]) for i in range(len(t))):
-                near |= who
+        for win, who in owners.items():
+            if set(win) <= at.keys():
+                rarest = min(win, key=lambda w: (counts[w], w))
+                if any(set(win) <= set(t[max(0, i - reach) : i + reach + 1]) for i in at[rarest]):
+                    near |= who
         out.append((doc_id, len(t), hit, *(sorted(str(i) for i in s - {None}) for s in (ids, near))))
     return out
 

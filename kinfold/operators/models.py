@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinfold.functions.hashing import hash_bits, hash_key
 from kinfold.functions.ranking import cumulative
+from kinfold.operators import effects as ef
+from kinfold.operators.effects import alpha_table  # noqa: F401  (part of this module's interface)
 from kinfold.operators.genotype import in_panel_order
 from kinfold.operators.kinship import centred, unpack
 from kinfold.operators.reml import Basis, Fit, FoldBasis, fit_many, fit_one, ratio_sd
@@ -229,54 +231,10 @@ def prediction_table(fits: DataFrame, panel: DataFrame) -> DataFrame:
              F.col("_p.pred").alias("total"))
 
 
-def alpha_table(fits: DataFrame) -> DataFrame:
-    """Per fit and kernel, the sample weights of the SNP effects: variance / scale * Py."""
-    return fits.where(F.col("py").isNotNull()).select(
-        F.concat_ws("|", "set_id", "trait", F.coalesce(F.col("cv").cast("string"), F.lit("all")),
-                    F.coalesce(F.col("fold").cast("string"), F.lit("all"))).alias("fit_id"),
-        "set_id", "trait", "cv", "fold", "py",
-        F.posexplode(F.slice(F.col("variances"), F.lit(1), F.col("n_kernels"))).alias("_k", "_s"), "scales",
-    ).select(
-        "fit_id", "set_id", "trait", "cv", "fold", (F.col("_k") + 1).alias("partition"),
-        F.transform("py", lambda v: F.coalesce(v * F.col("_s") / F.nullif(F.element_at("scales", F.col("_k") + 1), F.lit(0.0)), F.lit(0.0))).alias("alpha"),
-    )
-
-
-def snp_effects(geno: DataFrame, alphas: DataFrame, slices: int = 1) -> DataFrame:
-    """u_j = z_j . alpha for every fit: (fit_id, partition, snp_id, effect).
-
-    The alphas (samples x fits) are written once and shipped to the SNP
-    partitions in `slices` of fits, one pass over the SNPs each: the caller
-    knows how many fits fit in a task.
-    """
-    spark = geno.sparkSession
-    alphas = staged(alphas.select("fit_id", "partition", "alpha"), "alphas")
-    out = None
-    for part in range(slices):
-        chosen = alphas if slices == 1 else alphas.where(F.pmod(F.xxhash64("fit_id", "partition"), F.lit(slices)) == part)
-        table = chosen.select("fit_id", "partition", "alpha").toPandas()
-        if table.empty:
-            continue
-        shared = spark.sparkContext.broadcast(
-            (table["fit_id"].tolist(), table["partition"].to_numpy("int32"), np.stack(table["alpha"].to_numpy()).T)
-        )
-
-        def multiply(batches, shared=shared):
-            ids, parts, matrix = shared.value
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    piece = batch.slice(lo, 256)
-                    u = centred(piece["dosages"], matrix.shape[0]) @ matrix
-                    rows = piece.num_rows
-                    yield pa.RecordBatch.from_pydict({
-                        "fit_id": pa.array(ids * rows, pa.string()), "partition": pa.array(np.tile(parts, rows), pa.int32()),
-                        "snp_id": pa.array(np.repeat(piece["snp_id"].to_numpy(zero_copy_only=False), len(ids)), pa.string()),
-                        "effect": pa.array(u.ravel(), pa.float64()),
-                    })
-
-        got = geno.select("snp_id", "dosages").mapInArrow(multiply, "fit_id string, partition int, snp_id string, effect double")
-        out = got if out is None else out.unionByName(got)
-    return out
+def snp_effects(geno: DataFrame, alphas: DataFrame) -> DataFrame:
+    """u_j = z_j . alpha for every fit and part: (fit_id, partition, snp_id, effect)."""
+    weights = ef.weight_blocks(alphas.select("fit_id", "partition", "alpha"))
+    return ef.effect_rows(ef.genotype_blocks(geno), weights).select("fit_id", "partition", "snp_id", "effect")
 
 
 def keep_partition(effects: DataFrame, fits: DataFrame, members: DataFrame) -> DataFrame:
@@ -288,19 +246,26 @@ def keep_partition(effects: DataFrame, fits: DataFrame, members: DataFrame) -> D
     ).drop("_in")
 
 
-def score(geno: DataFrame, effects: DataFrame, panel: DataFrame) -> DataFrame:
+def score(geno: DataFrame, effects: DataFrame, panel: DataFrame, width: int = 256) -> DataFrame:
     """Sum over SNPs of centred dosage x effect: (fit_id, iid, score).
 
-    Effects are gathered per SNP, joined on snp_id, and every partition adds
-    its SNPs to one score vector per fit before anything is shuffled.
+    For effects that are given; scores of fits need no table of effects (`effects.fold_scores`). Fits are dealt to
+    blocks of about `width`, effects are gathered per SNP and block, and a task adds its SNPs to one score vector
+    per fit of the block before anything is shuffled.
     """
-    per_snp = effects.groupBy("snp_id").agg(F.collect_list(F.struct("fit_id", "effect")).alias("e"))
-    rows = geno.select("snp_id", "dosages").join(per_snp, "snp_id").select("dosages", "e")
+    blocks = 1 + effects.select("fit_id").distinct().count() // width
+    effects = effects.withColumn("_fits", F.pmod(F.xxhash64("fit_id"), F.lit(blocks)))
+    per_snp = effects.groupBy("_fits", "snp_id").agg(F.collect_list(F.struct("fit_id", "effect")).alias("e"))
+    rows = geno.select("snp_id", "dosages").join(per_snp, "snp_id").select("_fits", "dosages", "e")
+    if blocks > 1:
+        rows = rows.sortWithinPartitions("_fits")
 
     def partial(batches):
         acc: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in by_block(batches):
             if not batch.num_rows:
+                yield from told(acc)
+                acc = {}
                 continue
             z = centred(batch["dosages"], len(batch["dosages"][0]))
             col = batch["e"]
@@ -312,6 +277,21 @@ def score(geno: DataFrame, effects: DataFrame, panel: DataFrame) -> DataFrame:
             np.add.at(u, (owner, index), values)
             for f, column in zip(codes.dictionary.to_pylist(), (z.T @ u).T):
                 acc[f] = acc[f] + column if f in acc else column
+        yield from told(acc)
+
+    def by_block(batches):
+        """The batches, cut where the next block of fits begins; an empty one stands between two blocks."""
+        held = None
+        for batch in batches:
+            numbers = batch["_fits"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held not in (None, numbers[lo]):
+                    yield batch.slice(0, 0)
+                held = numbers[lo]
+                yield batch.slice(lo, hi - lo)
+
+    def told(acc):
         for f, v in acc.items():
             yield pa.RecordBatch.from_pydict({
                 "fit_id": pa.array([f] * len(v), pa.string()), "i": pa.array(np.arange(len(v)), pa.int32()),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import genotype as ge, kinship as ki, structure as st
+from kinfold.operators import genotype as ge, kinship as ki, rank_corr, structure as st
 from kinfold.plans.fixtures import Inputs
 from kinfold.plans.queries_annotation import MATCHED, all_sets, matched_kernels_of
 from kinfold.plans.registry import query, r, rounded
@@ -237,4 +237,5 @@ def null_kinship(x):
         max(r) FILTER (partition=1) AS r1, max(r) FILTER (partition=2) AS r2 FROM rk GROUP BY ALL)
     SELECT set_id, round(corr(k1,k2),6) AS cor_p, round(corr(r1,r2),6) AS cor_s FROM wd GROUP BY set_id""")
 def kinship_corr(x):
-    return rounded(ki.kinship_corr(staged(kin_parts(x).where("i < j"), "pairs")), 6, "cor_p", "cor_s")
+    sets = all_sets(x).withColumnRenamed("pathway", "set_id")
+    return rounded(rank_corr.kernel_corr(ki.set_kernels(x.geno, sets)), 6, "cor_p", "cor_s")

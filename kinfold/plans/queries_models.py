@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import kinship as ki, models as mo
+from kinfold.operators import effects as ef, kinship as ki, models as mo
 from kinfold.plans import chains
 from kinfold.plans.fixtures import Inputs
+from kinfold.plans.queries_annotation import all_sets
 from kinfold.plans.queries_genotype import kin_parts
 from kinfold.plans.registry import query, r, rounded
+from kinfold.session import staged
 
 FOLDS = """fo AS (SELECT s_suppkey AS iid, CAST(cv AS INTEGER) AS cv, CAST(ntile({k}) OVER (PARTITION BY cv
     ORDER BY md5('cv|'||cv||'|'||s_suppkey), s_suppkey) AS INTEGER) AS fold FROM supplier, (SELECT unnest(range(1,{reps}+1)) AS cv))"""
@@ -97,6 +99,59 @@ def snp_scores(x):
     return rounded(mo.score(x.geno, effects, x.panel).join(folds, "iid"), 5, "score")
 
 
+@query("M8")
+def fold_snp_effects(x):
+    """SNP effects of every training-fold fit with one kernel."""
+    data = chains.prepared(x)
+    fits = chains.one_kernel(x, chains.panel_folds(data[1]), full=False, data=data)
+    return ef.fit_effects(data[0], fits).select("trait", "cv", "fold", "snp_id", "effect")
+
+
+@query("M8")
+def pathway_snp_effects(x):
+    """SNP effects of the two-kernel fits: a SNP has that of the part it is in."""
+    data = chains.prepared(x)
+    sets = staged(all_sets(x).withColumnRenamed("pathway", "set_id"), "sets")
+    fits = chains.two_kernel(x, data=data, sets=sets)
+    return ef.fit_effects(data[0], fits, sets).select("set_id", "trait", "partition", "snp_id", "effect")
+
+
+@query("M9")
+def fold_scores(x):
+    """Genetic scores of the test samples of every training-fold fit."""
+    data = chains.prepared(x)
+    folds = chains.panel_folds(data[1])
+    fits = chains.one_kernel(x, folds, full=False, data=data)
+    return ef.fold_scores(data[0], fits, data[1], mo.fold_arrays(folds, data[1])).drop("fit_id", "set_id")
+
+
+def training_alphas(x: Inputs, fold_rows):
+    """Sample weights of every trait and fold: the training phenotypes, centred, over the kinship scale; 0 for test samples."""
+    scale = ki.gram(x.geno).where("i = j").agg((F.sum("a") / F.count(F.lit(1))).alias("c"))
+    split = fold_rows.select(F.inline("folds")).withColumnRenamed("fold", "of").withColumn("fold", F.explode(F.array_distinct("of")))
+    rows = mo.pheno_arrays(x.pheno_long, x.panel).crossJoin(F.broadcast(split)).withColumn("c", scale.scalar())  # folds: repeats x k rows
+    rows = rows.withColumn("v", F.zip_with("y", "of", lambda v, f: F.when(f != F.col("fold"), v)))
+    called = F.filter("v", lambda v: v.isNotNull())
+    mean = F.aggregate(called, F.lit(0.0), lambda a, v: a + v) / F.size(called)
+    return rows.withColumn("m", mean).select(
+        F.concat_ws("|", "trait", "cv", "fold").alias("fit_id"), "trait", "cv", "fold", F.lit(1).alias("partition"), F.lit(1).alias("parts"),
+        F.transform("v", lambda v: F.coalesce((v - F.col("m")) / F.col("c"), F.lit(0.0))).alias("alpha"))
+
+
+@query("M9", f"""WITH {FOLDS.format(k=10, reps=5)}, g AS (SELECT DISTINCT cv, fold FROM fo),
+    tr AS (SELECT p.trait, g.cv, g.fold, p.iid, p.value-avg(p.value) OVER (PARTITION BY p.trait, g.cv, g.fold) AS alpha FROM fx_pheno_long p
+        JOIN fo ON fo.iid=p.iid JOIN g ON g.cv=fo.cv AND g.fold<>fo.fold),
+    c AS (SELECT sum(z*z)/count(DISTINCT iid) AS c FROM zgeno),
+    u AS (SELECT tr.trait, tr.cv, tr.fold, z.snp_id, sum(z.z*tr.alpha)/(SELECT c FROM c) AS effect FROM zgeno z JOIN tr ON tr.iid=z.iid GROUP BY ALL)
+    SELECT u.trait, u.cv, u.fold, z.iid, round(sum(z.z*u.effect),5) AS score FROM u JOIN fo ON fo.cv=u.cv AND fo.fold=u.fold
+    JOIN zgeno z ON z.iid=fo.iid AND z.snp_id=u.snp_id GROUP BY ALL""")
+def fold_scores_given(x):
+    """Scores of the test samples from effects of given weights of the training samples."""
+    fold_rows = staged(mo.fold_arrays(mo.cv_folds(samples(x), 5, 10), x.panel), "folds")
+    weights = ef.weight_blocks(training_alphas(x, fold_rows))
+    return rounded(ef.score_rows(ef.genotype_blocks(x.geno), weights, x.panel, fold_rows).select("trait", "cv", "fold", "iid", "score"), 5, "score")
+
+
 @query("M10")
 def fold_predictions(x):
     data = chains.prepared(x)

@@ -128,9 +128,9 @@ def test_grid_scores_and_predictions(spark, simulated, tables):
     assert len(preds) == N  # every sample is a test sample once
     # SNP effects, kept per partition, scored on the panel, give the genetic part of the prediction
     alphas = mo.alpha_table(fits.where("cv is not null"))
-    for slices in (1, 3):  # shipped at once, and in slices
-        effects = mo.keep_partition(mo.snp_effects(geno, alphas, slices), alphas, sets)
-        scores = mo.score(geno, effects.select("fit_id", "snp_id", "effect"), panel).collect()
+    for width in (256, 2):  # all fits in one block, and in several
+        effects = mo.keep_partition(mo.snp_effects(geno, alphas), alphas, sets)
+        scores = mo.score(geno, effects.select("fit_id", "snp_id", "effect"), panel, width).collect()
         theta = {f"in|t1|1|{r['fold']}": np.array(r["theta"]) for r in rows if r["trait"] == "t1" and r["cv"]}
         seen = 0
         for r in scores:

@@ -73,8 +73,8 @@ def packed(steps: np.ndarray) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), sizes
 
 
-def places_of(blob: bytes) -> np.ndarray:
-    """The places that `packed` has as steps."""
+def steps_of(blob: bytes) -> np.ndarray:
+    """The numbers that `packed` was given."""
     data = np.frombuffer(blob, np.uint8)
     ends = np.flatnonzero(data < 128) + 1
     starts = np.append(0, ends[:-1])
@@ -83,11 +83,22 @@ def places_of(blob: bytes) -> np.ndarray:
     for k in range(int(sizes.max(initial=0))):
         rows = np.flatnonzero(sizes > k)
         steps[rows] |= (data[starts[rows] + k] & 127).astype(np.int64) << np.int64(7 * k)
-    return np.cumsum(steps)
+    return steps
+
+
+def places_of(blob: bytes) -> np.ndarray:
+    """The places of one term."""
+    return np.cumsum(steps_of(blob))
+
+
+def all_places(blobs: list[bytes], counts: list[int]) -> list[np.ndarray]:
+    """The places of each of several terms."""
+    sums, ends = np.cumsum(steps_of(b"".join(blobs))), np.cumsum(counts).tolist()
+    return [sums[end - n : end] - (sums[end - n - 1] if end > n else 0) for n, end in zip(counts, ends)]
 
 
 def shard_rows(number: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A shard's documents and its postings, terms in order."""
+    """A shard's documents and its postings."""
     place: defaultdict[bytes, int] = defaultdict()
     place.default_factory = place.__len__  # a new word takes the next number
     found = [words_of(t) for t in ch.texts_of(batch)]
@@ -111,13 +122,13 @@ def shard_rows(number: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     steps[firsts] = places[by_term][firsts]
     blob, widths = packed(steps)
     bounds = np.append(0, np.cumsum(np.add.reduceat(widths, firsts)))
-    in_order = sorted(range(len(terms)), key=terms.__getitem__)
     for at in range(0, len(terms), 20_000):
-        some = in_order[at : at + 20_000]
+        some, edges = terms[at : at + 20_000], bounds[at : at + 20_001]
+        lists = pa.Array.from_buffers(pa.binary(), len(some), [
+            None, pa.py_buffer((edges - edges[0]).astype(np.int32).tobytes()), pa.py_buffer(blob[edges[0] : edges[-1]])])
         yield pa.RecordBatch.from_arrays(
             [pa.array(["term"] * len(some)), pa.array(np.full(len(some), number)), *[column(None, t, len(some)) for t in ARROW.types[2:5]],
-             pa.array([terms[i].decode("utf-8", "replace") for i in some]), pa.array(counts[some]),
-             pa.array([blob[bounds[i] : bounds[i + 1]] for i in some], pa.binary())], schema=ARROW)
+             pa.array(some, pa.binary()).cast(pa.string()), pa.array(counts[at : at + 20_000]), lists], schema=ARROW)
 
 
 def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -253,7 +264,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, reach: int
         def run(key, frame: pd.DataFrame) -> pd.DataFrame:
             plans, owners, ids = shared.value
             here = frame[frame["term"].notna()]
-            lists = {t: places_of(p) for t, p in zip(here["term"], here["places"])}
+            lists = dict(zip(here["term"], all_places(here["places"].tolist(), here["n"].astype(int).tolist()))) if len(here) else {}
             sizes = frame[frame["term"].isna()].sort_values("doc_no")["n_words"].to_numpy(np.int64)
             bases = np.cumsum(sizes) - sizes + np.arange(len(sizes)) * GAP
             spans: dict[int, list[tuple[int, int]]] = {}

@@ -72,15 +72,18 @@ MEASURE_ORDER = ["absolute", "relative", "family"]
 CATEGORY_ORDER = ["amino acid", "primary", "specialized", "protein"]
 
 
+# What in a trait's name tells its family, and in a pathway's name its category; the first that fits counts.
+FAMILY_PATTERNS = {"glutamate": "arg|glu|gln|pro|his|GluFam", "serine": "gly|ser|SerFam", "aromatic": "phe|tyr|trp|ShikFam", "total": "total"}
+ASPARTATE, NOT_ASPARTATE = "asp|thr|met|AspFam", "ile"
+CATEGORY_PATTERNS = {"protein": "degradation_|protein_|protease", "specialized": "flavonoids|isoprenoids|N_containing|phenylpropanoids|S_containing"}
+AMINO_ACID = "aa_degradation|aa_synthesis|aa_transport"
+
+
 def trait_family(trait: Column) -> Column:
-    return (
-        F.when(trait.rlike("asp|thr|met|AspFam") & ~trait.rlike("ile"), "aspartate")
-        .when(trait.rlike("arg|glu|gln|pro|his|GluFam"), "glutamate")
-        .when(trait.rlike("gly|ser|SerFam"), "serine")
-        .when(trait.rlike("phe|tyr|trp|ShikFam"), "aromatic")
-        .when(trait.rlike("total"), "total")
-        .when(trait.isNotNull(), "BCAA_pyruvate")
-    )
+    family = F.when(trait.rlike(ASPARTATE) & ~trait.rlike(NOT_ASPARTATE), "aspartate")
+    for name, pattern in FAMILY_PATTERNS.items():
+        family = family.when(trait.rlike(pattern), name)
+    return family.when(trait.isNotNull(), "BCAA_pyruvate")
 
 
 def trait_measure(trait: Column) -> Column:
@@ -91,10 +94,10 @@ def trait_measure(trait: Column) -> Column:
     )
 
 
-def pathway_category(pathway: Column, fallback: str = "primary", amino: str = "aa_degradation|aa_synthesis|aa_transport") -> Column:
+def pathway_category(pathway: Column, fallback: str = "primary", amino: str = AMINO_ACID) -> Column:
     return (
-        F.when(pathway.rlike("degradation_|protein_|protease"), "protein")
-        .when(pathway.rlike("flavonoids|isoprenoids|N_containing|phenylpropanoids|S_containing"), "specialized")
+        F.when(pathway.rlike(CATEGORY_PATTERNS["protein"]), "protein")
+        .when(pathway.rlike(CATEGORY_PATTERNS["specialized"]), "specialized")
         .when(pathway.rlike(amino), "amino acid")
         .when(pathway.isNotNull(), fallback)
     )

@@ -24,6 +24,7 @@ TILE = 2048
 BATCH = 512
 CHUNK = 4096
 MERGE_WIDTH = 64
+PAIR_ROWS = 1 << 18
 EMPTY = 1e-9
 
 
@@ -53,10 +54,10 @@ def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int
 
     Without `key` the genotypes are not shuffled while the matrix fits one
     tile: every input partition yields one partial matrix. With `key` the
-    rows of a set are spread over `salt` tasks. `samples` states the number of
-    samples; it is needed only to cut tiles.
+    rows of a set are spread over `salt` tasks. Above `tile` samples (their
+    number is taken from a row unless given) tiles are cut.
     """
-    tiles = 1 if not samples else -(-samples // tile)
+    tiles = max(1, -(-(samples or panel_size(geno)) // tile))
     geno = geno if key or tiles > 1 else _tasks(geno)
     cols = ([F.col(key).cast("string").alias("set_id")] if key else [F.lit("all").alias("set_id")])
     cols.append((F.col(salt) if isinstance(salt, str) else F.lit(salt)).alias("_salts"))
@@ -124,6 +125,12 @@ def gram(geno: DataFrame, key: str | None = None, salt: int | str = 8, tile: int
     return parts.groupBy("set_id", "i", "j").agg(F.sum("a").alias("a"))
 
 
+def panel_size(geno: DataFrame) -> int:
+    """Samples of a genotype table, from its first row; 0 without rows."""
+    row = geno.select(F.size("dosages").alias("n")).first()
+    return row["n"] if row else 0
+
+
 def _parts(chunk: int) -> Column:
     """Tasks for a set: one per `chunk` SNPs."""
     return F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_parts")
@@ -265,6 +272,36 @@ def set_kernels(geno: DataFrame, sets: DataFrame, key: str = "set_id", chunk: in
     return sums.mapInArrow(finish, schema)
 
 
+def kernel_pairs(kernels: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
+    """Packed kernels (set_id, n, scales, kernels) as rows (set_id, partition, i, j, k), i <= j; k is NULL for a part without SNPs."""
+    schema = pa.schema([("set_id", pa.string()), ("partition", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("k", pa.float64())])
+
+    def spread(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j = (pa.array(x, pa.int32()) for x in np.triu_indices(batch["n"][r].as_py()))
+                for part, (scale, k) in enumerate(zip(batch["scales"][r].as_py(), batch["kernels"][r].values), 1):
+                    k = k.values if scale > 0 else pa.nulls(len(i), pa.float64())
+                    for lo in range(0, len(i), rows):
+                        m = min(rows, len(i) - lo)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(batch["set_id"][r], m), pa.repeat(pa.scalar(part, pa.int32()), m), i.slice(lo, m), j.slice(lo, m), k.slice(lo, m)], schema=schema)
+
+    return kernels.select("set_id", "n", "scales", "kernels").mapInArrow(spread, "set_id string, partition int, i int, j int, k double")
+
+
+def packed_kinship(geno: DataFrame) -> DataFrame:
+    """The all-SNP kinship of a panel whose triangle fits in a task, packed: (set_id, n, scales, kernels) with one kernel.
+
+    Partial matrices are added as arrays: no row per sample pair before the result. `kinship` cuts tiles instead.
+    """
+    total = packed_total(geno).select("a").where("size(a) > 0")
+    n = ((F.sqrt(8.0 * F.size("a") + 1) - 1) / 2).cast("int")
+    at = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("a", (i * F.col("n") - F.floor(i * (i - 1) / 2) + 1).cast("int")))
+    scaled = total.withColumn("n", n).withColumn("c", F.aggregate(at, F.lit(0.0), lambda s, v: s + v) / F.col("n"))
+    return scaled.select(F.lit("all").alias("set_id"), "n", F.array("c").alias("scales"), F.array(F.transform("a", lambda v: v / F.nullif("c", F.lit(0.0)))).alias("kernels"))
+
+
 def packed_total(geno: DataFrame) -> DataFrame:
     """The all-SNP numerators as one packed row, added in two streaming levels."""
     one = _tasks(geno).select(F.lit("all").alias("set_id"), "dosages")

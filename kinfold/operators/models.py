@@ -302,6 +302,44 @@ def score(geno: DataFrame, effects: DataFrame, panel: DataFrame, width: int = 25
     return sums.select("fit_id", F.element_at(panel.scalar(), F.col("i") + 1).alias("iid"), "score")
 
 
+def fit_he_packed(kernels: DataFrame, traits: DataFrame) -> DataFrame:
+    """`fit_he` on packed kernels (set_id, n, scales, kernels) and phenotype arrays (trait, y), without pair rows: a task forms
+    the sums of its kernels, a line of the triangle at a time and all traits together."""
+    ys = traits.agg(F.sort_array(F.collect_list(F.struct("trait", "y"))).alias("ys"))
+    names = ["n_pairs", "s1", "s2", "sy", "s11", "s22", "s12", "s1y", "s2y"]
+    schema = pa.schema([("set_id", pa.string()), ("trait", pa.string()), *[(c, pa.float64()) for c in names]])
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n = batch["n"][row].as_py()
+                given = batch["ys"][row].as_py()
+                y = np.array([[np.nan if v is None else v for v in t["y"]] for t in given], float)
+                called = ~np.isnan(y)
+                y = np.where(called, y - np.nanmean(np.where(called.any(axis=1)[:, None], y, 0.0), axis=1, keepdims=True), 0.0)
+                k = [v.values.to_numpy(zero_copy_only=False) for v in batch["kernels"][row].values]
+                k = k if len(k) == 2 else [k[0], np.zeros_like(k[0])]
+                sums, lo = np.zeros((9, len(y))), 0
+                for i in range(n):
+                    a, b = k[0][lo + 1 : lo + n - i], k[1][lo + 1 : lo + n - i]
+                    lo += n - i
+                    both, yy = called[:, i, None] & called[:, i + 1 :], y[:, i, None] * y[:, i + 1 :]
+                    sums += [both.sum(axis=1), both @ a, both @ b, yy.sum(axis=1), both @ (a * a), both @ (b * b), both @ (a * b), yy @ a, yy @ b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch["set_id"][row], len(y)), pa.array([t["trait"] for t in given], pa.string()), *map(pa.array, sums)], schema=schema)
+
+    rows = kernels.select("set_id", "n", "scales", "kernels").withColumn("ys", ys.scalar())
+    m = rows.mapInArrow(run, ", ".join(["set_id string", "trait string", *[f"{c} double" for c in names]])).where("n_pairs > 0")
+
+    def cov(xy, x, y):
+        return F.col(xy) / F.col("n_pairs") - F.col(x) * F.col(y) / F.col("n_pairs") ** 2
+
+    c11, c22, c12, c1y, c2y = cov("s11", "s1", "s1"), cov("s22", "s2", "s2"), cov("s12", "s1", "s2"), cov("s1y", "s1", "sy"), cov("s2y", "s2", "sy")
+    det = F.nullif(c11 * c22 - c12 * c12, F.lit(0.0))
+    return m.select("set_id", "trait", F.col("n_pairs").cast("long").alias("n_pairs"), (c1y / F.nullif(c11, F.lit(0.0))).alias("var_single"),
+                    ((c1y * c22 - c2y * c12) / det).alias("var_in"), ((c2y * c11 - c1y * c12) / det).alias("var_out"))
+
+
 def fit_he(pairs: DataFrame, pheno: DataFrame, value: str = "value", by=("set_id",)) -> DataFrame:
     """Moment estimate for panels too large for a dense fit: y_i y_j on K_ij over pairs i < j.
 

@@ -7,19 +7,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinfold.functions.labels import PATHWAYS
 from kinfold.operators import genotype
 from kinfold.session import staged
 
-# Pathway patterns over the derived category codes; "0" is a curated list.
-PATTERNS = {
-    "p_synth": "29.2",
-    "p_target": "29.3",
-    "p_degr": "(?!29.5.11)29.5",
-    "p_auto": "29.5.2$",
-    "p_ubiq": "29.5.11",
-    "p_stress": "28",
-    "p_curated": "0",
-}
+# Of the pathway dictionary, those whose category codes the derived table has, and a curated list.
+PATTERNS = {name: PATHWAYS[name] for name in (
+    "protein_synthesis", "protein_targeting", "protein_degradation", "degradation_autophagy", "degradation_ubiquitin", "protein_folding",
+    "aa_syn_nobcat_haplo")}
 TRAIT_COLS = ["qty", "price", "disc", "tax"]
 
 
@@ -73,7 +68,7 @@ class Inputs:
     @property
     def curated(self) -> DataFrame:
         return self.table("part").where(F.col("p_partkey") % 23 == 0).select(
-            F.lit("p_curated").alias("pathway"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("snp_id")
+            F.lit("aa_syn_nobcat_haplo").alias("pathway"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("snp_id")
         )
 
     @property
@@ -171,7 +166,7 @@ SQL = {
         (27+(c_nationkey+k)%3)||'.'||(1+(c_custkey+k)%6)||
         CASE WHEN c_custkey%2=0 THEN '.'||(1+(c_custkey//2)%11) ELSE '' END AS bincode,
         lower(c_mktsegment) AS name FROM customer, (VALUES (0),(1)) v(k)""",
-    "fx_curated": "SELECT 'p_curated' AS pathway, 'S'||p_partkey AS snp_id FROM part WHERE p_partkey%23=0",
+    "fx_curated": "SELECT 'aa_syn_nobcat_haplo' AS pathway, 'S'||p_partkey AS snp_id FROM part WHERE p_partkey%23=0",
     "fx_geno": """SELECT s_suppkey AS iid, 'S'||p_partkey AS snp_id,
         CASE WHEN (s_suppkey*13+p_partkey*17)%(11+p_partkey%40)=0 THEN NULL
              WHEN (s_suppkey*7919+p_partkey*104729+s_suppkey*p_partkey*31)%101 < p_partkey%50 THEN 2 ELSE 0 END AS dosage
@@ -201,8 +196,8 @@ SQL = {
         FROM fx_snps s LEFT JOIN fx_genes g ON g.chromosome_name=s.chromosome AND s.position BETWEEN g.start_position AND g.end_position)
         WHERE rn=1""",
     "gene_cats": """SELECT g.*, c.bincode, c.name FROM fx_genes g JOIN fx_cats c ON upper(c.identifier)=g.ensembl_gene_id""",
-    "matched": """SELECT p.pathway, c.* FROM gene_cats c JOIN (VALUES ('p_synth','^29.2',NULL),('p_target','^29.3',NULL),
-        ('p_degr','^29.5','^29.5.11'),('p_auto','^29.5.2$',NULL),('p_ubiq','^29.5.11',NULL),('p_stress','^28',NULL)) p(pathway,a,b)
+    "matched": """SELECT p.pathway, c.* FROM gene_cats c JOIN (VALUES ('protein_synthesis','^29.2',NULL),('protein_targeting','^29.3',NULL),
+        ('protein_degradation','^29.5','^29.5.11'),('degradation_autophagy','^29.5.2$',NULL),('degradation_ubiquitin','^29.5.11',NULL),('protein_folding','^29.6',NULL)) p(pathway,a,b)
         ON regexp_matches(c.bincode,p.a) AND (p.b IS NULL OR NOT regexp_matches(c.bincode,p.b))""",
     "pw_genes": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pathway, ensembl_gene_id
         ORDER BY bincode, name) rn FROM matched) WHERE rn=1""",

@@ -187,14 +187,13 @@ def named_total(x: Inputs):
     return ki.gram(x.geno)
 
 
-def kin_parts(x: Inputs):
-    sets = staged(all_sets(x).withColumnRenamed("pathway", "set_id"), "sets")
-    return ki.name_samples(ki.partition_kinship(x.geno, sets), x.panel)
+def set_kernels(x: Inputs):
+    return ki.set_kernels(x.geno, staged(all_sets(x).withColumnRenamed("pathway", "set_id"), "sets"))
 
 
 @query("K1", """SELECT i, j, round(a/(SELECT sum(a)/count(*) FROM gram_all WHERE i=j),6) AS k FROM gram_all""")
 def kinship(x):
-    return ki.name_samples(ki.kinship(x.geno), x.panel).select("i", "j", r("k").alias("k"))
+    return ki.name_samples(ki.kernel_pairs(ki.packed_kinship(x.geno)), x.panel).select("i", "j", r("k").alias("k"))
 
 
 @query("K1", """SELECT i, j, round(a/(SELECT sum(2*p*(1-p)) FROM (SELECT sum(dosage)/(2.0::DOUBLE*count(dosage)) AS p FROM fx_geno GROUP BY snp_id)),6) AS k
@@ -205,10 +204,10 @@ def kinship_hwe(x):
 
 @query("K2", """SELECT set_id, partition, i, j, round(k,6) AS k FROM kin_parts""")
 def partition_kinship(x):
-    return kin_parts(x).select("set_id", "partition", "i", "j", r("k").alias("k"))
+    return ki.name_samples(ki.kernel_pairs(set_kernels(x)), x.panel).select("set_id", "partition", "i", "j", r("k").alias("k"))
 
 
-NULL_KIN = f"""{MATCHED}, m AS (SELECT DISTINCT pathway||'|'||random_group AS set_id, snp_id FROM null_rows WHERE pathway IN ('p_auto','p_ubiq')),
+NULL_KIN = f"""{MATCHED}, m AS (SELECT DISTINCT pathway||'|'||random_group AS set_id, snp_id FROM null_rows WHERE pathway IN ('degradation_autophagy','degradation_ubiquitin')),
     gin AS (SELECT m.set_id, a.iid AS i, b.iid AS j, sum(a.z*b.z) AS a FROM m JOIN zgeno a ON a.snp_id=m.snp_id
         JOIN zgeno b ON b.snp_id=a.snp_id AND a.iid<=b.iid GROUP BY ALL),
     away AS (SELECT s.pathway, a.iid AS i, b.iid AS j, sum(a.z*b.z) AS a FROM (SELECT DISTINCT pathway, snp_id FROM all_sets) s JOIN zgeno a ON a.snp_id=s.snp_id
@@ -223,7 +222,7 @@ def null_kin(x: Inputs):
     return ki.partition_kinship(x.geno, sets, scopes=scopes, outside=outside)
 
 
-@query("K3", f"""WITH RECURSIVE {NULL_KIN.replace(" WHERE pathway IN ('p_auto','p_ubiq')", "")},
+@query("K3", f"""WITH RECURSIVE {NULL_KIN.replace(" WHERE pathway IN ('degradation_autophagy','degradation_ubiquitin')", "")},
     c AS (SELECT set_id, partition, sum(a)/count(*) AS c FROM gp WHERE i=j GROUP BY ALL)
     SELECT gp.set_id, gp.partition, gp.i, gp.j, round(gp.a/nullif(c.c,0),6) AS k FROM gp JOIN c ON c.set_id=gp.set_id AND c.partition=gp.partition""")
 def null_kinship(x):
@@ -237,5 +236,4 @@ def null_kinship(x):
         max(r) FILTER (partition=1) AS r1, max(r) FILTER (partition=2) AS r2 FROM rk GROUP BY ALL)
     SELECT set_id, round(corr(k1,k2),6) AS cor_p, round(corr(r1,r2),6) AS cor_s FROM wd GROUP BY set_id""")
 def kinship_corr(x):
-    sets = all_sets(x).withColumnRenamed("pathway", "set_id")
-    return rounded(rank_corr.kernel_corr(ki.set_kernels(x.geno, sets)), 6, "cor_p", "cor_s")
+    return rounded(rank_corr.kernel_corr(set_kernels(x)), 6, "cor_p", "cor_s")

@@ -40,4 +40,4 @@ def test_entry(spark):
 
 def test_pathway_sizes_known(spark):
     got = {r["pathway"]: (r["size"], r["n_genes"]) for r in entry.queries()["pathway_sizes"](spark, "/root/testdata/sf0.001").collect()}
-    assert got == {"p_auto": (1, 1), "p_degr": (4, 4), "p_stress": (27, 11), "p_synth": (4, 3), "p_target": (5, 4)}
+    assert got == {"degradation_autophagy": (1, 1), "protein_degradation": (4, 4), "protein_folding": (4, 2), "protein_synthesis": (4, 3), "protein_targeting": (5, 4)}

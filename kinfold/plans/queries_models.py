@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.operators import effects as ef, kinship as ki, models as mo
-from kinfold.plans import chains
+from kinfold.plans import chains, reml_sql
 from kinfold.plans.fixtures import Inputs
 from kinfold.plans.queries_annotation import all_sets
 from kinfold.plans.queries_genotype import set_kernels
@@ -39,6 +39,32 @@ def one_kernel_fold_fits(x):
     return chains.one_kernel(x, chains.panel_folds(data[1]), full=False, data=data).select(*FIT_COLS)
 
 
+def told_fits(fits, *keys: str):
+    """Likelihood, heritability and total variance, rounded for a comparison."""
+    total = F.aggregate("variances", F.lit(0.0), lambda a, v: a + v)
+    return fits.select("set_id", "trait", *keys, "n_train", r("loglik", 4).alias("loglik"), r("h2", 3).alias("h2"), r(F.log(total), 4).alias("log_variance"), "status")
+
+
+@query("M2", reml_sql.FULL_FITS)
+def one_kernel_reml(x):
+    """The one-kernel fits beside a likelihood search in SQL."""
+    return told_fits(chains.one_kernel(x))
+
+
+@query("M3", reml_sql.with_folds(reml_sql.FOLD_FITS, 5, 10))
+def one_kernel_fold_reml(x):
+    data = chains.prepared(x)
+    return told_fits(chains.one_kernel(x, chains.panel_folds(data[1], 5, 10), full=False, data=data), "cv", "fold")
+
+
+@query("M10", reml_sql.with_folds(reml_sql.FOLD_PREDICTIONS, 5, 10))
+def fold_reml_predictions(x):
+    """Predictions of the test samples of every fold, of prices in thousands."""
+    data = chains.prepared(x)
+    rows = mo.prediction_table(chains.one_kernel(x, chains.panel_folds(data[1], 5, 10), full=False, data=data), data[1])
+    return rounded(rows.withColumn("total", F.when(F.col("trait") == "price", F.col("total") / 1000).otherwise(F.col("total"))), 3, "total")
+
+
 @query("M4")
 def two_kernel_fits(x):
     return chains.two_kernel(x).select(*FIT_COLS)

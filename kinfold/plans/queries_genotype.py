@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import genotype as ge, kinship as ki, rank_corr, structure as st
+from kinfold.operators import genotype as ge, kinship as ki, linkage as ld, rank_corr, structure as st
 from kinfold.plans.fixtures import Inputs
 from kinfold.plans.queries_annotation import MATCHED, all_sets, matched_kernels_of
 from kinfold.plans.registry import query, r, rounded
@@ -163,13 +163,13 @@ LD = """snp AS (SELECT 'S'||p_partkey AS snp_id, CAST(p_partkey%5+1 AS INTEGER)
 
 @query("G11", f"WITH {LD} SELECT * FROM ld")
 def ld_window(x):
-    return rounded(st.ld_window(x.geno, LD_KB), 9, "r2")
+    return rounded(ld.ld_window(x.geno, LD_KB), 9, "r2")
 
 
 @query("G11", f"""WITH {LD} SELECT s.snp_id, round(1+coalesce(sum(e.r2),0),9) AS ld_score, count(e.r2) AS n_partners FROM snp s
     LEFT JOIN (SELECT snp_a AS snp_id, r2 FROM ld UNION ALL SELECT snp_b, r2 FROM ld) e ON e.snp_id=s.snp_id GROUP BY s.snp_id""")
 def ld_score(x):
-    return rounded(st.ld_score(x.geno, rounded(st.ld_window(x.geno, LD_KB), 9, "r2")), 9, "ld_score")
+    return rounded(ld.ld_score(x.geno, rounded(ld.ld_window(x.geno, LD_KB), 9, "r2")), 9, "ld_score")
 
 
 @query("G12", f"""WITH RECURSIVE {LD}, strong AS (SELECT snp_b, list(snp_a) AS partners FROM ld WHERE r2>0.02 GROUP BY snp_b),
@@ -180,7 +180,7 @@ def ld_score(x):
         NOT list_has_any(w.kept, s.partners), s.position, s.snp_id FROM walk w JOIN seq s ON s.chromosome=w.chromosome AND s.ord=w.ord+1)
     SELECT chromosome, position, snp_id FROM walk WHERE took""")
 def ld_prune(x):
-    return st.ld_prune(x.geno, st.ld_window(x.geno, LD_KB), LD_KB, 0.02)
+    return ld.ld_prune(x.geno, ld.ld_window(x.geno, LD_KB), LD_KB, 0.02)
 
 
 def named_total(x: Inputs):

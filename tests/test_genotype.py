@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import genotype as ge, intervals as iv, kinship as ki, structure as st
+from kinfold.operators import genotype as ge, intervals as iv, kinship as ki, linkage as ld, structure as st
+from kinfold.session import noted_paths
 
 N, M = 30, 200
 
@@ -170,7 +171,7 @@ def test_residuals(spark):
 def test_ld_and_prune(data):
     x, geno, _ = data
     kb = 0.3
-    pairs = {(r["snp_a"], r["snp_b"]): r["r2"] for r in st.ld_window(geno, kb).collect()}
+    pairs = {(r["snp_a"], r["snp_b"]): r["r2"] for r in ld.ld_window(geno, kb).collect()}
     want = {}
     for a in range(M):
         for b in range(a + 1, M):
@@ -186,7 +187,7 @@ def test_ld_and_prune(data):
     for b in sorted(range(M), key=lambda j: (j * 37, f"S{j}")):
         if any((f"S{a}", f"S{b}") in want and (want[f"S{a}", f"S{b}"] or 0) > limit and a not in gone for a in range(b)):
             gone.add(b)
-    kept = {r["snp_id"] for r in st.ld_prune(geno, st.ld_window(geno, kb), kb, limit, block_windows=1).collect()}
+    kept = {r["snp_id"] for r in ld.ld_prune(geno, ld.ld_window(geno, kb), kb, limit, block_windows=1).collect()}
     assert kept == {f"S{j}" for j in range(M) if j not in gone} and gone
 
 
@@ -195,3 +196,59 @@ def test_distinct_on_and_grid(spark):
     assert sorted(map(tuple, iv.distinct_on(df, ["k"], ["o"]).collect())) == [("k", 1, "a"), ("m", 5, "c")]
     grid = iv.complete_grid(df.select("k", "v"), "k", ["v"])
     assert grid.count() == 6
+
+
+def test_ld_in_a_dense_region(spark, monkeypatch):
+    """Nine tenths of the SNPs within one window, several blocks a stretch, doubles and whole numbers, ties of positions."""
+    monkeypatch.setattr(ld, "BLOCK_SNPS", 7)
+    rng = np.random.default_rng(5)
+    n, m = 20, 80
+    x = rng.integers(0, 3, (m, n)).astype(float)
+    x[::9] += 0.25
+    x[rng.random((m, n)) < 0.1] = np.nan
+    pos = np.where(np.arange(m) < 72, rng.integers(5000, 5900, m), rng.integers(0, 20000, m))
+    rows = [(f"r{i}", 1, int(pos[i]), [None if np.isnan(v) else float(v) for v in x[i]]) for i in range(m)]
+    rows += [("nowhere", 1, None, rows[0][3]), ("nochr", None, 5, rows[0][3])]
+    geno = spark.createDataFrame(rows, "snp_id string, chromosome int, position long, dosages array<double>")
+    got = {(r["snp_a"], r["snp_b"]): r["r2"] for r in ld.ld_window(geno, 1.0).collect()}
+    order = sorted(range(m), key=lambda i: (pos[i], f"r{i}"))
+    want = {}
+    for k, a in enumerate(order):
+        for b in order[k + 1:]:
+            if pos[b] - pos[a] <= 1000:
+                both = ~(np.isnan(x[a]) | np.isnan(x[b]))
+                want[f"r{a}", f"r{b}"] = np.corrcoef(x[a][both], x[b][both])[0, 1] ** 2
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    assert ld.ld_window(geno.limit(0), 1.0).count() == 0
+
+
+def greedy(pairs, positions):
+    partners = {}
+    for a, b in pairs:
+        partners.setdefault(b, []).append(a)
+    gone = set()
+    for s in sorted(positions, key=lambda s: (positions[s], s)):
+        if any(a not in gone for a in partners.get(s, [])):
+            gone.add(s)
+    return gone
+
+
+@pytest.mark.parametrize("chained", [False, True])
+def test_prune_rounds_do_not_grow_with_the_chromosome(spark, chained):
+    """Random links: as many rounds on a chromosome eight times as long. One unbroken chain: the logarithm of its blocks."""
+    rounds = {}
+    for m in (200, 1600):
+        rng = np.random.default_rng(3)
+        positions = {f"s{i}": i * 100 for i in range(m)}
+        step = [1] if chained else range(1, 6)
+        pairs = [(f"s{i}", f"s{i + d}") for i in range(m) for d in step if i + d < m and (chained or rng.random() < 0.3)]
+        geno = spark.createDataFrame([(s, 1, p) for s, p in positions.items()], "snp_id string, chromosome int, position long")
+        links = spark.createDataFrame([(1, a, b, positions[a], positions[b], 0.9) for a, b in pairs] + [(1, "s0", "s1", 0, 100, None)],
+                                      "chromosome int, snp_a string, snp_b string, pos_a long, pos_b long, r2 double")
+        with noted_paths() as paths:
+            kept = {r["snp_id"] for r in ld.ld_prune(geno, links, 0.5, 0.5, block_windows=4).collect()}
+        assert kept == positions.keys() - greedy(pairs, positions)
+        rounds[m] = sum("ld-verdicts" in p for p in paths)
+    blocks = 1600 * 100 // 2000
+    assert rounds[1600] <= (1 + np.ceil(np.log2(blocks)) if chained else rounds[200] + 1), rounds
+    print(rounds)

@@ -26,7 +26,8 @@ only pairs with a few members (hubs), which joins nearly all that belongs togeth
 components, is compared in blocks that return only pairs which may link by a bound from above, so every link that could
 join components is looked at and no large group is spelled out pair by pair. Components come from repeated joins; links and labels stay distributed.
 
-Shingles are compared as 64-bit hashes, sets as 128-bit digests.
+Words, then shingles, are compared as 64-bit hashes, sets as 128-bit digests: two given shingles that differ are taken for
+one with a chance of about 2^-63, and a link depends only on the shingles of its two documents.
 
 Defined cases: null text is empty; a null doc_id never names a component unless no other id is reached (then
 null); rows with equal ids are separate documents; an empty table gives an empty table; other columns are not read.
@@ -58,7 +59,7 @@ BINS = 1 << 14
 SETS_PER_BUCKET = 512
 SETS_AT_ONCE = 1000
 BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-BYTE_CODES = np.where(BLANKS, np.uint64(0), ch.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+WORD_KEY = b"words of shingles"
 UNIT_BYTES = 4 << 20
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
@@ -66,18 +67,15 @@ SCHEMA = "doc_id long, n_shingles long, component_id long"
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(where each word starts, its 64-bit hash) of lower-cased bytes; words end at 0x20 and 0x09-0x0D."""
-    codes = np.frombuffer(data, np.uint8)
-    blank = BLANKS[codes]
-    starts = np.flatnonzero(~blank & np.append(True, blank[:-1])) if len(codes) else np.zeros(0, np.int64)
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    first = starts[0]
-    room = np.diff(np.append(starts, len(codes)))
-    place = np.arange(first, len(codes)) - np.repeat(starts, room)
-    powers = np.cumprod(np.full(int(room.max()), 0x9E3779B97F4A7C15, np.uint64))
-    sums = np.add.reduceat(BYTE_CODES[codes[first:]] * powers[place], starts - first)
-    return starts, ch.mixed(sums)
+    """(where each word starts, its 64-bit hash) of lower-cased bytes; words end at 0x20 and 0x09-0x0D.
+
+    The hash is a keyed BLAKE2b of the word, taken once a distinct word: no length or pattern of letters makes words collide.
+    """
+    blank = BLANKS[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero(~blank & np.append(True, blank[:-1])) if len(blank) else np.zeros(0, np.int64)
+    words = data.split()
+    known = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8, key=WORD_KEY).digest(), "little") for w in set(words)}
+    return starts, np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def text_shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:

@@ -348,3 +348,14 @@ def test_one_of_each(awkward):
     assert kept.count() == len({c for _, _, c in groups})
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(6) == 1 and 7 not in ids and 0 in ids and 1 in ids
+
+
+def test_long_words_built_to_collide(spark):
+    """Words of the Thue-Morse sequence and its mirror, on which any polynomial in the letters modulo 2^64 agrees."""
+    signs = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)]
+    sets = partenum.text_shingles(words)
+    assert len(sets[0]) == len(sets[1]) == 1 and sets[0][0] != sets[1][0]
+    docs = spark.createDataFrame([(i + 1, w) for i, w in enumerate(words + words[:1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

@@ -8,51 +8,61 @@ twice, words that it leaves are gone); texts become token ids, with the digest o
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import gru_langid, mixing, partenum, secret_links, word_bpe
 from kinfold.session import noted_paths, remove_paths, staged
 
-_left: dict[str, list[str]] = {}  # by application: what the last stage has staged
+_left: dict[str, list[str]] = {}  # by application: what earlier stages have staged and may still be read
+
+
+def _reads(docs: DataFrame, paths: list[str]) -> bool:
+    """Whether a stage's input still reads what an earlier stage staged: so it does until it is written and reread."""
+    names = {os.path.basename(p) for p in paths}
+    return any(not names.isdisjoint(file.split("/")) for file in docs.inputFiles())
 
 
-def _stage(first: bool = False):
-    def wrap(stage):
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            before = _left.pop(spark.sparkContext.applicationId, [])
-            if not first:  # what the last stage of another run has staged may still be read
-                remove_paths(spark, before)
-            with noted_paths() as paths:
-                out = stage(spark, docs, sf_dir)
-            _left[spark.sparkContext.applicationId] = paths
-            return out
+def _stage(stage):
+    """Stages can be composed lazily. What earlier ones staged goes when a stage's input no longer reads any of it."""
 
-        return run_stage
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = _left.pop(spark.sparkContext.applicationId, [])
+        if stage.__name__ == STAGES[0][0]:  # what another run has staged may still be read
+            before = []
+        if before and not _reads(docs, before):
+            remove_paths(spark, before)
+            before = []
+        with noted_paths() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left[spark.sparkContext.applicationId] = before + paths
+        return out
 
-    return wrap
+    return run_stage
 
 
-@_stage(first=True)
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return gru_langid.keep_identified(docs)
 
 
-@_stage()
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return partenum.one_of_each(docs)
 
 
-@_stage()
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_links.redact(docs)
 
 
-@_stage()
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-@_stage()
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -50,3 +50,17 @@ def test_empty_and_awkward(spark, awkward, empty):
 
 def test_mark_is_no_secret():
     assert not plain.strong_spans(secret_links.MARK)
+
+
+def test_stages_compose_lazily(spark, awkward):
+    """No stage removes what the lazy result of its predecessor has yet to read."""
+    written = lazy = awkward
+    for name, stage in corpus_pipeline.STAGES:
+        written = staged(stage(spark, written, ""), f"test-{name}")
+    for _, stage in corpus_pipeline.STAGES:
+        lazy = stage(spark, lazy, "")
+
+    def rows(df):
+        return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+    assert rows(lazy) == rows(written)

@@ -1,5 +1,7 @@
 """Hand-made edges of the interval joins, sets and random groups."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -129,6 +131,31 @@ def test_exact_draw(spark, cover):
         assert total >= sizes[group]
 
 
+def test_covered_genes_travel_as_runs(spark, cover):
+    _, spans, buffers = cover
+    placed = sa.gene_tables(sa.gene_cover(buffers, spans).withColumn("set_id", F.lit("all"))).first()["genes"]
+    assert len(placed) == spans.count() and all(len(g["runs"]) == 1 and g["runs"][0]["lo"] <= g["no"] <= g["runs"][0]["hi"] for g in placed)
+    genes = [("s", "b", 2, 3, ["a", "b", "not drawn"]), ("s", "a", 1, 2, ["a"]), ("s", "é", 5, 1, ["é", "c"]), ("s", "c", 1, 4, ["b", "c"]),
+             ("s", "c", 3, 4, ["b", "c"]), ("t", "b", 1, 1, [])]
+    cover = spark.createDataFrame(genes, "set_id string, drawn_gene_id string, weight long, rows long, covers array<string>")
+    tables = {r["set_id"]: [(g["drawn_gene_id"], [tuple(x) for x in g["runs"]]) for g in r["genes"]] for r in sa.gene_tables(cover).collect()}
+    assert tables == {"s": [("a", [(0, 0)]), ("b", [(0, 1)]), ("c", [(1, 3)]), ("c", [(1, 3)]), ("é", [(2, 4)])], "t": [("b", [])]}
+    targets = spark.range(60).select(F.explode(F.array(F.lit("s"), F.lit("t"))).alias("set_id"), F.concat(F.lit("c_"), "id").alias("random_group"), (F.col("id") % 9).alias("size"))
+    got = sa.draw_genes_exact(cover, targets, "n", blocks=7).toPandas().sort_values("draw_no")
+    drawn = {k: list(v["drawn_gene_id"]) for k, v in got.groupby(["set_id", "random_group"])}
+    for s, group, size in targets.collect():
+        def order(g):
+            bits = int(hashlib.md5(f"n|{s}|{group}|{g[1]}".encode()).hexdigest()[:13], 16)
+            return -np.log((bits + 0.5) / 2**52) / g[2], g[1]
+        want, covered, total = [], set(), 0
+        for g in sorted((g for g in genes if g[0] == s), key=order):
+            if total < size and g[1] not in covered:
+                want.append(g[1])
+                covered.update(g[4])
+                total += g[3]
+        assert drawn.get((s, group), []) == want
+
+
 def test_draw_prefers_heavy_genes(spark):
     genes = pd.DataFrame({"set_id": "all", "drawn_gene_id": ["heavy", "light"], "weight": [9, 1], "rows": [1, 1], "covers": [["heavy"], ["light"]]})
     targets = spark.range(2000).select(F.lit("all").alias("set_id"), F.col("id").cast("string").alias("random_group"), F.lit(1).alias("size"))

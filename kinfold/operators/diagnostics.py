@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from kinfold.functions.distributions import chi2_cdf, chi2_quantile_column
 from kinfold.functions.labels import pathway_category
@@ -51,6 +51,10 @@ def best_fit(ks: DataFrame, by=("trait",)) -> DataFrame:
     return long.withColumn("df", df).groupBy(*by).agg(F.min_by("df", F.struct("d", "df")).alias("df"), F.min("d").alias("d"))
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+
+
 def qq_points(null: DataFrame, by: list[str], value: str = "lr", df: float = 2) -> DataFrame:
     """Sorted values against theoretical quantiles, one row per observation.
 
@@ -59,7 +63,8 @@ def qq_points(null: DataFrame, by: list[str], value: str = "lr", df: float = 2)
     """
     cum = cumulative(null.where(F.col(value).isNotNull()), by, [value])
     chunks = cum.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / F.lit(CHUNK)))))
-    chunks = chunks.repartition(*by, value, "_c")
+    # a number of tasks is given: a chunk is a short row, and rows so small would be put together in one task
+    chunks = chunks.repartition(_tasks(null.sparkSession), *by, value, "_c")
     lo = F.col("below") + F.col("_c") * CHUNK + 1
     hi = F.least(F.col("upto"), F.col("below") + (F.col("_c") + 1) * CHUNK)
     points = chunks.withColumn("i", F.explode(F.sequence(lo, hi)))

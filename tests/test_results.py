@@ -115,6 +115,13 @@ def test_qq_small_group_offsets(spark):
     assert ranks.count() == 25000 and ranks.select(F.count_distinct("i"), F.max("i")).first() == (25000, 25000)
 
 
+def test_qq_chunks_are_dealt_to_many_tasks(spark):
+    null = spark.range(200000).select(F.lit("t").alias("trait"), (F.col("id") % 3 + 0.5).alias("lr"))
+    points = di.qq_points(null, ["trait"], df=1).where("i % 100 = 0").withColumn("task", F.spark_partition_id())
+    tasks = points.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 2000 and len(tasks) > 4 and max(r["n"] for r in tasks) <= 800
+
+
 def test_histogram_of_constant(spark):
     df = spark.createDataFrame([("t", 1.0)] * 3, "trait string, lr double")
     assert [tuple(r) for r in di.histogram(df, "lr", ["trait"], bins=50).collect()] == [("t", 0, 3)]

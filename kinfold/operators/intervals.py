@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from kinfold.session import staged
+
 BIN = 4096
 
 
@@ -52,14 +54,37 @@ def range_join(
     return probe.join(spread, cond, how).drop(*extra)
 
 
+def holds_a_point(points: DataFrame, intervals: DataFrame, pos: str, low: str, high: str,
+                  point_chr: str = "chromosome", interval_chr: str = "chromosome_name") -> DataFrame:
+    """The closed integer intervals that hold at least one point; no pair of a point and an interval is formed.
+
+    Let k be the highest bit in which low and high differ. Cells of 2^k positions then cut the interval in two,
+    [low, end of its cell] and [start of the next cell, high], so it holds a point exactly when the greatest point of the
+    first cell reaches low or the least of the second does not pass high. Two rows an interval, a row a point and level.
+    """
+    at = F.col(pos).cast("bigint")
+    low, high = F.col(low).cast("bigint"), F.col(high).cast("bigint")
+    spans = intervals.where(low <= high).withColumn("_k", F.length(F.bin(low.bitwiseXOR(high))) - 1)
+    spans = staged(spans.withColumn("_lo", low).withColumn("_hi", high), "spans")
+    levels = spans.agg(F.collect_set("_k").alias("k"))
+    cell = lambda v: F.expr(f"shiftright({v}, _k)")
+    cells = (
+        points.where(at.isNotNull()).select(F.col(point_chr).alias("_chr"), at.alias("_p")).distinct()
+        .withColumn("_k", F.explode(levels.scalar())).groupBy("_chr", "_k", cell("_p").alias("_cell"))
+        .agg(F.min("_p").alias("_min"), F.max("_p").alias("_max"))
+    )
+    halves = spans.withColumn("_half", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_own", F.when(F.col("_half"), cell("_lo")).otherwise(cell("_hi")))
+    inside = F.when(F.col("_half"), F.col("_max") >= F.col("_lo")).otherwise(F.col("_min") <= F.col("_hi"))
+    cells = cells.withColumnRenamed("_k", "_level")
+    cond = (F.col(interval_chr) == F.col("_chr")) & (F.col("_k") == F.col("_level")) & (F.col("_own") == F.col("_cell")) & inside
+    return halves.join(cells, cond, "left_semi").select(*intervals.columns).distinct()
+
+
 def gene_table(annotations: DataFrame, snps: DataFrame) -> DataFrame:
     """Distinct annotation rows of the genes that hold at least one queried position."""
     genes = annotations.distinct()
-    hit = range_join(
-        snps.select("chromosome", "position").distinct(),
-        genes.select("chromosome_name", "ensembl_gene_id", "start_position", "end_position").distinct(),
-        "position", F.col("start_position"), F.col("end_position"),
-    ).select("ensembl_gene_id").distinct()
+    spans = genes.select("chromosome_name", "ensembl_gene_id", "start_position", "end_position").distinct()
+    hit = holds_a_point(snps, spans, "position", "start_position", "end_position").select("ensembl_gene_id").distinct()
     return genes.join(hit, "ensembl_gene_id", "left_semi")
 
 

@@ -78,6 +78,22 @@ def test_first_match_is_brute_force(spark):
             assert got.get((path, x)) == first(x, own, 50)
 
 
+def test_intervals_that_hold_a_point(spark):
+    rng = np.random.default_rng(4)
+    points = [(int(rng.integers(1, 3)), int(p)) for p in rng.integers(-300, 2000, 60)] + [(1, 5), (1, 5), (None, 7), (1, None)]
+    spans = [(int(rng.integers(1, 3)), f"g{i}", int(s := rng.integers(-400, 2100)), int(s + rng.integers(-3, 60))) for i in range(400)]
+    spans += [(1, "point", 5, 5), (1, "same", 5, 5), (1, "same", 5, 5), (1, "no end", 5, None), (None, "no chr", 0, 99), (1, "wide", -9, 5000)]
+    p = spark.createDataFrame(points, "chromosome int, position long")
+    g = spark.createDataFrame(spans, "chromosome_name int, ensembl_gene_id string, start_position long, end_position long")
+    hits = iv.gene_table(g, p)
+    want = {s for s in spans if s[3] is not None and any(c is not None and x is not None and c == s[0] and s[2] <= x <= s[3] for c, x in points)}
+    assert sorted(map(tuple, hits.collect())) == sorted((s[1], s[0], s[2], s[3]) for s in want) and 0 < len(want) < 400
+    dense = spark.range(3000).select(F.lit(1).alias("chromosome"), F.col("id").alias("position"))
+    many = spark.range(2000).select(F.lit(1).alias("chromosome_name"), F.concat(F.lit("g"), "id").alias("ensembl_gene_id"), F.col("id").alias("start_position"), (F.col("id") + 900).alias("end_position"))
+    plan = iv.gene_table(many, dense)._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence" not in plan and iv.gene_table(many, dense).count() == 2000
+
+
 def test_codes_are_unescaped_prefix_patterns(spark):
     codes = spark.createDataFrame([("29.5.1",), ("29.5.11",), ("29.5.11.2",), ("29.1",), ("29.10",), ("2935.1",), ("129.1",)], "bincode string")
     pats = {"one": "29.5.1$", "eleven": "29.5.11", "degr": "(?!29.5.11)29.5", "loose": "29.1", "skip": "0"}

@@ -139,6 +139,12 @@ def test_balanced_blue_is_the_mean(spark):
     assert np.allclose([got[c] for c in "abc"], [5 / 3, 3 + 5 / 3, 6 + 5 / 3])
 
 
+def test_blue_reads_the_long_table_once(spark):
+    rows = spark.createDataFrame([("t", "a", "x", 1.0), ("t", "b", "y", 2.0), ("t", "a", "y", 4.0)], "trait string, line string, population string, value double")
+    plan = ph.blue(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
 def test_unbalanced_blue_removes_environment(spark):
     effect, env = {"a": 1.0, "b": 4.0, "c": 9.0}, {"x": 0.0, "y": 100.0}
     rows = [("t", ln, e, effect[ln] + env[e]) for ln, e in [("a", "x"), ("a", "y"), ("b", "x"), ("c", "y"), ("c", "y")]]

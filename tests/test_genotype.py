@@ -83,6 +83,16 @@ def test_gram_plain_and_tiled(data):
     assert np.allclose(square(ki.gram(geno, tile=7, samples=N).collect(), N), want)
 
 
+def test_gram_above_a_tile_adds_up_arrays(data, monkeypatch):
+    x, geno, _ = data
+    z = centred(x)
+    monkeypatch.setattr(ki, "TILE", 7)
+    pairs = ki.gram(geno)
+    assert "HashAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(square(pairs.collect(), N), z.T @ z) and pairs.count() == N * (N + 1) // 2
+    assert pairs.columns == ["set_id", "i", "j", "a"] and ki.gram(geno.where("false")).count() == 0
+
+
 def test_partition_adds_up(spark, data):
     x, geno, _ = data
     z = centred(x)

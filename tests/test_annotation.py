@@ -172,6 +172,32 @@ def test_covered_genes_travel_as_runs(spark, cover):
         assert drawn.get((s, group), []) == want
 
 
+def test_draw_without_rows_of_buffers(spark):
+    """Two pools, two chromosomes, places shared by SNPs, a gene on both chromosomes, a target that comes twice."""
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"set_id": rng.choice(["a", "b"], 500), "snp_id": [f"s{i}" for i in range(500)], "chromosome": rng.integers(1, 3, 500), "position": rng.integers(0, 60000, 500)})
+    frame["ensembl_gene_id"] = [None if p % 3000 > 2000 else "both" if p < 2000 else f"g{c}_{p // 3000}" for c, p in zip(frame["chromosome"], frame["position"])]
+    snps = spark.createDataFrame(frame)
+    odd = spark.createDataFrame([("a", "n1", None, 5, "n"), ("a", "n2", 1, None, None)], snps.schema)
+    snps = snps.unionByName(odd)
+    spans = sa.gene_spans(snps, ["set_id"])
+    buffers = sa.gene_buffers(snps, spans, scope=["set_id"])
+    want = {(r["set_id"], r["drawn_gene_id"]): r["count"] for r in buffers.groupBy("set_id", "drawn_gene_id").count().collect()}
+    assert {(r["set_id"], r["drawn_gene_id"]): r["rows"] for r in sa.buffer_rows(snps, spans, scope=["set_id"]).collect()} == want
+    targets = spark.range(1, 13).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("set_id"), F.concat(F.lit("c_"), "id").alias("random_group"), (F.col("id") * 30).alias("size"))
+    targets = targets.unionByName(targets.where("random_group = 'c_4'"))
+    places = sa.gene_places(snps, spans, scope=["set_id"])
+
+    def rows(table, **how):
+        return sorted(map(tuple, sa.draw_genes_exact(table, targets, "t", blocks=2, **how).collect()))
+
+    first = rows(sa.gene_cover(buffers, spans, ["set_id"]))
+    assert first and len({r[1] for r in first}) == 12 and rows(places) == first and rows(places, ahead=-1e9) == first
+    assert sum(r[:2] == ("a", "c_4") for r in first) == 2 * len({r for r in first if r[:2] == ("a", "c_4")})
+    near = sa.drawn_buffers(snps, spans, spark.createDataFrame([first[0]], "set_id string, random_group string, drawn_gene_id string, draw_no long"), scope=["set_id"])
+    assert near.count() == want[first[0][0], first[0][2]]
+
+
 def test_draw_prefers_heavy_genes(spark):
     genes = pd.DataFrame({"set_id": "all", "drawn_gene_id": ["heavy", "light"], "weight": [9, 1], "rows": [1, 1], "covers": [["heavy"], ["light"]]})
     targets = spark.range(2000).select(F.lit("all").alias("set_id"), F.col("id").cast("string").alias("random_group"), F.lit(1).alias("size"))

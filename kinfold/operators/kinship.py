@@ -160,6 +160,26 @@ def scale_gram(numerators: DataFrame, by=("set_id",), least: Column | float = 0.
     return join_sized(numerators, trace, list(by)).withColumn("k", F.col("a") / F.nullif("c", F.lit(0.0)))
 
 
+def mean_diagonal(geno: DataFrame) -> DataFrame:
+    """The empirical scale, trace(A) / n, in one row `c`: the squares of the centred dosages added up, without a pair of samples."""
+
+    def add(batches):
+        total, width = 0.0, 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                x = batch["dosages"].slice(lo, BATCH)
+                width = len(x[0])
+                flat = x.flatten()
+                called = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).sum(axis=1)
+                dose = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+                sums, squares = dose.sum(axis=1, dtype=float), np.einsum("ij,ij->i", dose, dose, dtype=float)
+                total += float((squares - sums**2 / np.maximum(called, 1)).sum())
+        if width:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([width], pa.int32())], names=["t", "n"])
+
+    return geno.select("dosages").mapInArrow(add, "t double, n int").agg((F.sum("t") / F.max("n")).alias("c"))
+
+
 def hwe_denominator(geno: DataFrame) -> DataFrame:
     """The textbook denominator: sum of 2p(1-p) over SNPs."""
     p = F.col("freq")

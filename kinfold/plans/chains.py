@@ -23,7 +23,7 @@ REPEATS, FOLDS = 5, 10
 def prepared(x: Inputs) -> tuple[DataFrame, DataFrame]:
     """Quality-filtered minor-allele dosages and the surviving panel."""
     geno, panel = ge.qc_filter(x.geno, x.panel)
-    return staged(ge.to_minor_dosage(geno), "geno"), staged(panel, "panel")
+    return ge.stored(ge.to_minor_dosage(geno), "geno"), panel
 
 
 def one_kernel(x: Inputs, folds: DataFrame | None = None, full: bool = True, data=None) -> DataFrame:

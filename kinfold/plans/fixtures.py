@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinfold.functions.labels import PATHWAYS
 from kinfold.operators import genotype
-from kinfold.session import staged
 
 # Of the pathway dictionary, those whose category codes the derived table has, and a curated list.
 PATTERNS = {name: PATHWAYS[name] for name in (
@@ -18,6 +19,39 @@ PATTERNS = {name: PATHWAYS[name] for name in (
 TRAIT_COLS = ["qty", "price", "disc", "tax"]
 
 
+KEYS, CELLS = 1024, 1 << 22  # SNPs of a block; dosages of a batch
+
+
+def _key_blocks(batches):
+    """Keys packed in arrays, so that the samples stand beside a block of SNPs and not beside each."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, KEYS):
+            yield pa.RecordBatch.from_arrays([pa.array([batch["p_partkey"].slice(lo, KEYS).to_pylist()], pa.list_(pa.int64()))], names=["keys"])
+
+
+def _remainder(x: np.ndarray, m: int) -> np.ndarray:
+    """x % m as in SQL, with the sign of x."""
+    return x - x // m * m if len(x) and x.min() >= 0 else np.fmod(x, m)
+
+
+def _dosages(batches):
+    """The dosages of every key and sample, formed a SNP at a time; a SNP without a key has none."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            s = batch["iids"][row].values.to_numpy(zero_copy_only=False).astype(np.int64)
+            keys, n, by_missing, by_two = batch["keys"][row].as_py(), len(s), s * 13, s * 7919
+            step = max(1, CELLS // max(n, 1))
+            for lo in range(0, len(keys), step):
+                some = keys[lo : lo + step]
+                dose = np.full((len(some), n), genotype.MISSING, np.int8)
+                for at, p in enumerate(some):
+                    if p is not None:
+                        missing = _remainder(by_missing + p * 17, int(np.fmod(p, 40)) + 11) == 0
+                        two = _remainder(by_two + p * 104729 + s * (p * 31), 101) < np.fmod(p, 50)
+                        dose[at] = np.where(missing, genotype.MISSING, 2 * two.view(np.int8))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([row.tobytes() for row in dose], pa.binary())], names=["p_partkey", "dosages"])
+
+
 class Inputs:
     """The derived tables of one data folder; each property is a lazy DataFrame."""
 
@@ -78,19 +112,14 @@ class Inputs:
     @cached_property
     def geno(self) -> DataFrame:
         """SNP-major dosages, one array entry per supplier: a stored table, as genotypes are."""
+        keys = self.wide(self.table("part").select(F.col("p_partkey").cast("bigint").alias("p_partkey")), "p_partkey")
+        blocks = keys.mapInArrow(_key_blocks, "keys array<bigint>").withColumn("iids", self.panel.scalar())
         p = F.col("p_partkey")
-        part = self.wide(self.table("part").select("p_partkey"), "p_partkey").withColumn("iids", self.panel.scalar())
-
-        def dose(s):
-            missing = (s * 13 + p * 17) % (p % 40 + 11) == 0
-            two = (s * 7919 + p * 104729 + s * p * 31) % 101 < p % 50
-            return F.when(~missing, F.when(two, F.lit(2)).otherwise(F.lit(0))).cast("tinyint")
-
-        calls = part.select(
+        calls = blocks.mapInArrow(_dosages, "p_partkey bigint, dosages binary").select(
             F.concat(F.lit("S"), p.cast("string")).alias("snp_id"), (p % 5 + 1).cast("int").alias("chromosome"),
-            (p * 618033 % 1000003).alias("position"), F.transform("iids", dose).alias("dosages"),
+            (p * 618033 % 1000003).alias("position"), "dosages",
         )
-        return staged(calls, "geno")
+        return genotype.stored(calls, "geno")
 
     @property
     def geno_long(self) -> DataFrame:

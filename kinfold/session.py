@@ -84,15 +84,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, row_group: int | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Cuts the lineage of a table that several later steps use: they read
     columns of a Parquet file with known size instead of computing it again,
-    and a lost executor costs only its own tasks.
+    and a lost executor costs only its own tasks. `row_group` (bytes) bounds
+    what a reader of long arrays decodes at a time.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", row_group) if row_group else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import genotype as ge, intervals as iv, kinship as ki, linkage as ld, structure as st
+from kinfold.plans.fixtures import Inputs
 from kinfold.session import noted_paths
 
 N, M = 30, 200
@@ -60,6 +61,62 @@ def test_qc_edges(spark):
     assert "S0" in ids and "S2" in ids and "S1" not in ids and "S3" not in ids
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quality_counts_without_a_row_or_expression_a_call(data):
+    x, geno, panel = data
+    assert "Generate" not in plan_of(ge.sample_stats(geno, panel).select("n_snps")).replace("Generate posexplode(iids", "")
+    kept, _ = ge.qc_filter(geno, panel)
+    for text in (plan_of(kept), plan_of(ge.to_minor_dosage(geno))):
+        assert "arrays_zip" not in text and "transform" not in text
+
+
+def test_sample_stats_of_rows_of_several_lengths(spark):
+    geno = spark.createDataFrame([("a", [2, None, 0]), ("b", [2]), ("c", []), ("d", None), ("e", [0, 2, None])], "snp_id string, dosages array<tinyint>")
+    panel = spark.createDataFrame([([7, 8, 9],)], "iids array<bigint>")
+    got = {r["iid"]: (r["n_snps"], r["n_called"], r["freq"]) for r in ge.sample_stats(geno.coalesce(1), panel).collect()}
+    assert got == {7: (3, 3, 4 / 6), 8: (2, 1, 1.0), 9: (2, 1, 0.0)}
+
+
+def test_stored_dosages_come_back(data, spark):
+    _, geno, _ = data
+    rows = geno.unionByName(spark.createDataFrame([("none", 1, 5, None), ("empty", None, 6, []), ("gaps", 1, 7, [None, 2, None])], geno.schema))
+    back = ge.stored(rows, "geno")
+    assert back.schema == rows.schema and sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    assert "unpack" not in plan_of(back.select("snp_id"))  # a step that wants the names does not read the calls
+
+
+def test_panel_order(spark):
+    rows = [(0, {5: 1.5, 3: None, 4: 2.5}), (1, {}), (2, None)]
+    df = spark.createDataFrame(rows, "k int, m map<bigint,double>").coalesce(1)
+    panel = spark.createDataFrame([([3, 4, 9, 5],)], "iids array<bigint>")
+    out = ge.in_panel_order(df, panel, "m", "y")
+    assert "transform" not in plan_of(out)
+    assert {r["k"]: r["y"] for r in out.collect()} == {0: [None, 2.5, None, 1.5], 1: [None] * 4, 2: None}
+
+
+def test_scale_without_pairs(data):
+    x, geno, _ = data
+    assert ki.mean_diagonal(geno).first()["c"] == pytest.approx((centred(x) ** 2).sum() / N)
+
+
+def test_derived_genotypes(spark, tmp_path):
+    part, supplier = [0, 3, 40, 119_999, None, 3], [0, 7, 59_999, 7]
+    spark.createDataFrame([(p,) for p in part], "p_partkey bigint").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(s,) for s in supplier], "s_suppkey bigint").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = Inputs(spark, str(tmp_path)).geno.collect()
+
+    def dose(p, s):
+        if p is None or (s * 13 + p * 17) % (p % 40 + 11) == 0:
+            return None
+        return 2 if (s * 7919 + p * 104729 + s * p * 31) % 101 < p % 50 else 0
+
+    want = [(None if p is None else f"S{p}", [dose(p, s) for s in (0, 7, 59_999)]) for p in part]
+    assert sorted(map(str, want)) == sorted(str((r["snp_id"], r["dosages"])) for r in rows)
+
+
 def test_minor_dosage(data):
     x, geno, _ = data
     for r in ge.to_minor_dosage(geno).collect():

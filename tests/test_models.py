@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import kinship as ki, models as mo, reml
+from kinfold.plans import queries_models
 
 N, M = 120, 300
 
@@ -231,3 +232,10 @@ def test_queries_take_the_counts_of_an_analysis(spark, monkeypatch):
     assert counts == [1000, 1000]
     for name in ("one_kernel_fold_fits", "two_kernel_fold_fits", "fold_predictions"):
         assert entry.queries()[name](spark, entry.SMOKE_DIR).select("cv", "fold").distinct().count() == 50
+
+
+def test_training_weights_take_a_mean_once_a_row(spark):
+    rows = [([1.0, None, 3.0, 8.0], [1, 1, 2, 1], 2), ([1.0, 2.0, 3.0, 8.0], [1, None, 2, 1], 1)]
+    df = spark.createDataFrame(rows, "y array<double>, of array<int>, fold int").coalesce(1)
+    out = df.select("fold", queries_models._centred_training("y", "of", "fold").alias("v"))
+    assert {r["fold"]: r["v"] for r in out.collect()} == {2: [-3.5, 0.0, 0.0, 3.5], 1: [0.0, 0.0, 0.0, 0.0]}

@@ -216,3 +216,25 @@ def test_fast_draw_stops_after_target(spark, cover):
         taken = rows[got].to_numpy()
         assert taken.sum() >= size > taken[:-1].sum()
     assert (drawn["random_group"] == "c_3").sum() == spans.count()
+
+
+def test_null_sets_draw_all_groups(spark, monkeypatch):
+    """5,000 generic groups with sizes of the whole range; the other queries keep the 25 of their SQL."""
+    import __spark_entry__ as entry
+
+    drawn = []
+
+    class Drawn(Exception):
+        pass
+
+    def draw(genes, targets, *rest):
+        drawn.append(targets.agg(F.count_distinct("random_group"), F.min("size"), F.max("size")).first())
+        raise Drawn
+
+    monkeypatch.setattr(sa, "draw_genes_exact", draw)
+    for name in ("null_sets", "null_partitions"):
+        with pytest.raises(Drawn):
+            entry.queries()[name](spark, entry.SMOKE_DIR)
+    (groups, low, high), (others, _, top) = drawn
+    assert groups == 5000 and low < 100 and 49900 < high <= 50000
+    assert others == 25 and top <= 300

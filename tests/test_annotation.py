@@ -238,3 +238,24 @@ def test_null_sets_draw_all_groups(spark, monkeypatch):
     (groups, low, high), (others, _, top) = drawn
     assert groups == 5000 and low < 100 and 49900 < high <= 50000
     assert others == 25 and top <= 300
+
+
+def test_matched_queries_draw_all_groups(spark, monkeypatch):
+    """1,000 groups a pathway; `matched_null_sets_exact` keeps the three of its SQL."""
+    import __spark_entry__ as entry
+    from kinfold.plans import queries_annotation as qa
+
+    counts = []
+
+    class Drawn(Exception):
+        pass
+
+    def draw(x, reps=qa.REPS):
+        counts.append(reps)
+        raise Drawn
+
+    monkeypatch.setattr(qa, "matched_draw", draw)
+    for name in ("matched_null_sets", "matched_null_sets_exact"):
+        with pytest.raises(Drawn):
+            entry.queries()[name](spark, entry.SMOKE_DIR)
+    assert counts == [1000, 3]

@@ -255,7 +255,7 @@ def test_matched_queries_draw_all_groups(spark, monkeypatch):
         raise Drawn
 
     monkeypatch.setattr(qa, "matched_draw", draw)
-    for name in ("matched_null_sets", "matched_null_sets_exact"):
+    for name in ("matched_null_sets", "null_group_sizes", "matched_null_sets_exact"):
         with pytest.raises(Drawn):
             entry.queries()[name](spark, entry.SMOKE_DIR)
-    assert counts == [1000, 3]
+    assert counts == [1000, 1000, 3]

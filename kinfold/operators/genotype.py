@@ -19,6 +19,7 @@ from kinfold.session import staged
 PED_BLOCK = 65536
 ROW_GROUP = 32 << 20  # bytes of a stored row group of dosages: a reader decodes no more rows than one has
 MISSING = -128  # a missing call of a stored table
+CELLS = 1 << 22  # dosages that a task gives back at a time
 
 
 def panel_of(samples: DataFrame, iid: str = "iid") -> DataFrame:
@@ -313,8 +314,14 @@ def _taken(lists: pa.ListArray, at: np.ndarray) -> pa.ListArray:
     return dosage_lists(dose[places], beyond | ~valid[places])
 
 
-def to_minor_dosage(geno: DataFrame) -> DataFrame:
-    """Count the minor allele; a tie at one half keeps the coding. No join: the row holds its statistics."""
+def to_minor_dosage(geno: DataFrame, text: bool = False) -> DataFrame:
+    """Count the minor allele; a tie at one half keeps the coding. No join: the row holds its statistics.
+
+    Dosages may be arrays, or bytes as `stored` keeps them, and come back as they were; of bytes, `text` makes one text a SNP
+    instead, a missing call as a dot.
+    """
+    if isinstance(geno.schema["dosages"].dataType, T.BinaryType):
+        return _minor_bytes(geno, text)
     columns = geno.columns
     schema = T.StructType(geno.schema.fields + [T.StructField("flipped", T.BooleanType())])
 
@@ -331,3 +338,37 @@ def to_minor_dosage(geno: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(recoded if c == "dosages" else batch[c] for c in columns), pa.array(flipped)], names=[*columns, "flipped"])
 
     return geno.mapInArrow(flip, schema)
+
+
+def _minor_bytes(geno: DataFrame, text: bool) -> DataFrame:
+    """`to_minor_dosage` of dosages as bytes: a row is recoded by itself and a few MB are given back at a time."""
+    columns = geno.columns
+    kind, arrow = (T.StringType(), pa.string()) if text else (T.BinaryType(), pa.binary())
+    schema = T.StructType([T.StructField(f.name, kind) if f.name == "dosages" else f for f in geno.schema.fields] + [T.StructField("flipped", T.BooleanType())])
+
+    def flip(batches):
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                out, flipped, held = [], [], 0
+                while start + len(out) < batch.num_rows and held < CELLS:
+                    blob = batch["dosages"][start + len(out)]
+                    x = np.frombuffer(blob.as_buffer() if blob.is_valid else b"", np.int8)
+                    called = x != MISSING
+                    minor = int(x.sum(where=called, dtype=np.int64)) > int(called.sum())  # freq above one half
+                    x = np.where(called, 2 - x, x) if minor else x
+                    out.append(_dosage_text(x) if text else x.tobytes() if blob.is_valid else None)
+                    flipped.append(minor)
+                    held += len(x)
+                piece = batch.slice(start, len(out))
+                yield pa.RecordBatch.from_arrays([*(pa.array(out, arrow) if c == "dosages" else piece[c] for c in columns), pa.array(flipped)], names=[*columns, "flipped"])
+                start += len(out)
+
+    return geno.mapInArrow(flip, schema)
+
+
+def _dosage_text(x: np.ndarray) -> str:
+    missing = x == MISSING
+    if ((x >= 0) & (x <= 9) | missing).all():
+        return np.where(missing, ord("."), x + ord("0")).astype(np.uint8).tobytes().decode("ascii")
+    return "".join("." if v == MISSING else str(v) for v in x.tolist())

@@ -109,17 +109,21 @@ class Inputs:
     def panel(self) -> DataFrame:
         return genotype.panel_of(self.table("supplier").select(F.col("s_suppkey").alias("iid")))
 
-    @cached_property
-    def geno(self) -> DataFrame:
-        """SNP-major dosages, one array entry per supplier: a stored table, as genotypes are."""
+    @property
+    def geno_bytes(self) -> DataFrame:
+        """SNP-major dosages, one byte per supplier: formed where a step reads them, for steps that read them once."""
         keys = self.wide(self.table("part").select(F.col("p_partkey").cast("bigint").alias("p_partkey")), "p_partkey")
         blocks = keys.mapInArrow(_key_blocks, "keys array<bigint>").withColumn("iids", self.panel.scalar())
         p = F.col("p_partkey")
-        calls = blocks.mapInArrow(_dosages, "p_partkey bigint, dosages binary").select(
+        return blocks.mapInArrow(_dosages, "p_partkey bigint, dosages binary").select(
             F.concat(F.lit("S"), p.cast("string")).alias("snp_id"), (p % 5 + 1).cast("int").alias("chromosome"),
             (p * 618033 % 1000003).alias("position"), "dosages",
         )
-        return genotype.stored(calls, "geno")
+
+    @cached_property
+    def geno(self) -> DataFrame:
+        """SNP-major dosages, one array entry per supplier: a stored table, as genotypes are."""
+        return genotype.stored(self.geno_bytes, "geno")
 
     @property
     def geno_long(self) -> DataFrame:

@@ -126,6 +126,27 @@ def test_minor_dosage(data):
         assert np.array_equal(got, want, equal_nan=True)
 
 
+def test_minor_dosage_of_bytes(data, monkeypatch):
+    """The bytes of a stored table are recoded as arrays are, a few rows at a time; the query has no array of a text a call."""
+    _, geno, _ = data
+    want = {r["snp_id"]: (r["flipped"], r["dosages"]) for r in ge.to_minor_dosage(geno).collect()}
+    raw = geno.select("snp_id", "dosages").rdd.map(
+        lambda r: (r["snp_id"], bytearray(128 if d is None else d for d in r["dosages"]))).toDF("snp_id string, dosages binary")
+    monkeypatch.setattr(ge, "CELLS", 3 * N)
+    got = {r["snp_id"]: (r["flipped"], [None if b == 128 else b for b in r["dosages"]]) for r in ge.to_minor_dosage(raw).collect()}
+    assert got == want and any(f for f, _ in want.values())
+    texts = {r["snp_id"]: (r["flipped"], r["dosages"]) for r in ge.to_minor_dosage(raw, text=True).collect()}
+    assert texts == {s: (f, "".join("." if d is None else str(d) for d in row)) for s, (f, row) in want.items()}
+
+
+def test_minor_dosage_keeps_no_table(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    with noted_paths() as paths:
+        plan = entry.queries()["minor_dosage"](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert not paths and "transform" not in plan
+
+
 def test_snp_map_numbers_in_order(spark):
     calls = spark.createDataFrame([(2, 5), (1, 9), (1, 3), (2, 1), (2, 1)], "chromosome int, position long")
     got = sorted((int(r["snp_id"][1:]), r["chromosome"], r["position"]) for r in ge.build_snp_map(calls).collect())

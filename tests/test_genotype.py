@@ -147,6 +147,24 @@ def test_minor_dosage_keeps_no_table(spark, tmp_path):
     assert not paths and "transform" not in plan
 
 
+def test_band_sums_form_a_few_numbers_at_a_time(data, monkeypatch):
+    """Steps of a few SNPs and lines add up to the same sums; no product is larger than asked."""
+    x, geno, _ = data
+    monkeypatch.setattr(ki, "CELLS", 4 * N)
+    rows = geno.coalesce(1).select(F.lit("all").alias("g"), F.lit(0).alias("band"), "dosages")
+    kept = []
+    monkeypatch.setattr(ki, "centred", lambda lists, width, plain=ki.centred: kept.append(len(lists)) or plain(lists, width))
+
+    class Rows:
+        def mapInArrow(self, fn, schema):
+            return [b for b in fn(iter([self.batch]))]
+
+    told = Rows()
+    told.batch = rows.toArrow().combine_chunks().to_batches()[0]
+    sums = np.concatenate([np.frombuffer(b["a"][0].as_buffer()) for b in ki._band_sums(told, N, ki._cuts(N, 1 << 20, 100))])
+    assert np.allclose(sums, (centred(x).T @ centred(x))[np.triu_indices(N)]) and max(kept) == 4
+
+
 def test_snp_map_numbers_in_order(spark):
     calls = spark.createDataFrame([(2, 5), (1, 9), (1, 3), (2, 1), (2, 1)], "chromosome int, position long")
     got = sorted((int(r["snp_id"][1:]), r["chromosome"], r["position"]) for r in ge.build_snp_map(calls).collect())
